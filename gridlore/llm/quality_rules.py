@@ -19,7 +19,7 @@ from gridlore.llm.common import WHITE, let, read, staged, words_of
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 N_BINS, MAX_RULES, MAX_CONDITIONS = 24, 8, 4
-MIN_COVER, MIN_PRECISION = 20, 0.9
+MIN_COVER, MIN_PRECISION = 12, 0.9
 
 
 def repeat_words(words: Column) -> Column:
@@ -52,8 +52,9 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     return docs.select(
         F.col(doc_id).alias("doc_id"), let(words_of(body), counts).alias("w"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-    ).select("doc_id", "w.*", "n_symbols", "l.*")
+    ).select("doc_id", "w.*", "n_symbols", "n_upper", "l.*")
 
 
 def rate(part: str, whole: str) -> Column:
@@ -70,6 +71,7 @@ def features() -> dict[str, Column]:
         "dup_line_share": rate("n_dup_lines", "n_lines"),
         "repeat_share": rate("n_repeat_words", "n_words"),
         "distinct_share": rate("n_distinct_words", "n_words"),
+        "upper_share": rate("n_upper", "word_chars"),
         "words_per_line": rate("n_words", "n_lines"),
     }
 
@@ -113,6 +115,11 @@ def conjunction(rule: tuple[Condition, ...]) -> Column:
     return out
 
 
+def bin_of(value: Column, marks: list[float]) -> Column:
+    """How many of the marks lie below value."""
+    return F.size(F.filter(F.array(*[F.lit(float(m)) for m in marks]), lambda m: m < value))
+
+
 def foil(p0: int, n0: int, p1: int, n1: int) -> float:
     """Information gained when a rule's cover shrinks from (p0, n0) to (p1, n1)."""
     if not p1:
@@ -120,19 +127,29 @@ def foil(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))
 
 
+def widened(rows: DataFrame, rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
+    """The rule with each threshold moved half way to the next value the condition covers or leaves out."""
+    cols = features()
+    ends = []
+    for k, c in enumerate(rule):
+        value = cols[c.feature]
+        ends += [F.max(F.when(value <= c.threshold, value)).alias(f"low{k}"), F.min(F.when(value > c.threshold, value)).alias(f"high{k}")]
+    r = rows.agg(*ends).first()
+    mid = [(r[f"low{k}"] + r[f"high{k}"]) / 2 if r[f"low{k}"] is not None and r[f"high{k}"] is not None else c.threshold for k, c in enumerate(rule)]
+    return tuple(Condition(c.feature, c.above, m) for c, m in zip(rule, mid))
+
+
 def learn(labelled: DataFrame, bad: str = "bad", max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_cover: int = MIN_COVER, min_precision: float = MIN_PRECISION) -> DecisionList:
     """Decision list from rows with the statistics and a boolean `bad`; all labelled rows are counted."""
     cols = features()
-    values = staged(labelled.select("doc_id", F.col(bad).alias("bad"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words"), "labelled")
+    values = staged(labelled.select("doc_id", F.col(bad).alias("bad"), "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words"), "labelled")
     quantiles = [k / N_BINS for k in range(1, N_BINS)]
     row = values.where("bad").agg(*[F.percentile_approx(c, quantiles, 1000).alias(f) for f, c in cols.items()]).first()
     every = values.agg(*[F.percentile_approx(c, quantiles, 1000).alias(f) for f, c in cols.items()]).first()
     if row is None or row[0] is None:
         return DecisionList(())
     marks = {f: sorted({*row[f], *every[f]}) for f in cols}
-    bins = F.array(*[
-        F.struct(F.lit(f).alias("f"), F.size(F.filter(F.array(*[F.lit(float(m)) for m in marks[f]]), lambda m, c=c: c > m)).alias("bin")) for f, c in cols.items()
-    ])
+    bins = F.array(*[F.struct(F.lit(f).alias("f"), bin_of(c, marks[f]).alias("bin")) for f, c in cols.items()])
     prune = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     data = staged(values.select("*", prune.alias("prune"), bins.alias("bins")), "labelled-bins")
 
@@ -172,8 +189,8 @@ def learn(labelled: DataFrame, bad: str = "bad", max_rules: int = MAX_RULES, max
         precision, found, k = max(worth)
         if precision < min_precision or found < max(3, min_cover // 4):
             break
-        rules.append(cuts[-k])
-        left = left.where(~conjunction(cuts[-k]))
+        rules.append(widened(left, cuts[-k]))
+        left = left.where(~conjunction(rules[-1]))
     return DecisionList(tuple(rules))
 
 
