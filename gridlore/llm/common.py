@@ -60,3 +60,24 @@ def words_of(text: Column) -> Column:
 def slice_count(df: DataFrame) -> int:
     """Shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_KEYS = 4096
+
+
+def hot_keys(df: DataFrame, keys: list[str], most: int = HOT_KEYS) -> DataFrame:
+    """Keys that hold over 1/most of df's rows: at most `most` of them, whatever the size."""
+    total = df.count()
+    return df.groupBy(*keys).count().where(F.col("count") * most > total).select(*keys)
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of big with small, whose rows have one short row a key, where a few keys may hold most of big.
+
+    The rows of hot keys meet a broadcast copy of their small rows (at most HOT_KEYS); the rest joins by shuffle.
+    how: inner or left. big should be staged: it is read twice.
+    """
+    hot = staged(hot_keys(big, keys), "hot-keys")
+    cold_rows, hot_rows = big.join(F.broadcast(hot), keys, "left_anti"), big.join(F.broadcast(hot), keys, "left_semi")
+    few = staged(small.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
+    return hot_rows.join(F.broadcast(few), keys, how).unionByName(cold_rows.join(small, keys, how))
