@@ -151,7 +151,7 @@ class Encoder:
         if len(self.said) + len(seen) > CACHE_PIECES:
             self.said.clear()
             self.back.clear()
-        new = list(seen - self.said.keys())
+        new = [p for p in seen if p not in self.said]
         ids, decimal = self.encode_pieces([p.encode() for p in new]), self.decimal
         self.said.update(zip(new, [" ".join([decimal[i] for i in x]) for x in ids]))
         self.back.update(zip(new, map(self.decode, ids)))

@@ -43,7 +43,7 @@ class Hasher:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 

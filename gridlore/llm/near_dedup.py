@@ -40,7 +40,7 @@ class Shingles:
         known = self.words
         if len(known) > 500_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - self.k + 1)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import bpe, chat_format, line_dedup, near_dedup, quality_rules, sharding
+from gridlore.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_noisy_or": toxicity.op2_noisy_or,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op6_decision_list": quality_rules.op6_decision_list,
+    "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": near_dedup.op10_minhash,

@@ -59,7 +59,7 @@ class Scorer:
         known, weight = self.known, self.model.weight
         if len(known) > CACHE_WORDS:
             known.clear()
-        for t in set(tokens) - known.keys():
+        for t in [t for t in set(tokens) if t not in known]:
             known[t] = math.nan if t[0] in ENDS else sum(weight.get(f, 0.0) for f in word_features(t))
         return np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
 
