@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -81,3 +82,9 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     cold_rows, hot_rows = big.join(F.broadcast(hot), keys, "left_anti"), big.join(F.broadcast(hot), keys, "left_semi")
     few = staged(small.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
     return hot_rows.join(F.broadcast(few), keys, how).unionByName(cold_rows.join(small, keys, how))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are staged by now; it acts on the JVM's collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -187,7 +187,7 @@ def apart(rows: DataFrame, hubs: DataFrame, comp: DataFrame, reps: DataFrame, le
                 other = np.flatnonzero((rc != lc[k]) & ((rr > lr[k]) if i == j else True))
                 same = rs[other] == ls[k]
                 near = same.mean(1) >= least
-                shared = same[near].reshape(int(near.sum()), -1, ROWS).all(2).argmax(1) == band  # else an earlier band has it
+                shared = same[near].reshape(-1, N_HASHES // ROWS, ROWS).all(2).argmax(1) == band  # else an earlier band has it
                 found += [(min(lr[k], r), max(lr[k], r)) for r in rr[other[near]][shared]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 

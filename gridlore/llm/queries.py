@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import bpe, chat_format, decontaminate, line_dedup, maxent_lm, near_dedup, quality_rules, sharding, toxicity
+from gridlore.llm import bpe, chat_format, decontaminate, line_dedup, maxent_lm, near_dedup, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_noisy_or": toxicity.op2_noisy_or,
     "op3_hashed_maxent": maxent_lm.op3_hashed_maxent,
     "op4_virtual_slots": sharding.op4_virtual_slots,
+    "op5_interval_expansion": substring_dedup.op5_interval_expansion,
     "op6_decision_list": quality_rules.op6_decision_list,
     "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
     "op8_byte_bpe": bpe.op8_byte_bpe,
