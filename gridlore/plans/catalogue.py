@@ -341,15 +341,15 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH f AS (SELECT l_orderkey, arg_max(l_returnflag = 'R', l_linenumber) AS applied, max(l_linenumber) AS set_at FROM lineitem GROUP BY 1)
-SELECT o_orderkey, coalesce(applied, false) AS applied, CASE WHEN applied THEN set_at END AS applied_at,
+WITH f AS (SELECT l_orderkey, arg_max(l_returnflag = 'R', l_linenumber * 2 + (l_returnflag = 'R')::INTEGER) AS applied, max(l_linenumber) AS set_at FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(applied, false) AS applied, CASE WHEN applied THEN set_at::VARCHAR END AS applied_at,
        CASE WHEN coalesce(applied, false) THEN 'implemented' ELSE coalesce(nullif(CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END, ''), 'proposed') END AS status
 FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")
 def applied_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_returnflag") == "R").alias("applied"), F.col("l_linenumber").alias("at"))
     out = merge.applied_state(table(spark, sf_dir, "orders"), flags, "o_orderkey")
     own = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus"))
-    return out.select("o_orderkey", "applied", "applied_at", merge.mitigation_status(F.col("applied"), own).alias("status"))
+    return out.select("o_orderkey", "applied", F.col("applied_at").cast("string").alias("applied_at"), merge.mitigation_status(F.col("applied"), own).alias("status"))
 
 
 @registered("""
