@@ -58,16 +58,17 @@ def word_counts(train: DataFrame) -> DataFrame:
                 n[b""] += 1
                 if len(n) > FLUSH:
                     yield flush()
-        yield flush()
+        if n:
+            yield flush()
 
     return train.select("text").mapInPandas(count, "word string, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
 
 
 class Symbols(dict):
-    """Word -> symbol: head words by rank, all others by their suffix class."""
+    """Word -> symbol: head words by rank, all others by their suffix class, after the head."""
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + suffix_class(word)
+        return len(self) + suffix_class(word)
 
 
 @dataclass(frozen=True)
@@ -82,16 +83,16 @@ class Vocabulary:
     distinct: int
 
     @classmethod
-    def of(cls, counts: DataFrame) -> Vocabulary:
+    def of(cls, counts: DataFrame, most: int = HEAD) -> Vocabulary:
         tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
         mass = np.ones(CLASSES)  # one unknown word a class
         for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("m")).collect():
             mass[r["cls"]] += r["m"]
-        top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HEAD - 1).collect()
+        top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(most - 1).collect()
         end = counts.where(F.col("word") == END).first()
-        size = HEAD + CLASSES + 1
-        log_count, kind = np.zeros(size), np.zeros(size, np.int64)
-        kind[HEAD : HEAD + CLASSES] = np.arange(CLASSES)
+        size = len(top) + 1
+        log_count, kind = np.zeros(size + CLASSES + 1), np.zeros(size + CLASSES + 1, np.int64)
+        kind[size : size + CLASSES] = np.arange(CLASSES)
         head = {b"": 0}
         if end:
             log_count[0] = np.log10(end["c"] + 1)
@@ -113,7 +114,7 @@ class Batch:
     LEAD = 3
 
     def __init__(self, vocabulary: Vocabulary, symbols: Symbols, texts: list[list[bytes]]):
-        start = HEAD + CLASSES
+        start = len(vocabulary.head) + CLASSES
         flat: list[int] = []
         for t in texts:
             flat += [start] * self.LEAD
@@ -233,7 +234,7 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS)
     return weight
 
 
-def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id", head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs; train: (text).
 
     Null text counts as empty: its one token is the end. Repeated rows get a result each; other columns are not read.
@@ -241,7 +242,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
     """
     train = train.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counts = staged(word_counts(train), "word-counts")
-    vocabulary = Vocabulary.of(counts)
+    vocabulary = Vocabulary.of(counts, head)
     weight = train_model(train, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weight))
 
@@ -259,7 +260,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
                     z = log_softmax(w, batch.rows(slice(k, k + BATCH)))
                     logs[k : k + BATCH] = z[np.arange(len(z)), batch.target[k : k + BATCH]]
                 symbol = batch.symbol[batch.at]
-                counted, tail = vocab.log_count[symbol], symbol >= HEAD
+                counted, tail = vocab.log_count[symbol], symbol >= len(vocab.head)
                 alone = batch.target < SINGLES
                 inside = np.where(alone, 0.0, counted - vocab.log_total[batch.target])
                 begin = np.r_[0, np.cumsum(batch.length)[:-1]]
@@ -269,15 +270,15 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
                 yield pd.DataFrame({
                     "row": row + np.arange(len(texts)), "doc_id": pd.array([None if i is None or i != i else int(i) for i in ids[done : done + len(texts)]], "Int64"), "n_tokens": batch.length,
                     "head_known": known, "head_base": base, "head_score": model,
-                    "rare": [[{"word": x.decode(), "n": n} for x, n in c.items()] for c in rare],
+                    "rare": [[x.decode() for x in c] for c in rare], "times": [list(c.values()) for c in rare],
                 })
                 row, done = row + len(texts), done + len(texts)
 
-    schema = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rare array<struct<word:string,n:int>>"
+    schema = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, times array<int>"
     scored = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema), "head-scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))).alias("r")).select("row", "r.word", "r.n")
     met = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").cast("long").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    out = scored.drop("rare").join(met, "row", "left")
+    out = scored.drop("rare", "times").join(met, "row", "left")
     tokens, distinct = vocabulary.tokens, vocabulary.distinct
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     end_known = F.lit(0 if tokens else 1)  # without training texts the end is unknown too

@@ -119,7 +119,8 @@ def screened(train: DataFrame) -> dict[str, float]:
                 n[int(toxic)].update({f for w in set(TOKEN.findall((text or "").lower())) for f in word_features(w)})
                 if len(n[0]) + len(n[1]) > FLUSH:
                     yield flush()
-        yield flush()
+        if n[0] or n[1]:
+            yield flush()
 
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
