@@ -2,8 +2,11 @@
 
 Documents with equal shingle sets form a class and its smallest id stands for it, so copies are never paired. In each
 band bucket the smallest representative is the hub; hub and members are compared by signature and then on full sets.
-What is still apart inside a bucket after the hub's links were followed is compared in blocks of the bucket, so no task
+What is still apart inside a bucket after the hub's links were followed is compared in blocks of the bucket: no task
 holds a whole bucket and no bucket is expanded into rows of pairs.
+
+Joins that may meet a hot key read plain exchanges on both sides (their aggregated side is staged), so adaptive
+execution can split a hot partition and broadcasts a side only after it has measured it.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import read, skew_join, staged
+from gridlore.llm.common import read, staged
 
 N_HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 is missed with probability 5e-8
 THRESHOLD = 80  # percent
 MARGIN = 0.16  # a pair whose signatures agree on less than threshold - margin isn't looked at again (4.5 deviations)
 BLOCK = 1024  # representatives of a bucket compared in one block
+COLUMNS = 4096  # shingles of an incidence matrix held at a time
 SALT_ROWS = 256  # partners of one document that share a copy of its text
 
 
@@ -97,8 +101,7 @@ def agreement(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         return pd.Series((left == np.frombuffer(b"".join(y), np.uint32).reshape(len(y), -1)).mean(1))
 
     sig = reps.select("rep", "signature")
-    with_b = staged(pairs.join(sig.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b"), "pair-signatures")
-    both = skew_join(with_b, sig.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), ["a"])
+    both = pairs.join(sig.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b").join(sig.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a")
     return both.where(share("sig_a", "sig_b") >= least).select("a", "b")
 
 
@@ -120,8 +123,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(both > 0 and 100 * both >= percent * (len(mine) + len(other) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    salts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("n"))
-    salted = skew_join(pairs, salts, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).drop("n")
+    salts = staged(pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("n")), "salts")
+    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).drop("n")
     text_b = docs.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
     text_a = docs.withColumnsRenamed({"doc_id": "a", "text": "text_a"}).join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     both = salted.join(text_b, "b").join(text_a, ["a", "salt"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
@@ -131,13 +134,11 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges (a, b), the component being its smallest node.
 
-    Large-star and small-star alternate until the edges stay as they are. The smallest neighbour of a hot node is
-    broadcast (skew_join), so a star with most of all nodes is spread over all tasks.
+    Large-star and small-star alternate until the edges stay as they are.
     """
 
-    def smallest(both: DataFrame) -> DataFrame:
-        both = staged(both, "star")
-        return skew_join(both, both.groupBy("u").agg(F.min("v").alias("m")), ["u"])
+    def with_smallest(both: DataFrame) -> DataFrame:
+        return both.join(staged(both.groupBy("u").agg(F.min("v").alias("m")), "smallest"), "u")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -145,11 +146,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     now = mark(edges)
     for _ in range(max_rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = smallest(both).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = smallest(down).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = staged(small, "edges")
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        large = staged(with_smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large-star")
+        ends = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = staged(with_smallest(large).select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct(), "edges")
         was, now = now, mark(edges)
         if was == now:
             break
@@ -159,39 +159,70 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def apart(rows: DataFrame, hubs: DataFrame, comp: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components, and whose signatures agree on `least` or more.
+def links_apart(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between documents that share a bucket and so far lie in different components.
 
-    Only buckets whose members besides the hub still lie in two components or more are opened. A bucket is cut into
-    blocks of about BLOCK members; each pair of blocks is one group, compared by numpy and written as its few hits.
+    Only buckets with members in two components or more are opened. A bucket is cut into blocks of about BLOCK members
+    and each pair of blocks is one group. Signatures first say which members have a likely partner in another component;
+    the full sets of those are then intersected all at once, so what a group writes is its members and its links.
     """
-    placed = staged(
-        skew_join(rows, hubs, ["band", "bucket"]).where("rep <> hub").join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep")), "bucket-members",
-    )
-    open_ = placed.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
-    open_ = staged(open_.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "open-buckets")
-    members = staged(skew_join(placed, open_, ["band", "bucket"]), "open-members").join(reps.select("rep", "signature"), "rep")
+    placed = staged(rows.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "bucket-members")
+    sizes = placed.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
+    open_ = staged(sizes.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "open-buckets")
+    members = placed.join(open_, ["band", "bucket"]).join(reps.select("rep", "signature"), "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
     cells = members.withColumn("block", block).select("band", "bucket", "rep", "component", "signature", "block", F.explode(partners).alias("c")).select("band", "bucket", "rep", "component", "signature", "block", "c.*")
+    group, kept = ["band", "bucket", "i", "j"], ["band", "bucket", "i", "j", "rep", "component", "block"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["band"].iloc[0])
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        found = []
-        if len(left) and len(right):
-            ls, rs = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), -1) for x in (left, right))
-            lc, rc, lr, rr = left["component"].to_numpy(), right["component"].to_numpy(), left["rep"].to_numpy(), right["rep"].to_numpy()
-            for k in range(len(left)):
-                other = np.flatnonzero((rc != lc[k]) & ((rr > lr[k]) if i == j else True))
-                same = rs[other] == ls[k]
-                near = same.mean(1) >= least
-                shared = same[near].reshape(-1, N_HASHES // ROWS, ROWS).all(2).argmax(1) == band  # else an earlier band has it
-                found += [(min(lr[k], r), max(lr[k], r)) for r in rr[other[near]][shared]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return cells.groupBy("band", "bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        sig, c = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1), pdf["component"].to_numpy()
+        wanted = np.zeros(len(pdf), bool)
+        for at in left:
+            other = right[(c[right] != c[at]) & ((right > at) | (i != j))]
+            same = sig[other] == sig[at]
+            near = same.mean(1) >= least
+            first = same[near].reshape(-1, N_HASHES // ROWS, ROWS).all(2).argmax(1) == band  # else an earlier band has the pair
+            if first.any():
+                wanted[at] = True
+                wanted[other[near][first]] = True
+        return pdf.loc[wanted, kept]
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        shingles = Shingles(k)
+        sets, c, rep = [shingles.of(t) for t in pdf["text"]], pdf["component"].to_numpy(), pdf["rep"].to_numpy()
+        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        size = np.array([len(x) for x in sets], np.int64)
+        both = common_sizes(sets)[np.ix_(left, right)]
+        hit = (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (c[left][:, None] != c[right][None, :])
+        x, y = np.nonzero(hit)
+        a, b = rep[left[x]], rep[right[y]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    schema = "band int, bucket long, i int, j int, rep long, component long, block int"
+    wanted = staged(cells.groupBy(*group).applyInPandas(likely, schema), "likely-apart")
+    texts = docs.withColumnsRenamed({"doc_id": "rep"})
+    return wanted.join(texts, "rep").groupBy(*group).applyInPandas(exact, "a long, b long").distinct()
+
+
+def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from the incidence matrix of the shingles that two sets or more have."""
+    every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    use = count[inverse] > 1
+    row, column = row[use], (np.cumsum(count > 1) - 1)[inverse[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float32), int(column[-1]) + 1 if len(column) else 0
+    for begin in range(0, width, COLUMNS):  # float32 counts exactly up to 2^24 shingles
+        part = slice(*np.searchsorted(column, [begin, begin + COLUMNS]))
+        m = np.zeros((len(sets), min(COLUMNS, width - begin)), np.float32)
+        m[row[part], column[part] - begin] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -207,18 +238,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = THRESHOLD, text:
     reps = staged(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")), "representatives")
     rows = staged(band_rows(reps), "band-rows")
     hubs = staged(rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "bucket", "hub"), "hubs")
-    pairs = staged(skew_join(rows, hubs, ["band", "bucket"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
+    pairs = staged(rows.join(hubs, ["band", "bucket"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     links = staged(verified(staged(agreement(pairs, reps, least), "likely-pairs"), texts, k, percent), "links")
     comp = staged(components(links), "components")
-    rest = staged(apart(rows, hubs, comp, reps, least), "pairs-apart")
-    if not rest.isEmpty():
-        more = staged(verified(rest, texts, k, percent), "links-apart")
-        if not more.isEmpty():
-            comp = staged(components(links.unionByName(more)), "components")
+    more = staged(links_apart(rows, comp, reps, texts, k, percent, least), "links-apart")
+    if not more.isEmpty():
+        comp = staged(components(links.unionByName(more)), "components")
     classes = reps.select("set_hash", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("class_component"))
     # an id that stands for several sets (repeated ids) takes the smallest component of them
-    linked = skew_join(all_rows.drop("signature"), classes, ["set_hash"], "left")
+    linked = all_rows.drop("signature").join(classes, "set_hash", "left")
     alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
     out = linked.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_component")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
