@@ -27,6 +27,8 @@ SINGLES, SUFFIXES = 31, 33  # classes: the end and the most frequent words alone
 CLASSES = SINGLES + SUFFIXES
 ROWS, FEATURES = 1 << 15, 4  # rows of the hashed weight table, features of a token
 ROUNDS, RATE, BATCH = 2, 0.15, 8192
+LIMIT = np.float32(16.0)  # five rows make a logit, and exp(80) is finite in single precision
+LEARNER_TOKENS = 2_000_000  # training tokens a learner gets at least, so that weights sent stay a share of the input
 FLUSH = 300_000  # distinct words a task counts before it emits them
 BLOCK, FAN = 1024, 32  # weight rows of a block; blocks summed in one group of the tree
 END = ""  # no word is empty
@@ -71,6 +73,22 @@ class Symbols(dict):
         return len(self) + suffix_class(word)
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the most frequent words, at most `most` and all that share a count step: no task sends more than its part.
+
+    Counts fall into steps of about one part in 64; the steps are few, and the lowest that still fits is the bound.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["s"]
+    rows = counts.where(step >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], r["word"]))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """What of the corpus counts is broadcast: the head, and totals."""
@@ -88,7 +106,7 @@ class Vocabulary:
         mass = np.ones(CLASSES)  # one unknown word a class
         for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("m")).collect():
             mass[r["cls"]] += r["m"]
-        top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(most - 1).collect()
+        top = frequent(counts.where(F.col("word") != END), most - 1)
         end = counts.where(F.col("word") == END).first()
         size = len(top) + 1
         log_count, kind = np.zeros(size + CLASSES + 1), np.zeros(size + CLASSES + 1, np.int64)
@@ -137,15 +155,22 @@ class Batch:
         return out
 
 
-def log_softmax(weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weight[ROWS] + weight[rows[:, 0]]
+def logits(weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class scores; weights within LIMIT keep their exponentials finite."""
+    z = weight.take(rows[:, 0], 0)
     for k in range(1, FEATURES):
-        z += weight[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+        z += weight.take(rows[:, k], 0)
+    z += weight[ROWS]
     return z
 
 
+def log_probability(weight: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z = logits(weight, rows)
+    mine = z[np.arange(len(target)), target]
+    np.exp(z, out=z)
+    return mine - np.log(z.sum(1))
+
+
 class Learner:
     """AdaGrad over batches of tokens; one accumulator a weight row."""
 
@@ -154,20 +179,21 @@ class Learner:
         self.squares = np.full(ROWS + 1, 1e-2, np.float32)
 
     def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        g = np.exp(log_softmax(self.weight, rows))
+        g = logits(self.weight, rows)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(target)), target] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        total = np.add.reduceat(g[order // FEATURES], first, axis=0)
-        self._move(ordered[first].astype(np.int64), total, np.diff(np.r_[first, len(flat)]))
+        for k in range(FEATURES):
+            order = np.argsort(rows[:, k], kind="stable")
+            ordered = rows[order, k]
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            self._move(ordered[first].astype(np.int64), np.add.reduceat(g.take(order, 0), first, axis=0), np.diff(np.r_[first, len(ordered)]))
         self._move(np.array([ROWS]), g.sum(0, keepdims=True), np.array([len(target)]))
 
     def _move(self, row: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
         g = g / np.sqrt(n)[:, None].astype(np.float32)
         self.squares[row] += (g * g).mean(1)
-        self.weight[row] -= RATE * g / np.sqrt(self.squares[row])[:, None]
+        self.weight[row] = np.clip(self.weight[row] - RATE * g / np.sqrt(self.squares[row])[:, None], -LIMIT, LIMIT)
         self.used[row] += n
 
 
@@ -228,8 +254,9 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, weight: np.ndarray) ->
 def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after one pass over all of train, cut by a hash of the text into `rounds` parts."""
     weight = np.zeros((ROWS + 1, CLASSES), np.float32)
+    learners = max(1, -(-vocabulary.tokens // LEARNER_TOKENS))
     for k in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        part = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(learners)  # never more partitions than there are
         weight = train_round(part, vocabulary, weight)
     return weight
 
@@ -257,8 +284,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
                 batch = Batch(vocab, symbols, texts)
                 logs = np.empty(len(batch.at))
                 for k in range(0, len(batch.at), BATCH):
-                    z = log_softmax(w, batch.rows(slice(k, k + BATCH)))
-                    logs[k : k + BATCH] = z[np.arange(len(z)), batch.target[k : k + BATCH]]
+                    logs[k : k + BATCH] = log_probability(w, batch.rows(slice(k, k + BATCH)), batch.target[k : k + BATCH])
                 symbol = batch.symbol[batch.at]
                 counted, tail = vocab.log_count[symbol], symbol >= len(vocab.head)
                 alone = batch.target < SINGLES
@@ -268,14 +294,15 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
                 base, known = np.add.reduceat(counted, begin), np.add.reduceat((~tail).astype(np.int64), begin)
                 rare = [Counter(t[j] for j in np.flatnonzero(tail[b : b + n - 1])) for t, b, n in zip(texts, begin, batch.length)]
                 yield pd.DataFrame({
-                    "row": row + np.arange(len(texts)), "doc_id": pd.array([None if i is None or i != i else int(i) for i in ids[done : done + len(texts)]], "Int64"), "n_tokens": batch.length,
+                    "row": row + np.arange(len(texts)), "doc_id": ids[done : done + len(texts)], "n_tokens": batch.length,
                     "head_known": known, "head_base": base, "head_score": model,
                     "rare": [[x.decode() for x in c] for c in rare], "times": [list(c.values()) for c in rare],
                 })
                 row, done = row + len(texts), done + len(texts)
 
-    schema = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, times array<int>"
-    scored = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema), "head-scores")
+    schema = "row long, doc_id string, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, times array<int>"
+    # ids travel as text: pandas would turn a column of longs with a null into doubles
+    scored = staged(docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema), "head-scores")
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))).alias("r")).select("row", "r.word", "r.n")
     met = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").cast("long").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
     out = scored.drop("rare", "times").join(met, "row", "left")
@@ -283,7 +310,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     end_known = F.lit(0 if tokens else 1)  # without training texts the end is unknown too
     return out.select(
-        "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0)) - end_known).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0)) - end_known).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + rare_log - F.col("n_tokens") * F.log10(F.lit(float(tokens + distinct + 1)))).alias("base_score"), (F.col("head_score") + rare_log).alias("score"),
     )
 
