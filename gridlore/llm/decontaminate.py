@@ -158,8 +158,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     overlaps; null ids are reported with a null id.
     """
     context = docs.sparkSession.sparkContext
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_equal int"
+    # ids travel as text: pandas would turn a column of longs with a null into doubles
+    body = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id string, item_id long, doc_start int, item_start int, n_tokens int, n_equal int"
 
     def scan(items: list[tuple[int, str | None]]) -> DataFrame:
         shared = context.broadcast(Block.of(items))
@@ -168,11 +169,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
             block, hasher = shared.value, Hasher()
             for batch in batches:
                 rows = [(d, *got) for d, t in zip(batch["doc_id"], batch["text"]) for got in block.overlaps(hasher.of(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"])
 
         return body.mapInPandas(run, schema)
 
-    found = reduce(DataFrame.unionByName, [scan(b) for b in blocks(benchmark, tokens=tokens)])
+    found = reduce(DataFrame.unionByName, [scan(b) for b in blocks(benchmark, tokens=tokens)]).withColumn("doc_id", F.col("doc_id").cast("long"))
     best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_equal"), F.desc("n_tokens"), "doc_start", "item_start"))
     return found.withColumn("rank", best).where("rank = 1").drop("rank")
 
