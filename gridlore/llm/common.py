@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files live as long as the shared folder's application subfolder; its owner removes it after the job.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,28 +63,11 @@ def slice_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-HOT_KEYS = 4096
-
-
-def hot_keys(df: DataFrame, keys: list[str], most: int = HOT_KEYS) -> DataFrame:
-    """Keys that hold over 1/most of df's rows: at most `most` of them, whatever the size."""
-    total = df.count()
-    return df.groupBy(*keys).count().where(F.col("count") * most > total).select(*keys)
-
-
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join of big with small, whose rows have one short row a key, where a few keys may hold most of big.
-
-    The rows of hot keys meet a broadcast copy of their small rows (at most HOT_KEYS); the rest joins by shuffle.
-    how: inner or left. big should be staged: it is read twice.
-    """
-    hot = staged(hot_keys(big, keys), "hot-keys")
-    cold_rows, hot_rows = big.join(F.broadcast(hot), keys, "left_anti"), big.join(F.broadcast(hot), keys, "left_semi")
-    few = staged(small.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
-    return hot_rows.join(F.broadcast(few), keys, how).unionByName(cold_rows.join(small, keys, how))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are staged by now; it acts on the JVM's collections."""
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of staged steps."""
+    for df in done:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

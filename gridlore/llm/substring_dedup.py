@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import read, release, skew_join, slice_count, staged
+from gridlore.llm.common import read, release, slice_count, staged
 
 LENGTH, GRAM = 50, 16
 ORDER = 64  # bytes by which suffixes are sorted; at least the length
 NO_ID = -(2**63)
 BLOCK_BYTES = 8 << 20  # text whose fragments a task gathers before it writes them
-SHARED = -1  # ordinal of an entry that stands for a key already known to be shared
+PIECE_BYTES = 1 << 24  # windows of a document hashed together
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -34,14 +34,21 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(MIX, n, 1 << 64))
 
 
-def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of each run of windows whose smallest gram hash is at one value.
+def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share their smallest gram: (gram, left, right, first window, windows).
 
-    A window's key depends on the window alone: equal windows have equal keys in every document.
+    gram is the hash of that gram, which depends on the window alone, so equal windows have equal grams in every
+    document. left and right hash the gram with the bytes before and after it. A window reaches far enough to one side
+    that fragments sharing a window share left or right; 0 stands for a side that the document ends too soon for.
     """
+    some = [_fragments(data[k : k + PIECE_BYTES + length - 1], k, length) for k in range(0, max(1, len(data) - length + 1), PIECE_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*some))
+
+
+def _fragments(data: bytes, offset: int, length: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        return *(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int32) for _ in range(2))
     h, k = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 1
     while k < GRAM:  # hashes of twice as many bytes
         h = h[:-k] * power(k) + h[k:]
@@ -49,146 +56,193 @@ def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
         k *= 2
     h *= np.uint64(MIX)
     h ^= h >> np.uint64(29)
-    low, k, width = h, 1, length - GRAM + 1
+    low = (h & ~np.uint64(PIECE_BYTES * 2 - 1)) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost gram
+    k, width = 1, length - GRAM + 1
     while k < width:
         step = min(k, width - k)
         low = np.minimum(low[:-step], low[step:])
         k += step
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return low[first], first.astype(np.int32), np.diff(np.r_[first, len(low)]).astype(np.int32)
+    at = (low[first] & np.uint64(PIECE_BYTES * 2 - 1)).astype(np.int64)
+    reach, last = min(GRAM, width // 2), len(h) - 1
+    gram = h[at]
+    left = np.where(at >= reach, gram * power(5) + h[np.maximum(at - reach, 0)], np.uint64(0))
+    right = np.where(at + reach <= last, gram * power(7) + h[np.minimum(at + reach, last)], np.uint64(0))
+    left ^= left >> np.uint64(32)
+    right ^= right >> np.uint64(32)
+    return gram, left, right, (first + offset).astype(np.int32), np.diff(np.r_[first, len(low)]).astype(np.int32)
+
 
+PARTS = "bucket int, doc binary, row binary, count binary, left binary, right binary, ordinal binary, told boolean"
 
-PARTS = "bucket int, doc binary, row binary, count binary, key binary, ordinal binary"
 
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """First place of each run of equal rows."""
+    n = len(columns[0])
+    if not n:
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
-def pack(bucket: int, doc: np.ndarray, row: np.ndarray, key: np.ndarray, ordinal: np.ndarray) -> tuple:
+
+def pack(bucket: int, doc: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, ordinal: np.ndarray, told: bool) -> tuple:
     """Entries in order of their document, with each document written once."""
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.empty(0, int)
-    return bucket, doc[first].tobytes(), row[first].tobytes(), np.diff(np.r_[first, len(doc)]).astype(np.int32).tobytes(), key.tobytes(), ordinal.tobytes()
+    first = starts(doc, row)
+    count = np.diff(np.r_[first, len(doc)]).astype(np.int32)
+    return bucket, doc[first].tobytes(), row[first].tobytes(), count.tobytes(), left.astype(np.uint32).tobytes(), right.astype(np.uint32).tobytes(), ordinal.astype(np.int32).tobytes(), told
 
 
 def unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    count, key, ordinal = np.frombuffer(b"".join(pdf["count"]), np.int32), np.frombuffer(b"".join(pdf["key"]), np.uint32), np.frombuffer(b"".join(pdf["ordinal"]), np.int32)
+    count, ordinal = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("count", "ordinal"))
     doc, row = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), count) for c in ("doc", "row"))
-    return doc, row, key, ordinal
+    left, right = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("left", "right"))
+    return doc, row, left, right, ordinal
 
 
-def several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: is its key in two documents or more, and is it the first of its key."""
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    many = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
-    out, lead = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    out[order] = np.repeat(many, np.diff(np.r_[first, len(key)]))
-    lead[order[first]] = True
-    return out, lead
+def several(key: np.ndarray, doc: np.ndarray, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: is its key in two documents or more (or told to be), and is it the first of its key. Key 0 is none."""
+    many, lead = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        first = starts(key[order])
+        two = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+        if told is not None:
+            two |= np.logical_or.reduceat(told[order], first)
+        many[order] = np.repeat(two, np.diff(np.r_[first, len(key)]))
+        lead[order[first]] = True
+    return many & (key != 0), lead & (key != 0)
 
 
 def by_document(doc: np.ndarray, row: np.ndarray, ordinal: np.ndarray) -> pd.DataFrame:
     """One row a document with its ordinals packed."""
     order = np.lexsort((row, doc))
     doc, row, ordinal = doc[order], row[order], ordinal[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.empty(0, int)
+    first = starts(doc, row)
     return pd.DataFrame({"doc": doc[first], "row": row[first], "ordinals": [x.tobytes() for x in np.split(ordinal, first[1:])] if len(doc) else []})
 
 
 def shared_ordinals(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(doc, row, ordinals): the fragments of each document whose key another document has too.
+    """(doc, row, ordinals): the fragments of each document that share left or right with another document.
 
-    Entries are packed by task block and bucket. A key that is in several documents of a block is settled there and sent
-    once, so a key that most documents share costs an entry a block, not one a document.
+    Entries are packed by task block and bucket. What several documents of a block share is settled there and told once
+    a block (a negative ordinal: bit 0 for left, bit 1 for right), so a passage of most documents costs an entry a
+    block, not one a document.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> pd.DataFrame:
-            key, doc, row, ordinal = (np.concatenate(x) for x in (keys, docs_, rows, ordinals))
-            many, lead = several(key, doc)
-            out = [pack(-1, doc[many], row[many], np.empty(0, np.uint32), ordinal[many])]
-            send = ~many | lead
-            key, doc, row, ordinal = key[send], doc[send], row[send], np.where(many, SHARED, ordinal).astype(np.int32)[send]
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
+            gram, left, right, doc, row, ordinal = (np.concatenate(x) for x in gathered)
+            (many_l, lead_l), (many_r, lead_r) = several(left, doc), several(right, doc)
+            settled = many_l | many_r
+            out = [pack(int(doc[0] % buckets), doc[settled], row[settled], left[:0], right[:0], ordinal[settled], True)]
+            send = ~settled | lead_l | lead_r
+            ordinal = np.where(settled, -(many_l.astype(np.int32) + 2 * many_r), ordinal)
+            bucket = (gram % np.uint64(buckets)).astype(np.int32)
+            bucket[~send] = buckets
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
-                if part := order[edge[b] : edge[b + 1]].size:
-                    at = order[edge[b] : edge[b] + part]
-                    out.append(pack(b, doc[at], row[at], (key[at] >> np.uint64(32)).astype(np.uint32), ordinal[at]))
-            return pd.DataFrame(out, columns=["bucket", "doc", "row", "count", "key", "ordinal"])
+                at = order[edge[b] : edge[b + 1]]
+                if len(at):
+                    out.append(pack(b, doc[at], row[at], left[at], right[at], ordinal[at], False))
+            return pd.DataFrame(out, columns=["bucket", "doc", "row", "count", "left", "right", "ordinal", "told"])
 
-        keys, docs_, rows, ordinals, size = [], [], [], [], 0
+        gathered: list[list[np.ndarray]] = [[] for _ in range(6)]
+        size = 0
         for batch in batches:
             for doc, row, text in zip(batch["doc"], batch["row"], batch["text"]):
                 data = text.encode()
-                key, _, _ = fragments(data, length)
-                if len(key):
-                    keys.append(key), ordinals.append(np.arange(len(key), dtype=np.int32))
-                    docs_.append(np.full(len(key), doc, np.int64)), rows.append(np.full(len(key), row, np.int64))
+                gram, left, right, _, _ = fragments(data, length)
+                n = len(gram)
+                if n:
+                    for held, x in zip(gathered, (gram, left, right, np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(n, dtype=np.int32))):
+                        held.append(x)
                 size += len(data)
-                if size >= BLOCK_BYTES and keys:
+                if size >= BLOCK_BYTES and gathered[0]:
                     yield flush()
-                    keys, docs_, rows, ordinals, size = [], [], [], [], 0
-        if keys:
+                    gathered, size = [[] for _ in range(6)], 0
+        if gathered[0]:
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, row, key, ordinal = unpack(pdf)
-        many, _ = several(key, doc)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        told = np.zeros(len(key), bool)
-        told[order] = np.repeat(np.minimum.reduceat(ordinal[order], first) == SHARED, np.diff(np.r_[first, len(key)]))
-        keep = (many | told) & (ordinal != SHARED)
-        return by_document(doc[keep], row[keep], ordinal[keep])
-
-    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            count = np.frombuffer(b"".join(pdf["count"]), np.int32)
-            doc, row = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), count) for c in ("doc", "row"))
-            yield by_document(doc, row, np.frombuffer(b"".join(pdf["ordinal"]), np.int32))
+        told = pdf["told"].to_numpy(bool)
+        known_doc, known_row, _, _, known = unpack(pdf[told])
+        doc, row, left, right, ordinal = unpack(pdf[~told])
+        flags = np.where(ordinal < 0, -ordinal, 0)
+        many = several(left, doc, (flags & 1) > 0)[0] | several(right, doc, (flags & 2) > 0)[0]
+        keep = many & (ordinal >= 0)
+        return by_document(np.r_[known_doc, doc[keep]], np.r_[known_row, row[keep]], np.r_[known, ordinal[keep]])
 
-    reply = "doc long, row long, ordinals binary"
-    parts = staged(docs.mapInPandas(scan, PARTS), "fragment-keys")
-    found = parts.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: meet(pdf), reply)
-    return found.unionByName(parts.where("bucket < 0").mapInPandas(settled, reply)).groupBy("doc", "row").agg(F.collect_list("ordinals").alias("ordinals"))
+    found = docs.mapInPandas(scan, PARTS).groupBy("bucket").applyInPandas(lambda pdf: meet(pdf), "doc long, row long, ordinals binary")
+    return found.groupBy("doc", "row").agg(F.collect_list("ordinals").alias("ordinals"))
 
 
-def occurrences(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, content_hash, doc, row, first, content, low, many) of each shared fragment.
+def occurrences(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: (key, content_hash, doc, row, first) of each shared fragment, and (bucket, pack) with contents.
 
-    content is there once a task block, with the smallest document (low) that has it in the block and whether others do.
+    A pack holds the distinct contents of a task block for one bucket, each with its smallest document in the block.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "content_hash", "doc", "row", "first", "content", "low", "many"]
-        rows: list[list] = []
+        rows: list[tuple] = []
         lead: dict[tuple[int, int], list] = {}
         size = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame(rows, columns=["key", "content_hash", "doc", "row", "first"]).assign(bucket=None, pack=None)
+            key, h, low, many, content = zip(*((k, h, *x) for (k, h), x in lead.items()))
+            place = np.array(key, np.int64) % buckets
+            order = np.argsort(place, kind="stable")
+            cuts = np.split(order, starts(place[order])[1:])
+            packs = [pack_contents(*(np.array([c[j] for j in at.tolist()], np.int64) for c in (key, h, low, many)), [content[j] for j in at.tolist()]) for at in cuts]
+            yield pd.DataFrame({"bucket": [int(place[at[0]]) for at in cuts], "pack": packs}).assign(key=None, content_hash=None, doc=None, row=None, first=None)
+
         for batch in batches:
             for doc, row, text, ordinals in zip(batch["doc"], batch["row"], batch["text"], batch["ordinals"]):
                 data = text.encode()
-                key, first, n = fragments(data, length)
+                gram, _, _, first, n = fragments(data, length)
                 at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in ordinals]))
-                at = at[at < len(key)]
-                for k, f, m in zip(key[at].view(np.int64).tolist(), first[at].tolist(), n[at].tolist()):
+                at = at[at < len(gram)]
+                for k, f, m in zip(gram[at].view(np.int64).tolist(), first[at].tolist(), n[at].tolist()):
                     content = data[f : f + m + length - 1]
                     h = xxhash.xxh3_64_intdigest(content) - (1 << 63)
+                    rows.append((k, h, doc, row, f))
                     mine = lead.get((k, h))
                     if mine is None:
-                        mine = lead[k, h] = [k, h, doc, row, f, content, doc, False]
-                        rows.append(mine)
+                        lead[k, h] = [doc, 0, content]
                         size += len(content)
-                    else:
-                        rows.append([k, h, doc, row, f, None, None, None])
-                        if mine[6] != doc:
-                            mine[6], mine[7] = min(mine[6], doc), True
-                if size >= BLOCK_BYTES or len(rows) > 200_000:
-                    yield pd.DataFrame(rows, columns=columns).astype({"low": "Int64", "many": "boolean"})
+                    elif mine[0] != doc:
+                        mine[0], mine[1] = min(mine[0], doc), 1
+                if size >= 2 * BLOCK_BYTES or len(rows) > 400_000:
+                    yield from flush()
                     rows, lead, size = [], {}, 0
         if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"low": "Int64", "many": "boolean"})
+            yield from flush()
+
+    schema = "key long, content_hash long, doc long, row long, first int, bucket int, pack binary"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return docs.join(shared, ["doc", "row"]).mapInPandas(lambda batches: (x[columns] for x in cut(batches)), schema)
+
+
+def pack_contents(key: np.ndarray, content_hash: np.ndarray, low: np.ndarray, many: np.ndarray, contents: list[bytes]) -> bytes:
+    size = np.array([len(c) for c in contents], np.int64)
+    return b"".join([np.array([len(contents)], np.int64).tobytes(), *(x.tobytes() for x in (key, content_hash, low, many, size)), *contents])
 
-    schema = "key long, content_hash long, doc long, row long, first int, content binary, low long, many boolean"
-    return docs.join(shared, ["doc", "row"]).mapInPandas(cut, schema)
+
+def unpack_contents(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """One entry a distinct (key, content_hash), with the smallest document and whether several documents have it."""
+    heads, bodies = [], []
+    for p in packs:
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        heads.append(np.frombuffer(p, np.int64, 5 * n, 8).reshape(5, n))
+        bodies.append(p[8 + 40 * n :])
+    key, content_hash, low, many, size = np.concatenate(heads, axis=1)
+    text, end = b"".join(bodies), np.cumsum(size)
+    order = np.lexsort((content_hash, key))
+    first = starts(key[order], content_hash[order])
+    least, most = np.minimum.reduceat(low[order], first), np.maximum.reduceat(low[order], first)
+    several_ = (np.maximum.reduceat(many[order], first) > 0) | (most > least)
+    lead = order[first]
+    return key[lead], content_hash[lead], least, several_, [text[e - n : e] for e, n in zip(end[lead].tolist(), size[lead].tolist())]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -196,7 +250,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     n, rank = len(text), np.zeros(len(text), np.uint64)
     for j in range(8):
         rank = (rank << np.uint64(8)) | np.roll(text, -j)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     width = 8
     while True:
         ordered = rank[order]
@@ -205,7 +259,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         if width >= ORDER or int(rank[order[-1]]) == n - 1:
             return order.astype(np.int32)
         rank = rank * np.uint64(n) + np.roll(rank, -width)
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         width *= 2
 
 
@@ -218,62 +272,78 @@ def intervals(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     before = text[order - 1]  # the transform
     back = np.argsort(before, kind="stable").astype(np.int32)  # place -> place of the suffix one byte on
     byte = before[back]
-    cut = np.zeros(len(text), bool)
-    cut[1:] = byte[1:] != byte[:-1]
-    fresh = cut.copy()
+    cut = np.r_[True, byte[1:] != byte[:-1]]
     number = np.zeros(len(text), np.int32)
+    live = np.arange(len(text), dtype=np.int32)  # places in intervals of two or more; single ones extend no further
     for _ in range(length):
-        got = number[back]
-        fresh[1:] = got[1:] != got[:-1]
-        fresh |= cut
-        number = np.cumsum(fresh, dtype=np.int32)
+        if not len(live):
+            break
+        got = number[back[live]]
+        fresh = cut[live]
+        fresh[1:] |= (got[1:] != got[:-1]) | (live[1:] != live[:-1] + 1)
+        fresh[:1] = True
+        first = np.flatnonzero(fresh)
+        number[live] = np.repeat(live[first], np.diff(np.r_[first, len(live)]))
+        single = fresh & np.r_[fresh[1:], True]
+        live = live[~single]
     return number
 
 
-def smallest_documents(contents: list[bytes], low: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct content the smallest document that has each of its windows, over all contents."""
+def smallest_documents(contents: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(content, smallest document) of each window of distinct contents, over all that have the window."""
     size = np.array([len(c) for c in contents])
     text = np.frombuffer(b"\xff".join(contents) + b"\xff" * ORDER, np.uint8)  # 0xff is in no UTF-8 text
     begin = np.r_[0, np.cumsum(size + 1)[:-1]]
     order = suffix_order(text)
     number = intervals(text, order, length)
-    none = np.iinfo(np.int64).max
-    at = np.full(len(text), none)
-    for_window = size - length + 1
-    windows = np.repeat(begin - np.r_[0, np.cumsum(for_window)[:-1]], for_window) + np.arange(for_window.sum())
-    at[windows] = np.repeat(low, for_window)
-    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    at = np.full(len(text), np.iinfo(np.int64).max)
+    windows = size - length + 1
+    content = np.repeat(np.arange(len(contents)), windows)
+    place = np.repeat(begin - np.r_[0, np.cumsum(windows)[:-1]], windows) + np.arange(windows.sum())
+    at[place] = low[content]
+    first = starts(number)
     least = np.minimum.reduceat(at[order], first)
     at[order] = np.repeat(least, np.diff(np.r_[first, len(text)]))
-    return np.split(at[windows], np.cumsum(for_window)[:-1])
+    return content, at[place]
 
 
-def repeated(found: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(key, content_hash, lows): the smallest document of each window of a content, where that removes anything."""
+def repeated(found: DataFrame, length: int) -> DataFrame:
+    """(key, content_hash, runs): runs of windows with one smallest document, as (document, windows), where that removes anything."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.groupby(["key", "content_hash"], sort=False).agg(content=("content", "first"), low=("low", "min"), high=("low", "max"), many=("many", "max")).reset_index()
-        lows = smallest_documents(one["content"].tolist(), one["low"].to_numpy(np.int64), length)
-        use = [bool(m) or h > w or bool((x < w).any()) for m, h, w, x in zip(one["many"], one["high"], one["low"], lows)]
-        return pd.DataFrame({"key": one["key"][use], "content_hash": one["content_hash"][use], "lows": [x.astype(np.int64).tobytes() for x, u in zip(lows, use) if u]})
+        key, content_hash, low, many, contents = unpack_contents(pdf["pack"].tolist())
+        content, least = smallest_documents(contents, low, length)
+        use = many.copy()
+        use[content[least < low[content]]] = True
+        first = starts(content, least)
+        runs = np.column_stack([least[first], np.diff(np.r_[first, len(content)])]).astype(np.int64)
+        edge = 16 * np.searchsorted(content[first], np.arange(len(contents) + 1))
+        data, keep = runs.tobytes(), np.flatnonzero(use)
+        return pd.DataFrame({"key": key[keep], "content_hash": content_hash[keep], "runs": [data[edge[k] : edge[k + 1]] for k in keep.tolist()]})
 
-    leads = found.where(F.col("content").isNotNull()).select("key", "content_hash", "content", "low", "many", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
-    return leads.groupBy("bucket").applyInPandas(lambda pdf: solve(pdf), "key long, content_hash long, lows binary")
+    return found.where(F.col("pack").isNotNull()).select("bucket", "pack").groupBy("bucket").applyInPandas(lambda pdf: solve(pdf), "key long, content_hash long, runs binary")
 
 
-def removed_spans(found: DataFrame, lows: DataFrame, length: int) -> DataFrame:
+def removed_spans(found: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """(doc, row, spans): packed [begin, end) pairs of bytes that go, overlapping at fragment edges."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, first, x in zip(pdf["doc"], pdf["first"], pdf["lows"]):
-                goes = np.flatnonzero(np.diff(np.r_[False, np.frombuffer(x, np.int64) < doc, False].astype(np.int8))).reshape(-1, 2)
-                out.append((goes + [first, first + length - 1]).astype(np.int32).tobytes())
-            yield pd.DataFrame({"doc": pdf["doc"], "row": pdf["row"], "spans": out})
-
-    joined = skew_join(found.select("key", "content_hash", "doc", "row", "first"), lows, ["key", "content_hash"])
-    return joined.mapInPandas(spans, "doc long, row long, spans binary").where(F.octet_length("spans") > 0).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
+            n = np.array([len(x) // 16 for x in pdf["runs"]], np.int64)
+            low, windows = np.frombuffer(b"".join(pdf["runs"]), np.int64).reshape(-1, 2).T
+            place, edge = np.repeat(np.arange(len(n)), n), np.r_[0, np.cumsum(windows)]
+            offset = edge[:-1] - np.repeat(edge[np.r_[0, np.cumsum(n)[:-1]]], n)
+            at = np.flatnonzero(low < pdf["doc"].to_numpy(np.int64)[place])
+            begin = pdf["first"].to_numpy(np.int64)[place[at]] + offset[at]
+            pairs = np.column_stack([begin, begin + windows[at] + length - 1]).astype(np.int32)
+            doc, row = pdf["doc"].to_numpy(np.int64)[place[at]], pdf["row"].to_numpy(np.int64)[place[at]]
+            order = np.lexsort((row, doc))
+            first = starts(doc[order], row[order])
+            yield pd.DataFrame({"doc": doc[order][first], "row": row[order][first], "spans": [x.tobytes() for x in np.split(pairs[order], first[1:])] if len(at) else []})
+
+    # both sides are plain exchanges, so adaptive execution splits the partition of a content that most documents have
+    joined = found.where(F.col("pack").isNull()).select("key", "content_hash", "doc", "row", "first").join(runs, ["key", "content_hash"])
+    return joined.mapInPandas(spans, "doc long, row long, spans binary").groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 
 
 def union_of(spans: list[bytes]) -> np.ndarray:
@@ -307,12 +377,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     body = body.withColumn("row", F.xxhash64("text"))
     shared = staged(shared_ordinals(body, buckets, length), "shared-fragments")
     release(spark)
-    found = staged(occurrences(body, shared, length), "fragments")
-    release(spark)
-    lows = staged(repeated(found, 4 * buckets, length), "repeats")
-    release(spark)
-    gone = staged(removed_spans(found, lows, length), "removed")
+    found = staged(occurrences(body, shared, length, 4 * buckets), "fragments")
+    release(spark, shared)
+    runs = staged(repeated(found, length), "repeats")
     release(spark)
+    gone = staged(removed_spans(found, runs, length), "removed")
+    release(spark, found, runs)
 
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
