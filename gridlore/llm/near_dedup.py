@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import read, staged
@@ -85,11 +85,16 @@ def signatures(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), udf(F.col(text)).alias("s")).select("doc_id", "s.*")
 
 
+BANDS = N_HASHES // ROWS  # 32: the low five bits of a bucket say its band
+
+
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(band, bucket, rep) for each representative and band."""
-    n = N_HASHES // ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("signature", i * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("bucket")))
-    return reps.select("rep", F.explode(bands).alias("b")).select("b.band", "b.bucket", "rep")
+    """(bucket, rep) for each representative and band."""
+
+    def bucket(i: Column) -> Column:
+        return F.xxhash64(i, F.substring("signature", i * 4 * ROWS + 1, F.lit(4 * ROWS))).bitwiseAND(F.lit(-BANDS).cast("long")).bitwiseOR(i.cast("long"))
+
+    return reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), bucket)).alias("bucket"))
 
 
 def agreement(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -159,24 +164,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def links_apart(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+def links_apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """Links (a, b) between documents that share a bucket and so far lie in different components.
 
     Only buckets with members in two components or more are opened. A bucket is cut into blocks of about BLOCK members
     and each pair of blocks is one group. Signatures first say which members have a likely partner in another component;
     the full sets of those are then intersected all at once, so what a group writes is its members and its links.
     """
-    placed = staged(rows.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "bucket-members")
-    sizes = placed.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
-    open_ = staged(sizes.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "open-buckets")
-    members = placed.join(open_, ["band", "bucket"]).join(reps.select("rep", "signature"), "rep")
+    placed = staged(shared.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "bucket-members")
+    sizes = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
+    open_ = staged(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "open-buckets")
+    members = placed.join(open_, "bucket").join(reps.select("rep", "signature"), "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
-    cells = members.withColumn("block", block).select("band", "bucket", "rep", "component", "signature", "block", F.explode(partners).alias("c")).select("band", "bucket", "rep", "component", "signature", "block", "c.*")
-    group, kept = ["band", "bucket", "i", "j"], ["band", "bucket", "i", "j", "rep", "component", "block"]
+    cells = members.withColumn("block", block).select("bucket", "rep", "component", "signature", "block", F.explode(partners).alias("c")).select("bucket", "rep", "component", "signature", "block", "c.*")
+    group, kept = ["bucket", "i", "j"], ["bucket", "i", "j", "rep", "component", "block"]
 
     def likely(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["band"].iloc[0])
+        i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["bucket"].iloc[0]) % BANDS
         left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
         sig, c = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1), pdf["component"].to_numpy()
         wanted = np.zeros(len(pdf), bool)
@@ -184,7 +189,7 @@ def links_apart(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFra
             other = right[(c[right] != c[at]) & ((right > at) | (i != j))]
             same = sig[other] == sig[at]
             near = same.mean(1) >= least
-            first = same[near].reshape(-1, N_HASHES // ROWS, ROWS).all(2).argmax(1) == band  # else an earlier band has the pair
+            first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # else an earlier band has the pair
             if first.any():
                 wanted[at] = True
                 wanted[other[near][first]] = True
@@ -202,7 +207,7 @@ def links_apart(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFra
         a, b = rep[left[x]], rep[right[y]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    schema = "band int, bucket long, i int, j int, rep long, component long, block int"
+    schema = "bucket long, i int, j int, rep long, component long, block int"
     wanted = staged(cells.groupBy(*group).applyInPandas(likely, schema), "likely-apart")
     texts = docs.withColumnsRenamed({"doc_id": "rep"})
     return wanted.join(texts, "rep").groupBy(*group).applyInPandas(exact, "a long, b long").distinct()
@@ -236,13 +241,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = THRESHOLD, text:
     all_rows = staged(signatures(docs, k, text, doc_id), "signatures")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
     reps = staged(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")), "representatives")
-    rows = staged(band_rows(reps), "band-rows")
-    hubs = staged(rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "bucket", "hub"), "hubs")
-    pairs = staged(rows.join(hubs, ["band", "bucket"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
+    rows = band_rows(reps)
+    hubs = staged(rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
+    shared = staged(rows.join(hubs, "bucket"), "shared-buckets")  # most buckets have one member and end here
+    pairs = staged(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     links = staged(verified(staged(agreement(pairs, reps, least), "likely-pairs"), texts, k, percent), "links")
     comp = staged(components(links), "components")
-    more = staged(links_apart(rows, comp, reps, texts, k, percent, least), "links-apart")
+    more = staged(links_apart(shared, comp, reps, texts, k, percent, least), "links-apart")
     if not more.isEmpty():
         comp = staged(components(links.unionByName(more)), "components")
     classes = reps.select("set_hash", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("class_component"))
