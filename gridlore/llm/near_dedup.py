@@ -42,7 +42,7 @@ class Shingles:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         for w in [w for w in set(words) if w not in known]:
             known[w] = xxhash.xxh3_64_intdigest(w)
