@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from gridlore.llm.common import let, read
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: JSON of more bytes could pass a variant's 128 MiB or the parser's 20,000,000 characters a string; its texts don't become a variant.
+SMALL_JSON = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -80,30 +84,86 @@ def fingerprint_of(record: Column) -> Column:
     return F.md5(F.array_join(leaf_paths(record), "\n").cast("binary"))
 
 
-def mapped(record: Column, layout: Layout) -> Column:
-    """Canonical turns of a variant record under a layout; null role or text: empty."""
+def structure(body: Column) -> Column:
+    """JSON of the same field paths as a long JSON string: texts emptied, numbers 0, runs of equal objects once.
+
+    Each match goes on where the last one ended, so it starts outside strings; strings before a colon are names and
+    stay. The quantifiers are possessive, which the regex engine runs as loops and not as recursion.
+    """
+    said = r'"(?:[^"\\]++|\\(?s:.))*+'
+    emptied = F.regexp_replace(body, rf'\G([^"]*+(?:{said}"\s*+:[^"]*+)*+){said}(?:"|\\?\z)', '$1""')
+    plain = F.regexp_replace(emptied, r'("\s*+:\s*+)-?\d[\d.eE+-]*+', "$10")
+    return F.regexp_replace(plain, r"(\{[^{}]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def paths_of(kind: DataType, path: str = "") -> Iterator[str]:
+    """Leaf paths of a column type, written like those of a Layout."""
+    if isinstance(kind, ArrayType):
+        yield from paths_of(kind.elementType, f"{path}[]")
+    elif isinstance(kind, StructType):
+        for f in kind.fields:
+            yield from paths_of(f.dataType, f"{path}.{f.name}" if path else f.name)
+    else:
+        yield path
+
+
+def items_type(layout: Layout) -> str:
+    return f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
+
+
+def canonical(layout: Layout, get: Callable[[str, str], Column]) -> Column:
+    """Canonical turns under a layout, for get(field, type); null role or text: empty."""
     if layout.turns:
-        items = F.variant_get(record, f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-        turns = F.transform(items, lambda t: F.struct(t[layout.role].alias("role"), t[layout.text].alias("text")))
+        turns = F.transform(get(layout.turns, items_type(layout)), lambda t: F.struct(t[layout.role].alias("role"), t[layout.text].alias("text")))
     else:
-        parts = [F.struct(F.lit(role).alias("role"), F.variant_get(record, f"$.{path}", "string").alias("text")) for role, path in layout.fields]
+        parts = [F.struct(F.lit(role).alias("role"), get(path, "string").alias("text")) for role, path in layout.fields]
         turns = F.filter(F.array(*parts), lambda t: F.coalesce(t["text"], F.lit("")) != "")
     renamed = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(renamed, F.coalesce(t["role"], F.lit(""))), t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
+def mapped(record: Column, layout: Layout) -> Column:
+    """Canonical turns of a variant record."""
+    return canonical(layout, lambda path, kind: F.variant_get(record, f"$.{path}", kind))
+
+
+def mapped_json(body: Column, layout: Layout) -> Column:
+    """Canonical turns of a long JSON string, read without a bound on a string; null if it is malformed."""
+    kinds = [f"`{layout.turns}` {items_type(layout)}"] if layout.turns else [f"`{path}` string" for _, path in layout.fields]
+    record = F.from_json(body, ", ".join([*kinds, "__bad string"]), {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "__bad"})
+    return let(record, lambda r: F.when(r["__bad"].isNull(), canonical(layout, lambda path, _: r[path])))
+
+
 def canonical_turns(records: DataFrame, body: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with layout and turns added, for a column of JSON strings.
+    """records with layout and turns added, for a column of JSON strings or of structs.
 
     Malformed JSON, null and layouts without a mapping give a null layout and no turns (an empty array); the rows stay.
+    Texts of a struct, and of JSON over SMALL_JSON bytes, never enter a variant. JSON whose structure alone is too large
+    to be fingerprinted raises.
     """
-    out = records.withColumn("__v", F.try_parse_json(F.col(body)))
-    out = out.withColumn("__fp", F.coalesce(fingerprint_of(F.col("__v")), F.lit("")))
-    name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    kind, none = records.schema[body].dataType, F.array().cast(TURNS)
+    name, turns = F.lit(None).cast("string"), none
+    if isinstance(kind, StructType):
+        found = fingerprint(tuple(set(paths_of(kind))))
+        for x in (x for x in layouts if x.fingerprint == found):
+            got = canonical(x, lambda path, _: F.col(body)[path])
+            there = F.size(got) > 0 if x.turns else F.col(body).isNotNull()
+            name, turns = F.when(there, F.lit(x.name)), F.when(there, got.cast(TURNS))
+        return records.withColumns({"layout": name, "turns": F.coalesce(turns, none)})
+    long = F.octet_length(body) > SMALL_JSON
+    out = records.withColumn("__s", F.when(long, structure(F.col(body))).otherwise(F.col(body)))
+    out = out.withColumn("__v", F.try_parse_json(F.col("__s")))
+    lost = F.col("__v").isNull() & (F.octet_length("__s") > SMALL_JSON)
+    failed = F.raise_error(F.concat(F.lit("JSON structure too large or malformed, bytes: "), F.octet_length("__s").cast("string"))).cast("string")
+    out = out.withColumn("__fp", F.when(lost, failed).otherwise(F.coalesce(fingerprint_of(F.col("__v")), F.lit(""))))
     for x in layouts:
         hit = F.col("__fp") == x.fingerprint
-        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, mapped(F.col("__v"), x).cast(TURNS)).otherwise(turns)
-    return out.withColumns({"layout": name, "turns": F.coalesce(turns, F.array().cast(TURNS))}).drop("__v", "__fp")
+        got = F.when(long, mapped_json(F.col(body), x).cast(TURNS)).otherwise(mapped(F.col("__v"), x).cast(TURNS))
+        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, got).otherwise(turns)
+    # long JSON whose texts turn out malformed has a layout's structure, but null turns
+    out = out.withColumns({"layout": name, "turns": turns})
+    malformed = long & F.col("turns").isNull()
+    return out.withColumns({"layout": F.when(~F.coalesce(malformed, F.lit(False)), F.col("layout")), "turns": F.coalesce("turns", none)}).drop("__s", "__v", "__fp")
 
 
 def escaped(c: Column) -> Column:
@@ -162,14 +222,13 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 
 
 def gather_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record a conversation from rows of one turn each.
+    """One record (a struct of its array of turns) a conversation from rows of one turn each.
 
     A conversation is one output record and must fit one row (2 GB). Turns of equal number go by role, then text;
     repeated rows stay; null turn numbers come first; null conversation ids make one conversation.
     """
     turns = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))), lambda a, b: order_turns(a, b))
-    packed = F.to_json(F.struct(turns.alias("turns")), {"ignoreNullFields": "false"})
-    return rows.groupBy(F.col(conv).alias("conv_id")).agg(packed.alias("record"))
+    return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.struct(turns.alias("turns")).alias("record"))
 
 
 def order_turns(a: Column, b: Column) -> Column:

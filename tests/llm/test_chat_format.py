@@ -68,3 +68,33 @@ def test_no_python_runs(spark, sf_dir):
 def test_empty(spark, empty):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.canonical_turns(C.gather_rows(none), "record").count() == 0
+
+
+def test_long_texts_keep_their_turns(spark):
+    """Over the JSON parser's 20,000,000 characters a string; escapes and colons inside."""
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    rows = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit('a"\\": '), 3_500_000)).otherwise(F.col("text")))
+    counted = [F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.md5(t["text"].cast("binary")).alias("text"))).alias("turns")]
+    want = [("user", hashlib.md5(b"q").hexdigest()), ("assistant", hashlib.md5(b'a"\\": ' * 3_500_000).hexdigest())]
+    got = C.canonical_turns(C.gather_rows(rows), "record").select("layout", *counted).first()
+    assert got["layout"] == "turn rows" and [tuple(t) for t in got["turns"]] == want
+    packed = C.gather_rows(rows).select(F.to_json("record").alias("body"))
+    packed = packed.unionByName(packed.select(F.expr("left(body, length(body) - 1)").alias("body")))
+    out = C.canonical_turns(packed, "body").select("layout", *counted).collect()
+    assert sorted((r["layout"] or "", [tuple(t) for t in r["turns"]]) for r in out) == [("", []), ("turn rows", want)]
+
+
+def test_many_turns_in_long_json(spark):
+    """Equal objects count once in the structure, however many turns there are."""
+    n = 200_000
+    body = json.dumps({"messages": [{"role": "user", "content": f"t{k}"} for k in range(n)]})
+    df = spark.createDataFrame([(body,), (body[:-1],)], "body string")
+    assert len(body) > C.SMALL_JSON and df.agg(F.max(F.octet_length(C.structure(F.col("body"))))).first()[0] < 100
+    out = C.canonical_turns(df, "body").select("layout", F.size("turns").alias("n"), F.expr("get(turns, 199999).text").alias("last")).collect()
+    assert {tuple(r) for r in out} == {("messages", n, f"t{n - 1}"), (None, 0, None)}
+
+
+def test_structure_keeps_names_only(spark):
+    bodies = ['{"a":"x","b" : [{"c":"{\\"c\\":1}","d":-1.5e3},{"c":"","d":7}, {"c":"\\\\","d":null}]}', '"open', '{"a":"x\\', "[1]"]
+    got = [r[0] for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(C.structure(F.col("b"))).collect()]
+    assert got == ['{"a":"","b" : [{"c":"","d":0}, {"c":"","d":null}]}', '""', '{"a":""', "[1]"]
