@@ -3,6 +3,7 @@
 A fixed mask looks at some token positions of a window and ignores the others, so a window with substitutions at the
 ignored positions still has the seed of the original. Seeds of the benchmark, taken in blocks of bounded size, meet the
 seeds of every document position; each hit fixes a diagonal, on which the overlap around it is aligned and verified.
+An item too short for that is cut into one piece more than the substitutions it may have, so one piece is intact.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from gridlore.llm.common import read
 #: Fixed masks: 1 is looked at, 0 is ignored. Each has weight 6; together they tolerate any two substitutions in 13 tokens.
 MASKS = ("111111", "1110111", "1101011001", "11001010011", "1011000111", "110100100101")
 MIN_OVERLAP, MIN_MATCH = 13, 0.8  # tokens of a verified overlap (a shorter item: all of it), and the share that are equal
-MIN_ITEM = 6  # items of fewer tokens have no seed and match nothing
+MIN_ITEM = 1  # items of fewer tokens have no seed and match nothing
+SHORT = 12  # from here on no allowed substitutions escape all masks; items of fewer tokens have pieces instead
 BLOCK_TOKENS = 400_000  # benchmark tokens broadcast at a time, in expectation
 DROP = 4  # an extension ends when it has lost so much against its best
 
@@ -59,10 +61,18 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def pieces(n: int) -> list[tuple[int, str]]:
+    """(start, solid mask) of adjoining pieces of an item of n tokens, one more than the substitutions it may have."""
+    parts = sum(n - k >= MIN_MATCH * n for k in range(n))
+    edges = [n * j // parts for j in range(parts + 1)] if n else []
+    return [(a, "1" * (b - a)) for a, b in zip(edges, edges[1:])]
+
+
 @dataclass(frozen=True)
 class Block:
     """Seeds of some items: sorted hashes with the item and position of each, behind a bitmap of 2^20 bits."""
 
+    masks: list[str]
     ids: list[int]
     words: list[np.ndarray]
     seed: np.ndarray
@@ -74,32 +84,58 @@ class Block:
     def of(cls, items: list[tuple[int, str | None]]) -> Block:
         hasher = Hasher()
         ids, words = [i for i, _ in items], [hasher.of(t) for _, t in items]
-        found = [(seeds(w, m), k) for k, w in enumerate(words) for m in MASKS]
-        seed = np.concatenate([s for s, _ in found] or [np.empty(0, np.uint64)])
-        item = np.concatenate([np.full(len(s), k, np.int32) for s, k in found] or [np.empty(0, np.int32)])
-        at = np.concatenate([np.arange(len(s), dtype=np.int32) for s, _ in found] or [np.empty(0, np.int32)])
+        found = [(seeds(w, m), k, 0) for k, w in enumerate(words) if len(w) >= SHORT for m in MASKS]
+        cut = [(k, start, m) for k, w in enumerate(words) if len(w) < SHORT for start, m in pieces(len(w))]
+        found += [(seeds(words[k][start : start + len(m)], m), k, start) for k, start, m in cut]
+        masks = [*MASKS, *sorted({m for _, _, m in cut})]
+        seed = np.concatenate([s for s, _, _ in found] or [np.empty(0, np.uint64)])
+        item = np.concatenate([np.full(len(s), k, np.int32) for s, k, _ in found] or [np.empty(0, np.int32)])
+        at = np.concatenate([np.arange(start, start + len(s), dtype=np.int32) for s, _, start in found] or [np.empty(0, np.int32)])
         order = np.argsort(seed, kind="stable")
         seen = np.zeros(1 << 20, bool)
         seen[(seed >> np.uint64(44)).astype(np.int64)] = True
-        return cls(ids, words, seed[order], item[order], at[order], seen)
+        return cls(masks, ids, words, seed[order], item[order], at[order], seen)
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, document start, item start, length, equal tokens): the longest verified overlap with each item."""
         hits: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        near: dict[int, list[np.ndarray]] = {}
+        for mask in self.masks:
             s = seeds(words, mask)
             pos = np.flatnonzero(self.seen[(s >> np.uint64(44)).astype(np.int64)])
             low, high = np.searchsorted(self.seed, s[pos], "left"), np.searchsorted(self.seed, s[pos], "right")
-            for p, a, b in zip(pos[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                hits.update(zip(self.item[a:b].tolist(), (p - self.at[a:b]).tolist()))
+            pos, low, high = pos[low < high], low[low < high], high[low < high]
+            if mask in MASKS:
+                for p, a, b in zip(pos.tolist(), low.tolist(), high.tolist()):
+                    hits.update(zip(self.item[a:b].tolist(), (p - self.at[a:b]).tolist()))
+            elif len(pos):
+                n = high - low
+                place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                place, diagonal = place[order := np.argsort(self.item[place], kind="stable")], np.repeat(pos, n)[order]
+                k, first = np.unique(self.item[place], return_index=True)
+                for k_, d in zip(k.tolist(), np.split(diagonal - self.at[place], first[1:])):
+                    near.setdefault(k_, []).append(d)
         best: dict[int, tuple[int, int, int, int]] = {}
         for k, diagonal in hits:
             for got in verified(words, self.words[k], diagonal):
                 if k not in best or (got[3], got[2], -got[0]) > (best[k][3], best[k][2], -best[k][0]):
                     best[k] = got
+        for k, some in near.items():
+            best |= {k: got for got in whole(words, self.words[k], np.unique(np.concatenate(some)))}
         return [(self.ids[k], *got) for k, got in best.items()]
 
 
+def whole(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The most equal, then leftmost of the diagonals on which enough of the whole item is equal, as from verified."""
+    n = len(item)
+    at = diagonals[(diagonals >= 0) & (diagonals + n <= len(words))]
+    same = np.zeros(len(at), np.int64)
+    for j in range(n):
+        same += words[at + j] == item[j]
+    k = int(np.argmax(same)) if len(at) else -1
+    return [(int(at[k]), 0, n, int(same[k]))] if k >= 0 and same[k] >= MIN_MATCH * n else []
+
+
 def verified(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int, int]]:
     """Overlaps on one diagonal that are long and alike enough: (document start, item start, length, equal tokens).
 

@@ -63,3 +63,40 @@ def test_repetitive_texts(text):
     block = D.Block.of([(1, "the " * 30), (2, "x y z " * 5)])
     got = block.overlaps(D.Hasher().of(text))
     assert [g[0] for g in got] == ([1] if len(text) > 9 else [])
+
+
+def test_short_items_with_every_allowed_substitution():
+    for n in range(1, 13):
+        item = [f"w{j}" for j in range(n)]
+        block = D.Block.of([(7, " ".join(item)), (8, "other " * n)])
+        for k in range(n + 1):
+            for gone in itertools.combinations(range(n), k):
+                said = ["x" if j in gone else w for j, w in enumerate(item)]
+                got = block.overlaps(D.Hasher().of(" ".join(["a", "b", *said, "c"])))
+                want = [(7, 2, 0, n, n - k)] if n - k >= D.MIN_MATCH * n else []
+                assert got == want, (n, gone)
+
+
+def test_short_items_against_brute_force():
+    rng = random.Random(3)
+    items = [" ".join(rng.choice("abcd") for _ in range(1 + k % 12)) for k in range(48)]
+    block = D.Block.of(list(enumerate(items)))
+    for _ in range(60):
+        doc = " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        assert {g[0] for g in block.overlaps(D.Hasher().of(doc))} == {k for k, x in enumerate(items) if aligned(doc, x)}
+
+
+def test_no_allowed_substitutions_escape_the_masks():
+    """Fewest substitutions in n tokens that leave no mask a place, by the last eleven tokens."""
+    need = [(len(m), int(m, 2)) for m in D.MASKS]
+    fewest = {0: 0}
+    for n in range(1, 121):
+        after: dict[int, int] = {}
+        for tail, k in fewest.items():
+            for gone in (0, 1):
+                now = tail << 1 | gone
+                if not any(n >= size and not now & mask for size, mask in need):
+                    after[now & 2047] = min(k + gone, after.get(now & 2047, n))
+        fewest = after
+        if n >= D.SHORT:
+            assert n - min(fewest.values()) < D.MIN_MATCH * n, n
