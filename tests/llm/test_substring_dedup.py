@@ -66,3 +66,27 @@ def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in queries.QUERIES["op5_interval_expansion"](spark, sf_dir).collect()), key=repr)
     assert got == brute(rows, 50)
+
+
+@pytest.mark.parametrize("limit", [4000, 200])
+def test_overfull_buckets_are_dealt_again(spark, limit):
+    """A passage that most documents share: its ends run into texts of their own, so one gram has a content a document."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage, tail = letters(120), letters(20)
+    rows = [(k, letters(60) + passage + (tail[: k % 9] if k % 2 else "") + letters(70)) for k in range(150)]
+    rows += [(k, rows[k % 7][1]) for k in range(150, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in S.remove_repeats(df, digest=True, bucket_bytes=8000, bucket_limit=limit).collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
+def test_content_hashes_follow_the_bytes():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    first, size = np.repeat(np.arange(300), 3), np.tile([50, 51, 90], 300)
+    h = S.content_hashes(text, first, size)
+    said = [text[f : f + n].tobytes() for f, n in zip(first, size)]
+    assert len(set(zip(said, h.tolist()))) == len(set(said)) == len(set(h.tolist()))
+    again = S.content_hashes(np.r_[rng.integers(0, 9, 33).astype(np.uint8), text], first + 33, size)
+    assert (h == again).all()
