@@ -17,11 +17,12 @@ window once a block. Equal windows still meet, and no task holds all contents of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,22 @@ LENGTH, GRAM = 50, 16
 ORDER = 64  # bytes by which suffixes are sorted; at least the length
 NO_ID = -(2**63)
 BLOCK_BYTES = 16 << 20  # text whose fragments a task gathers before it writes them
-BUCKET_BYTES = 8 << 20  # text of the input for each bucket of contents
+BUCKET_BYTES = 4 << 20  # text of the input for each bucket of contents
 BUCKET_LIMIT = 64 << 20  # bytes of contents in a bucket from which on it is dealt again
+SHRINKS = 2  # bytes of contents for each of a pack, about
 PIECE_BYTES = 1 << 24  # windows of a document hashed together
 MIX = 0x9E3779B97F4A7C15
 
 
+def shrunk(parts: Iterable[bytes]) -> bytes:
+    """What a pack is when it travels; shuffles compress less."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def grown(pack: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(pack)
+
+
 def power(n: int) -> np.uint64:
     return np.uint64(pow(MIX, n, 1 << 64))
 
@@ -106,7 +117,7 @@ def content_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.n
     return h ^ (h >> np.uint64(29))
 
 
-PARTS = "bucket int, doc binary, row binary, count binary, left binary, right binary, ordinal binary, told boolean"
+PARTS = "bucket int, entries binary, left binary, right binary, told boolean"
 
 
 def starts(*columns: np.ndarray) -> np.ndarray:
@@ -121,14 +132,20 @@ def pack(bucket: int, doc: np.ndarray, row: np.ndarray, left: np.ndarray, right:
     """Entries in order of their document, with each document written once."""
     first = starts(doc, row)
     count = np.diff(np.r_[first, len(doc)]).astype(np.int32)
-    return bucket, doc[first].tobytes(), row[first].tobytes(), count.tobytes(), left.astype(np.uint32).tobytes(), right.astype(np.uint32).tobytes(), ordinal.astype(np.int32).tobytes(), told
+    runs = [doc[first].tobytes(), row[first].tobytes(), count.tobytes(), ordinal.astype(np.int32).tobytes()]
+    return bucket, shrunk([np.array([len(first), len(doc)], np.int64).tobytes(), *runs]), left.astype(np.uint32).tobytes(), right.astype(np.uint32).tobytes(), told
 
 
-def unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    count, ordinal = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("count", "ordinal"))
-    doc, row = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), count) for c in ("doc", "row"))
-    left, right = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("left", "right"))
-    return doc, row, left, right, ordinal
+def unpack(packs: Iterable[bytes]) -> tuple[np.ndarray, ...]:
+    """doc, row and ordinal of all entries."""
+    doc, row, ordinal = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for p in map(grown, packs):
+        n, m = np.frombuffer(p, np.int64, 2).tolist()
+        count = np.frombuffer(p, np.int32, n, 16 + 16 * n)
+        doc.append(np.repeat(np.frombuffer(p, np.int64, n, 16), count))
+        row.append(np.repeat(np.frombuffer(p, np.int64, n, 16 + 8 * n), count))
+        ordinal.append(np.frombuffer(p, np.int32, m, 16 + 20 * n))
+    return np.concatenate(doc), np.concatenate(row), np.concatenate(ordinal)
 
 
 def several(key: np.ndarray, doc: np.ndarray, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +167,15 @@ def by_group(doc: np.ndarray, row: np.ndarray, ordinal: np.ndarray, groups: int)
     group = ((doc.view(np.uint64) * np.uint64(MIX) ^ row.view(np.uint64)) * np.uint64(MIX) >> np.uint64(32)) % np.uint64(groups)
     order = np.lexsort((row, doc, group))
     doc, row, ordinal, group = doc[order], row[order], ordinal[order].astype(np.int32), group[order]
-    begin, first = starts(group), starts(doc, row)
-    count, edge = np.diff(np.r_[first, len(doc)]).astype(np.int32), np.searchsorted(first, np.r_[begin, len(doc)])
-    rows = [
-        (int(group[b]), doc[first[p:q]].tobytes(), row[first[p:q]].tobytes(), count[p:q].tobytes(), ordinal[b:e].tobytes())
-        for b, e, p, q in zip(begin.tolist(), np.r_[begin[1:], len(doc)].tolist(), edge[:-1].tolist(), edge[1:].tolist())
-    ]
-    return pd.DataFrame(rows, columns=["group", "doc", "row", "count", "ordinal"])
+    begin = starts(group)
+    none = np.empty(0, np.uint32)
+    rows = [pack(int(group[b]), doc[b:e], row[b:e], none, none, ordinal[b:e], True)[:2] for b, e in zip(begin.tolist(), np.r_[begin[1:], len(doc)].tolist())]
+    return pd.DataFrame(rows, columns=["group", "entries"])
 
 
 def ordinals_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row a document with its distinct ordinals."""
-    count, ordinal = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("count", "ordinal"))
-    doc, row = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), count) for c in ("doc", "row"))
+    doc, row, ordinal = unpack(pdf["entries"])
     order = np.lexsort((ordinal, row, doc))
     order = order[starts(doc[order], row[order], ordinal[order])]
     doc, row, ordinal = doc[order], row[order], ordinal[order]
@@ -194,7 +207,7 @@ def shared_ordinals(docs: DataFrame, buckets: int, groups: int, length: int) ->
                 at = order[edge[b] : edge[b + 1]]
                 if len(at):
                     out.append(pack(b, doc[at], row[at], left[at], right[at], ordinal[at], False))
-            return pd.DataFrame(out, columns=["bucket", "doc", "row", "count", "left", "right", "ordinal", "told"])
+            return pd.DataFrame(out, columns=["bucket", "entries", "left", "right", "told"])
 
         gathered: list[list[np.ndarray]] = [[] for _ in range(6)]
         size, seen = 0, set()
@@ -218,14 +231,15 @@ def shared_ordinals(docs: DataFrame, buckets: int, groups: int, length: int) ->
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         told = pdf["told"].to_numpy(bool)
-        known_doc, known_row, _, _, known = unpack(pdf[told])
-        doc, row, left, right, ordinal = unpack(pdf[~told])
+        known_doc, known_row, known = unpack(pdf["entries"][told])
+        doc, row, ordinal = unpack(pdf["entries"][~told])
+        left, right = (np.frombuffer(b"".join(pdf[c][~told]), np.uint32) for c in ("left", "right"))
         flags = np.where(ordinal < 0, -ordinal, 0)
         many = several(left, doc, (flags & 1) > 0)[0] | several(right, doc, (flags & 2) > 0)[0]
         keep = many & (ordinal >= 0)
         return by_group(np.r_[known_doc, doc[keep]], np.r_[known_row, row[keep]], np.r_[known, ordinal[keep]], groups)
 
-    found = docs.mapInPandas(scan, PARTS).groupBy("bucket").applyInPandas(lambda pdf: meet(pdf), "group int, doc binary, row binary, count binary, ordinal binary")
+    found = docs.mapInPandas(scan, PARTS).groupBy("bucket").applyInPandas(lambda pdf: meet(pdf), "group int, entries binary")
     return found.groupBy("group").applyInPandas(lambda pdf: ordinals_of(pdf), "doc long, row long, ordinals binary")
 
 
@@ -294,11 +308,11 @@ def occurrences(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -
 
 def pack_contents(key: np.ndarray, content_hash: np.ndarray, low: np.ndarray, many: np.ndarray, contents: list[bytes]) -> bytes:
     size = np.array([len(c) for c in contents], np.int64)
-    return b"".join([np.array([len(contents)], np.int64).tobytes(), *(x.tobytes() for x in (key, content_hash, low, many, size)), *contents])
+    return shrunk([np.array([len(contents)], np.int64).tobytes(), *(x.tobytes() for x in (key, content_hash, low, many, size)), *contents])
 
 
 def content_heads(pack: bytes) -> np.ndarray:
-    """Rows key, content_hash, low, many, size of a pack."""
+    """Rows key, content_hash, low, many, size of a grown pack."""
     n = int(np.frombuffer(pack, np.int64, 1)[0])
     return np.frombuffer(pack, np.int64, 5 * n, 8).reshape(5, n)
 
@@ -312,10 +326,11 @@ def content_bytes(pack: bytes) -> list[bytes]:
 def pack_occurrences(doc: np.ndarray, row: np.ndarray, first: np.ndarray, number: np.ndarray) -> bytes:
     lead = starts(doc, row)
     count = np.diff(np.r_[lead, len(doc)]).astype(np.int32)
-    return b"".join([np.array([len(lead), len(doc)], np.int64).tobytes(), *(x.tobytes() for x in (doc[lead], row[lead], count, first.astype(np.int32), number.astype(np.int32)))])
+    return shrunk([np.array([len(lead), len(doc)], np.int64).tobytes(), *(x.tobytes() for x in (doc[lead], row[lead], count, first.astype(np.int32), number.astype(np.int32)))])
 
 
 def unpack_occurrences(pack: bytes) -> tuple[np.ndarray, ...]:
+    pack = grown(pack)
     n, m = np.frombuffer(pack, np.int64, 2).tolist()
     doc, row = np.frombuffer(pack, np.int64, n, 16), np.frombuffer(pack, np.int64, n, 16 + 8 * n)
     count = np.frombuffer(pack, np.int32, n, 16 + 16 * n)
@@ -334,31 +349,32 @@ def dealt(found: DataFrame, length: int, limit: int) -> DataFrame:
     first window, windows, content of the part) and stays with the block; null: contents are as they were.
     """
     plain = found.select("block", "bucket", F.lit(0).alias("part"), "contents", F.lit(None).cast("binary").alias("origin"))
-    over = staged(found.groupBy("bucket").agg(F.sum(F.octet_length("contents")).alias("bytes")).where(F.col("bytes") > limit), "overfull-buckets")
+    over = staged(found.groupBy("bucket").agg(F.sum(F.octet_length("contents") * SHRINKS).alias("bytes")).where(F.col("bytes") > limit), "overfull-buckets")
     if over.isEmpty():
         return plain
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for bucket, contents in zip(pdf["bucket"], pdf["contents"]):
-                head = content_heads(contents)
+                head = content_heads(grown(contents))
                 order = np.argsort(head[0], kind="stable")
                 first = starts(head[0][order])
                 yield pd.DataFrame({"key": head[0][order][first], "bytes": np.add.reduceat(head[4][order] + 40, first)}).assign(bucket=bucket)
 
     heavy = found.join(over.select("bucket"), "bucket").select("bucket", "contents").mapInPandas(weigh, "key long, bytes long, bucket int")
-    heavy = heavy.groupBy("bucket", "key").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > limit // 8)
-    hot = heavy.groupBy("bucket").agg(F.collect_list("key").alias("hot"), F.sum("bytes").alias("hot_bytes"))  # at most 8 keys for each limit of bytes
-    growth = length + 48  # bytes of a window that travels alone, for each window of at least one byte
-    plan = over.join(hot, "bucket", "left").select(
-        "bucket", F.coalesce("hot", F.array().cast("array<long>")).alias("hot"),
-        F.ceil((F.col("bytes") - F.coalesce("hot_bytes", F.lit(0))) * 2 / limit + 1).cast("int").alias("n_cold"), F.ceil(F.coalesce("hot_bytes", F.lit(0)) * growth / 4 / limit + 1).cast("int").alias("n_hot"),
+    heavy = heavy.groupBy("bucket", "key").agg(F.sum("bytes").alias("bytes"))
+    is_hot = F.col("bytes") > limit // 8  # at most 8 keys for each limit of bytes
+    growth = (length + 48) // 4  # bytes of a window that travels alone against those it adds to a content, about
+    plan = heavy.groupBy("bucket").agg(
+        F.collect_list(F.when(is_hot, F.col("key"))).alias("hot"), F.ceil(F.coalesce(F.sum(F.when(~is_hot, F.col("bytes"))), F.lit(0)) * 2 / limit + 1).cast("int").alias("n_cold"),
+        F.ceil(F.coalesce(F.sum(F.when(is_hot, F.col("bytes"))), F.lit(0)) * growth / limit + 1).cast("int").alias("n_hot"),
     )
     plan = staged(plan, "overfull-plan")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for block, bucket, pack, hot, n_cold, n_hot in zip(pdf["block"], pdf["bucket"], pdf["contents"], pdf["hot"], pdf["n_cold"], pdf["n_hot"]):
+                pack = grown(pack)
                 head, contents = content_heads(pack), content_bytes(pack)
                 is_hot = np.isin(head[0], np.array(hot, np.int64))
                 cold = np.flatnonzero(~is_hot)
@@ -473,6 +489,7 @@ def solve(packs: list[bytes], length: int) -> list[bytes]:
     A content whose key no other content has shares no window with another content: it would end in intervals of its
     own and is left out of the transform.
     """
+    packs = [grown(p) for p in packs]
     heads = [content_heads(p) for p in packs]
     key, content_hash, low, many, size = np.concatenate(heads, axis=1)
     order = np.lexsort((content_hash, key))
@@ -517,10 +534,11 @@ def solve(packs: list[bytes], length: int) -> list[bytes]:
 
 
 def pack_runs(content: np.ndarray, begin: np.ndarray, windows: np.ndarray, least: np.ndarray) -> bytes:
-    return b"".join([content.astype(np.int32).tobytes(), begin.astype(np.int32).tobytes(), windows.astype(np.int32).tobytes(), least.astype(np.int64).tobytes()])
+    return shrunk([content.astype(np.int32).tobytes(), begin.astype(np.int32).tobytes(), windows.astype(np.int32).tobytes(), least.astype(np.int64).tobytes()])
 
 
 def unpack_runs(pack: bytes) -> tuple[np.ndarray, ...]:
+    pack = grown(pack)
     n = len(pack) // 20
     return *(np.frombuffer(pack, np.int32, n, 4 * n * k) for k in range(3)), np.frombuffer(pack, np.int64, n, 12 * n)
 
