@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": near_dedup.op10_minhash,
 }
-SQL: dict[str, str] = {"op1_chat_format": chat_format.OP1_SQL, "op5_interval_expansion": substring_dedup.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat_format.OP1_SQL, "op5_interval_expansion": substring_dedup.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op10_minhash": near_dedup.OP10_SQL}

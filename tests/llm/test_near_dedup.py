@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,25 @@ def test_against_brute_force(spark, corpus, k):
     assert got == brute(rows, k)
 
 
+def test_rows_of_one_id_are_one_document(spark, words):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(50)) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(3, b), (5, a), (5, b), (7, near(a)), (8, near(b)), (9, c), (9, near(a)), (10, near(c)), (11, c), (11, c)]
+    got = sorted((tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()), key=repr)
+    assert got == brute(rows, 2)
+    assert {g[2] for g in got} == {3}
+
+
+def test_groups_cross_batches():
+    rng = random.Random(2)
+    rows = [(b, 0, j) for b in range(6) for j in range(2) for _ in range(rng.randint(1, 4))]
+    frame = pd.DataFrame(rows, columns=["bucket", "i", "j"])
+    for step in (1, 2, 3, 50):
+        got = list(N.groups_of(frame.iloc[k : k + step] for k in range(0, len(frame), step)))
+        assert [len(g) for g in got] == [rows.count(x) for x in sorted(set(rows))]
+
+
 def test_chains_of_links_and_hot_groups(spark, words, monkeypatch):
     """Each text is like the one before and unlike the first; a third of all rows are copies of one text."""
     monkeypatch.setattr(N, "BLOCK", 4)
