@@ -1,10 +1,13 @@
 """Hashed maximum-entropy language model.
 
-P(w | h) = P(class(w) | h) P(w | class(w)). The class distribution is a softmax over hashed features of the history: the
-last word, the last two words, and skips to the second and third word back. Words of a class share its mass by their
-smoothed corpus counts. Weights are trained by distributed gradient updates: in each round every task follows the
-gradient over its own documents from the common weights, and the tasks' rows are averaged by how often each task used
-them, in a tree of bounded groups. Texts are scored in numpy batches in which each token touches four weight rows.
+P(w | h) = P(class | h) P(slot | class, h) P(w | class, slot). Both first factors are softmaxes over hashed features of
+the history: words and pairs of words before, skips to the second and third word back, and a skip to the last frequent
+word. The slots of a class are some frequent words, each alone in its slot, and groups of the other words by their
+endings; words of a group share its mass by their smoothed corpus counts, the one unigram part. Features are hashed from
+the words themselves, rare ones too. The tables of weights grow with the training tokens. Weights are trained by
+distributed gradient updates: in each round every task follows the gradient over its own documents from the common
+weights, and the tasks' rows are averaged by how often each task used them, in a tree of bounded groups. Texts are
+scored in numpy batches in which each token touches a few weight rows.
 """
 
 from __future__ import annotations
@@ -23,34 +26,40 @@ from gridlore.llm.common import read, staged
 from gridlore.llm.toxicity import held_out
 
 HEAD = 65_536  # most frequent words, whose counts are broadcast
-SINGLES, SUFFIXES = 31, 33  # classes: the end and the most frequent words alone; all others by their last three bytes
-CLASSES = SINGLES + SUFFIXES
-ROWS, FEATURES = 1 << 15, 4  # rows of the hashed weight table, features of a token
+CLASSES, SLOTS, WORD_SLOTS = 32, 32, 16  # classes, slots of a class, and those of them that are one frequent word each
+SINGLES = CLASSES * WORD_SLOTS  # frequent words with a slot of their own
+FREQUENT = 20  # words that the longest skip looks for
+LEAST_BITS, MOST_BITS, TOKENS_PER_ROW = 12, 17, 256  # rows of a weight table: a power of two in these bounds by the training tokens
+CLASS_FEATURES, SLOT_FEATURES = 4, 3
+FEATURES = CLASS_FEATURES + SLOT_FEATURES
 ROUNDS, RATE, BATCH = 2, 0.15, 8192
-LIMIT = np.float32(16.0)  # five rows make a logit, and exp(80) is finite in single precision
-LEARNER_TOKENS = 2_000_000  # training tokens a learner gets at least, so that weights sent stay a share of the input
+LIMIT = np.float32(12.0)  # five rows make a logit, and exp(60) is finite in single precision
+LEARNER_ROWS = 24  # training tokens a learner gets for each weight row at least, so that weights sent stay a share of the input
 FLUSH = 300_000  # distinct words a task counts before it emits them
+CACHE = 300_000  # rare words a task remembers
 BLOCK, FAN = 1024, 32  # weight rows of a block; blocks summed in one group of the tree
 END = ""  # no word is empty
-SEED_ROWS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD6E8FEB9, 0xA5A35625)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def suffix_class(word: bytes) -> int:
-    return SINGLES + zlib.crc32(word[-3:]) % SUFFIXES
+def group_of(word: bytes) -> int:
+    """Class and slot, as class * SLOTS + slot, of a word without a slot of its own."""
+    h = zlib.crc32(word[-3:])
+    return h % CLASSES * SLOTS + WORD_SLOTS + (h >> 8) % (SLOTS - WORD_SLOTS)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(word, cls, c) over all texts of train, the end counted once a text as the empty word."""
+    """(word, code, c) over all texts of train, the end counted once a text as the empty word."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode() for w in n], "cls": [suffix_class(w) for w in n], "c": list(n.values())})
+            out = pd.DataFrame({"word": [w.decode() for w in n], "code": [group_of(w) for w in n], "c": list(n.values())})
             n.clear()
             return out
 
@@ -63,14 +72,28 @@ def word_counts(train: DataFrame) -> DataFrame:
         if n:
             yield flush()
 
-    return train.select("text").mapInPandas(count, "word string, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInPandas(count, "word string, code int, c long").groupBy("word", "code").agg(F.sum("c").alias("c"))
 
 
 class Symbols(dict):
-    """Word -> symbol: head words by rank, all others by their suffix class, after the head."""
+    """Word -> symbol: 32 bits of hash, its rank in the head (the head's size for all others), its class and slot."""
+
+    def __init__(self, head: dict[bytes, int]):
+        super().__init__({w: symbol(w, k, k % CLASSES * SLOTS + k // CLASSES if k < SINGLES else group_of(w)) for w, k in head.items()})
+        self.size, self.room = len(head), len(head) + CACHE
 
     def __missing__(self, word: bytes) -> int:
-        return len(self) + suffix_class(word)
+        out = symbol(word, self.size, group_of(word))
+        if len(self) < self.room:
+            self[word] = out
+        return out
+
+
+CODE_BITS, RANK_BITS = (CLASSES * SLOTS - 1).bit_length(), 18
+
+
+def symbol(word: bytes, rank: int, code: int) -> int:
+    return (zlib.crc32(word) << (CODE_BITS + RANK_BITS)) | (rank << CODE_BITS) | code
 
 
 def frequent(counts: DataFrame, most: int) -> list:
@@ -94,36 +117,36 @@ class Vocabulary:
     """What of the corpus counts is broadcast: the head, and totals."""
 
     head: dict[bytes, int]
-    log_count: np.ndarray  # log10(c + 1) by symbol; 0 for the tail
-    cls: np.ndarray  # class by symbol
-    log_total: np.ndarray  # log10 of the mass of each class
+    log_count: np.ndarray  # log10(c + 1) by rank; 0 for all words outside the head
+    log_total: np.ndarray  # log10 of the mass of each class and slot; 0 for the slots of one word
     tokens: int
     distinct: int
 
     @classmethod
     def of(cls, counts: DataFrame, most: int = HEAD) -> Vocabulary:
         tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-        mass = np.ones(CLASSES)  # one unknown word a class
-        for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("m")).collect():
-            mass[r["cls"]] += r["m"]
+        mass = np.ones(CLASSES * SLOTS)  # one unknown word a group
+        for r in counts.groupBy("code").agg(F.sum(F.col("c") + 1).alias("m")).collect():
+            mass[r["code"]] += r["m"]
         top = frequent(counts.where(F.col("word") != END), most - 1)
         end = counts.where(F.col("word") == END).first()
-        size = len(top) + 1
-        log_count, kind = np.zeros(size + CLASSES + 1), np.zeros(size + CLASSES + 1, np.int64)
-        kind[size : size + CLASSES] = np.arange(CLASSES)
-        head = {b"": 0}
+        log_count, head = np.zeros(len(top) + 2), {b"": 0}
         if end:
             log_count[0] = np.log10(end["c"] + 1)
-            mass[end["cls"]] -= end["c"] + 1
+            mass[end["code"]] -= end["c"] + 1
         for k, r in enumerate(top, 1):
             head[r["word"].encode()] = k
             log_count[k] = np.log10(r["c"] + 1)
-            kind[k] = k if k < SINGLES else r["cls"]
             if k < SINGLES:
-                mass[r["cls"]] -= r["c"] + 1
+                mass[r["code"]] -= r["c"] + 1
         log_total = np.log10(mass)
-        log_total[:SINGLES] = 0
-        return cls(head, log_count, kind, log_total, tokens or 0, distinct)
+        log_total.reshape(CLASSES, SLOTS)[:, :WORD_SLOTS] = 0
+        return cls(head, log_count, log_total, tokens or 0, distinct)
+
+    @property
+    def bits(self) -> int:
+        """Bits of a weight row's number."""
+        return min(MOST_BITS, max(LEAST_BITS, int(self.tokens // TOKENS_PER_ROW).bit_length()))
 
 
 class Batch:
@@ -131,70 +154,109 @@ class Batch:
 
     LEAD = 3
 
-    def __init__(self, vocabulary: Vocabulary, symbols: Symbols, texts: list[list[bytes]]):
-        start = len(vocabulary.head) + CLASSES
+    def __init__(self, symbols: Symbols, texts: list[list[bytes]]):
+        start, end = -1, symbols[b""]
         flat: list[int] = []
         for t in texts:
             flat += [start] * self.LEAD
             flat += map(symbols.__getitem__, t)
-            flat.append(0)
-        self.symbol = np.array(flat, np.int64)
-        self.at = np.flatnonzero(self.symbol != start)
+            flat.append(end)
+        all_ = np.array(flat, np.int64)
+        self.at = np.flatnonzero(all_ >= 0)
         self.length = np.array([len(t) + 1 for t in texts])
-        self.target = vocabulary.cls[self.symbol[self.at]]
-
-    def rows(self, part: slice) -> np.ndarray:
-        """(tokens, FEATURES) rows of the weight table."""
-        at = self.at[part]
-        one, two, three = (self.symbol[at - k].astype(np.uint64) for k in (1, 2, 3))
-        keys = (one * np.uint64(4), (one * np.uint64(1_000_003) + two) * np.uint64(4) + np.uint64(1), two * np.uint64(4) + np.uint64(2), three * np.uint64(4) + np.uint64(3))
-        out = np.empty((len(at), FEATURES), np.uint16)
-        for k, (key, seed) in enumerate(zip(keys, SEED_ROWS)):
+        rank, self.hash = (all_ >> CODE_BITS) & ((1 << RANK_BITS) - 1), (all_ >> (CODE_BITS + RANK_BITS)).astype(np.uint64)
+        code = all_[self.at] & ((1 << CODE_BITS) - 1)
+        self.code, self.rank = code, rank[self.at]
+        self.target, self.slot = code // SLOTS, code % SLOTS
+        seen = np.where((all_ < 0) | (rank < min(FREQUENT, symbols.size)), np.arange(len(all_)), 0)
+        self.seen = np.maximum.accumulate(seen)  # the last frequent word, or start, up to each place
+
+    def rows(self, part: slice, bits: int) -> np.ndarray:
+        """(FEATURES, tokens) rows of the two weight tables; those of the slots depend on the class too."""
+        at, kind = self.at[part], self.target[part].astype(np.uint64)
+        one, two, three = (self.hash[at - k] for k in (1, 2, 3))
+        far = self.hash[self.seen[at - 1]]
+        keys = (one, one * np.uint64(1_000_003) + two, two, far, one * np.uint64(CLASSES) + kind, two * np.uint64(CLASSES) + kind, far * np.uint64(CLASSES) + kind)
+        out = np.empty((FEATURES, len(at)), np.int32)
+        for k, (key, seed) in enumerate(zip(keys, SEEDS)):
             mixed = (key + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, k] = (mixed >> np.uint64(49)).astype(np.uint16)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            out[k] = (mixed >> np.uint64(64 - bits)).astype(np.int32)
         return out
 
 
-def logits(weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Class scores; weights within LIMIT keep their exponentials finite."""
-    z = weight.take(rows[:, 0], 0)
-    for k in range(1, FEATURES):
-        z += weight.take(rows[:, k], 0)
-    z += weight[ROWS]
-    return z
+@dataclass
+class Weights:
+    """The weights of classes by feature row, and of slots by row of feature and class; the last rows are biases."""
 
+    cls: np.ndarray
+    slot: np.ndarray
 
-def log_probability(weight: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z = logits(weight, rows)
-    mine = z[np.arange(len(target)), target]
-    np.exp(z, out=z)
-    return mine - np.log(z.sum(1))
+    @classmethod
+    def zeros(cls, bits: int) -> Weights:
+        return cls(np.zeros(((1 << bits) + 1, CLASSES), np.float32), np.zeros(((1 << bits) + CLASSES, SLOTS), np.float32))
+
+    @property
+    def bits(self) -> int:
+        return (len(self.cls) - 1).bit_length() - 1
+
+    def logits(self, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the classes, and of the slots of the target classes; weights within LIMIT keep exponentials finite."""
+        z = self.cls.take(rows[0], 0)
+        for k in range(1, CLASS_FEATURES):
+            z += self.cls.take(rows[k], 0)
+        z += self.cls[-1]
+        y = self.slot.take(rows[CLASS_FEATURES], 0)
+        for k in range(CLASS_FEATURES + 1, FEATURES):
+            y += self.slot.take(rows[k], 0)
+        y += self.slot.take(len(self.cls) - 1 + target, 0)
+        return z, y
+
+    def log_probability(self, rows: np.ndarray, target: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Natural logarithm of P(class | h) P(slot | class, h)."""
+        z, y = self.logits(rows, target)
+        n = np.arange(len(target))
+        mine = z[n, target] + y[n, slot]
+        np.exp(z, out=z)
+        np.exp(y, out=y)
+        return mine - np.log(z.sum(1)) - np.log(y.sum(1))
 
 
 class Learner:
     """AdaGrad over batches of tokens; one accumulator a weight row."""
 
-    def __init__(self, weight: np.ndarray):
-        self.weight, self.used = weight.copy(), np.zeros(ROWS + 1, np.float32)
-        self.squares = np.full(ROWS + 1, 1e-2, np.float32)
-
-    def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        g = logits(self.weight, rows)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(len(target)), target] -= 1
-        for k in range(FEATURES):
-            order = np.argsort(rows[:, k], kind="stable")
-            ordered = rows[order, k]
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            self._move(ordered[first].astype(np.int64), np.add.reduceat(g.take(order, 0), first, axis=0), np.diff(np.r_[first, len(ordered)]))
-        self._move(np.array([ROWS]), g.sum(0, keepdims=True), np.array([len(target)]))
-
-    def _move(self, row: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
-        g = g / np.sqrt(n)[:, None].astype(np.float32)
-        self.squares[row] += (g * g).mean(1)
-        self.weight[row] = np.clip(self.weight[row] - RATE * g / np.sqrt(self.squares[row])[:, None], -LIMIT, LIMIT)
-        self.used[row] += n
+    def __init__(self, weights: Weights):
+        self.weights = Weights(weights.cls.copy(), weights.slot.copy())
+        self.used = [np.zeros(len(w), np.float32) for w in (weights.cls, weights.slot)]
+        self.squares = [np.full(len(w), 1e-2, np.float32) for w in (weights.cls, weights.slot)]
+
+    def step(self, rows: np.ndarray, target: np.ndarray, slot: np.ndarray) -> None:
+        z, y = self.weights.logits(rows, target)
+        n = np.arange(len(target))
+        for g, right in ((z, target), (y, slot)):
+            np.exp(g, out=g)
+            g /= g.sum(1, keepdims=True)
+            g[n, right] -= 1
+        for k in range(CLASS_FEATURES):
+            self._move(0, rows[k], z)
+        self._move(0, np.full(len(target), len(self.weights.cls) - 1, np.int32), z)
+        for k in range(CLASS_FEATURES, FEATURES):
+            self._move(1, rows[k], y)
+        self._move(1, (len(self.weights.cls) - 1 + target).astype(np.int32), y)
+
+    def _move(self, table: int, at: np.ndarray, g: np.ndarray) -> None:
+        order = np.argsort(at)
+        ordered = at[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        row, n = ordered[first], np.diff(np.r_[first, len(ordered)]).astype(np.float32)
+        g = np.add.reduceat(g.take(order, 0), first, axis=0)
+        g /= np.sqrt(n)[:, None]
+        weight, squares = (self.weights.cls, self.weights.slot)[table], self.squares[table]
+        squares[row] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        g *= (RATE / np.sqrt(squares[row]))[:, None]
+        weight[row] = np.clip(weight[row] - g, -LIMIT, LIMIT)
+        self.used[table][row] += n
 
 
 def batches_of(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
@@ -210,55 +272,81 @@ def batches_of(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield some
 
 
-def train_round(train: DataFrame, vocabulary: Vocabulary, weight: np.ndarray) -> np.ndarray:
+def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights) -> Weights:
     """New common weights after every task has followed the gradient over its rows of train."""
     context = train.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, weight))
+    shared = context.broadcast((vocabulary.head, weights.cls, weights.slot))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, common = shared.value
-        learner, symbols = Learner(common), Symbols(vocab.head)
+        head, *tables = shared.value
+        learner, symbols = Learner(Weights(*tables)), Symbols(head)
+        bits = learner.weights.bits
         for texts in batches_of(words(t) for b in batches for t in b["text"]):
-            batch = Batch(vocab, symbols, texts)
+            batch = Batch(symbols, texts)
             for k in range(0, len(batch.at), BATCH):
-                learner.step(batch.rows(slice(k, k + BATCH)), batch.target[k : k + BATCH])
-        if learner.used[ROWS]:
+                part = slice(k, k + BATCH)
+                learner.step(batch.rows(part, bits), batch.target[part], batch.slot[part])
+        if learner.used[0][-1]:
             from pyspark import TaskContext
 
             task = TaskContext.get().partitionId()
-            for k in range(0, ROWS + 1, BLOCK):
-                n = learner.used[k : k + BLOCK]
-                yield pd.DataFrame({"block": [k // BLOCK], "task": [task], "value": [(learner.weight[k : k + BLOCK] * n[:, None]).astype(np.float32).tobytes()], "used": [n.tobytes()]})
+            for table, (weight, all_used) in enumerate(zip((learner.weights.cls, learner.weights.slot), learner.used)):
+                for k in range(0, len(weight), BLOCK):
+                    used = all_used[k : k + BLOCK]
+                    at = np.flatnonzero(used).astype(np.int32)
+                    if len(at):
+                        yield pd.DataFrame({"table": [table], "block": [k // BLOCK], "task": [task], "value": [pack_rows(at, used[at], weight[k : k + BLOCK][at])]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, used = (np.sum([np.frombuffer(x, np.float32).astype(float) for x in pdf[c]], axis=0) for c in ("value", "used"))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN, "value": [value.astype(np.float32).tobytes()], "used": [used.astype(np.float32).tobytes()]})
-
-    schema = "block int, task int, value binary, used binary"
+        width = (CLASSES, SLOTS)[int(pdf["table"].iloc[0])]
+        used, value = np.zeros(BLOCK), np.zeros((BLOCK, width))
+        for p in pdf["value"]:
+            at, n, weight = unpack_rows(p, width)
+            used[at] += n
+            value[at] += n[:, None] * weight
+        at = np.flatnonzero(used).astype(np.int32)
+        mean = (value[at] / used[at][:, None]).astype(np.float32)
+        return pd.DataFrame({"table": pdf["table"].iloc[:1], "block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN, "value": [pack_rows(at, used[at].astype(np.float32), mean)]})
+
+    schema = "table int, block int, task int, value binary"
     parts = staged(train.select("text").mapInPandas(learn, schema), "gradients")
     most = parts.agg(F.max("task")).first()[0] or 0
     while True:
-        parts = parts.groupBy("block", F.floor(F.col("task") / FAN).alias("slice")).applyInPandas(lambda pdf: add(pdf), schema)
+        parts = parts.groupBy("table", "block", F.floor(F.col("task") / FAN).alias("slice")).applyInPandas(lambda pdf: add(pdf), schema)
         if most < FAN:
             break
         most //= FAN
-    out = weight.copy()
-    for r in parts.collect():  # the weight table, whatever the input
-        used = np.frombuffer(r["used"], np.float32)
-        value = np.frombuffer(r["value"], np.float32).reshape(len(used), CLASSES)
-        rows = np.flatnonzero(used) + r["block"] * BLOCK
-        out[rows] = value[used > 0] / used[used > 0][:, None]
+    out = Weights(weights.cls.copy(), weights.slot.copy())
+    for r in parts.collect():  # the weight tables: 2^MOST_BITS rows at most, whatever the input
+        into = (out.cls, out.slot)[r["table"]]
+        at, _, weight = unpack_rows(r["value"], into.shape[1])
+        into[at + r["block"] * BLOCK] = weight
     return out
 
 
-def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after one pass over all of train, cut by a hash of the text into `rounds` parts."""
-    weight = np.zeros((ROWS + 1, CLASSES), np.float32)
-    learners = max(1, -(-vocabulary.tokens // LEARNER_TOKENS))
+def pack_rows(at: np.ndarray, used: np.ndarray, weight: np.ndarray) -> bytes:
+    """Weights travel in half precision."""
+    return b"".join([np.array([len(at)], np.int32).tobytes(), at.astype(np.int32).tobytes(), used.astype(np.float32).tobytes(), weight.astype(np.float16).tobytes()])
+
+
+def unpack_rows(pack: bytes, width: int) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(pack, np.int32, 1)[0])
+    at, used = np.frombuffer(pack, np.int32, n, 4), np.frombuffer(pack, np.float32, n, 4 + 4 * n)
+    return at, used, np.frombuffer(pack, np.float16, n * width, 4 + 8 * n).reshape(n, width).astype(np.float32)
+
+
+def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    """Weights after one pass over all of train, cut by a hash of the text into `rounds` parts.
+
+    The number of learners follows from the tokens, so results don't change with the number of shuffle partitions; they
+    do follow the order of the input's files.
+    """
+    weights = Weights.zeros(vocabulary.bits)
+    learners = max(1, vocabulary.tokens // rounds // (LEARNER_ROWS << vocabulary.bits))
     for k in range(rounds):
         part = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(learners)  # never more partitions than there are
-        weight = train_round(part, vocabulary, weight)
-    return weight
+        weights = train_round(part, vocabulary, weights)
+    return weights
 
 
 def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id", head: int = HEAD) -> DataFrame:
@@ -270,25 +358,25 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
     train = train.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counts = staged(word_counts(train), "word-counts")
     vocabulary = Vocabulary.of(counts, head)
-    weight = train_model(train, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weight))
+    weights = train_model(train, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights.cls, weights.slot))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        vocab, w = shared.value
-        symbols, row = Symbols(vocab.head), TaskContext.get().partitionId() << 40
+        vocab, *tables = shared.value
+        weights = Weights(*tables)
+        symbols, row, bits, size = Symbols(vocab.head), TaskContext.get().partitionId() << 40, weights.bits, len(vocab.head)
         for pdf in batches:
             ids, done = pdf["doc_id"].tolist(), 0
             for texts in batches_of(words(t) for t in pdf["text"]):
-                batch = Batch(vocab, symbols, texts)
+                batch = Batch(symbols, texts)
                 logs = np.empty(len(batch.at))
                 for k in range(0, len(batch.at), BATCH):
-                    logs[k : k + BATCH] = log_probability(w, batch.rows(slice(k, k + BATCH)), batch.target[k : k + BATCH])
-                symbol = batch.symbol[batch.at]
-                counted, tail = vocab.log_count[symbol], symbol >= len(vocab.head)
-                alone = batch.target < SINGLES
-                inside = np.where(alone, 0.0, counted - vocab.log_total[batch.target])
+                    part = slice(k, k + BATCH)
+                    logs[part] = weights.log_probability(batch.rows(part, bits), batch.target[part], batch.slot[part])
+                counted, tail = vocab.log_count[batch.rank], batch.rank >= size
+                inside = np.where(batch.slot < WORD_SLOTS, 0.0, counted - vocab.log_total[batch.code])
                 begin = np.r_[0, np.cumsum(batch.length)[:-1]]
                 model = np.add.reduceat(logs / np.log(10) + inside, begin)
                 base, known = np.add.reduceat(counted, begin), np.add.reduceat((~tail).astype(np.int64), begin)

@@ -36,21 +36,89 @@ def test_edge_rows(spark, corpus):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in nothing)
 
 
+TEXTS = ["a b c d e f g", "a b a b c", "h i a b", "the rarer words end alike: walked talked balked", ""]
+
+
+def some_model(spark):
+    counts = M.word_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    vocabulary, rng = M.Vocabulary.of(counts, 6), np.random.default_rng(1)
+    weights = M.Weights.zeros(vocabulary.bits)
+    return vocabulary, M.Weights(rng.normal(size=weights.cls.shape).astype(np.float32), rng.normal(size=weights.slot.shape).astype(np.float32)), {r["word"].encode(): r["c"] for r in counts.collect()}
+
+
 def test_probabilities_sum_to_one(spark):
-    texts = ["a b c d e f g", "a b a b c", "h i a b"]
-    counts = M.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    vocabulary = M.Vocabulary.of(counts)
+    vocabulary, weights, counts = some_model(spark)
+    symbols = M.Symbols(vocabulary.head)
     inside = collections.defaultdict(float)
-    for k in range(len(vocabulary.head)):
-        c = vocabulary.cls[k]
-        inside[c] += 1.0 if c < M.SINGLES else 10 ** (vocabulary.log_count[k] - vocabulary.log_total[c])
-    for c in range(M.SINGLES, M.CLASSES):
-        assert math.isclose(inside[c] + 10 ** -vocabulary.log_total[c], 1.0)  # one unknown word
-    weight = np.random.default_rng(1).normal(size=(M.ROWS + 1, M.CLASSES)).astype(np.float32)
-    batch = M.Batch(vocabulary, M.Symbols(vocabulary.head), [t.encode().split() for t in texts])
-    rows = batch.rows(slice(None))
-    each = [M.log_probability(weight, rows, np.full(len(rows), c)) for c in range(M.CLASSES)]
-    assert np.allclose(np.exp(each).sum(0), 1, atol=1e-4)
+    for w, c in counts.items():
+        code = symbols[w] & ((1 << M.CODE_BITS) - 1)
+        assert (code % M.SLOTS < M.WORD_SLOTS) == (w in vocabulary.head)
+        if w not in vocabulary.head:
+            inside[code] += (c + 1) / 10 ** vocabulary.log_total[code]
+    assert len(inside) > 5
+    for code, total in inside.items():
+        assert math.isclose(total + 10 ** -vocabulary.log_total[code], 1.0)  # one unknown word
+    batch = M.Batch(symbols, [t.encode().split() for t in TEXTS])
+    total = 0
+    for c in range(M.CLASSES):
+        batch.target[:] = c
+        rows = batch.rows(slice(None), weights.bits)
+        total += sum(np.exp(weights.log_probability(rows, batch.target, np.full(len(batch.at), s))) for s in range(M.SLOTS))
+    assert np.allclose(total, 1, atol=1e-3)
+
+
+def test_score_by_hand(spark, monkeypatch):
+    """Every factor of every token recomputed in plain Python, for words in and outside the head and unknown ones."""
+    vocabulary, weights, counts = some_model(spark)
+    monkeypatch.setattr(M, "train_model", lambda *_: weights)
+    mask, start = (1 << 64) - 1, (1 << 64) - 1
+
+    def row(key, seed):
+        m = (key + seed) * 0x9E3779B97F4A7C15 & mask
+        m = (m ^ m >> 32) * 0xD6E8FEB86659FD93 & mask
+        return m >> (64 - weights.bits)
+
+    def softmax(z, k):
+        z = np.exp(np.sum(z, axis=0, dtype=float))
+        return z[k] / z.sum()
+
+    def by_hand(text):
+        out, said = 0.0, [start] * 3 + [zlib.crc32(w) for w in text.encode().lower().split()] + [zlib.crc32(b"")]
+        frequent = {zlib.crc32(w) for w, k in vocabulary.head.items() if k < M.FREQUENT} | {start}
+        for k, w in enumerate(tokens(text), 3):
+            one, two, three = said[k - 1], said[k - 2], said[k - 3]
+            far = next(x for x in reversed(said[:k]) if x in frequent)
+            alone = w in vocabulary.head
+            rank = vocabulary.head.get(w)
+            code = rank % M.CLASSES * M.SLOTS + rank // M.CLASSES if alone else M.group_of(w)
+            c, slot = divmod(code, M.SLOTS)
+            keys = [one, one * 1_000_003 + two, two, far]
+            p = softmax([weights.cls[row(x, s)] for x, s in zip(keys, M.SEEDS)] + [weights.cls[-1]], c)
+            keys = [x * M.CLASSES + c for x in (one, two, far)]
+            p *= softmax([weights.slot[row(x, s)] for x, s in zip(keys, M.SEEDS[4:])] + [weights.slot[len(weights.cls) - 1 + c]], slot)
+            if not alone:
+                p *= (counts.get(w, 0) + 1) / 10 ** vocabulary.log_total[code]
+            out += math.log10(p)
+            assert three is not None
+        return out
+
+    train = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    rows = [(k, t) for k, t in enumerate([*TEXTS, "never seen a b", None, "talked the h"])]
+    got = M.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), train, head=6).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r["score"], by_hand(rows[r["doc_id"]][1] or ""), rel_tol=1e-4)
+
+
+def test_tables_grow_with_the_input():
+    sizes = [M.Vocabulary({b"": 0}, np.zeros(1), np.zeros(1), n, n).bits for n in (0, 10**6, 4 * 10**6, 10**7, 10**12)]
+    assert sizes[0] == M.LEAST_BITS and sizes == sorted(sizes) and sizes[-1] == M.MOST_BITS and len(set(sizes)) > 3
+
+
+def test_packed_rows():
+    at, used, w = np.array([3, 9]), np.array([1.0, 5.0]), np.arange(2 * M.SLOTS).reshape(2, -1) / 8
+    a, u, x = M.unpack_rows(M.pack_rows(at, used, w), M.SLOTS)
+    assert (a == at).all() and (u == used).all() and np.allclose(x, w)
 
 
 def test_learns_context(spark, monkeypatch):
@@ -70,3 +138,5 @@ def test_query(spark, sf_dir):
     rows = queries.QUERIES["op3_hashed_maxent"](spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(docs) and all(r["held_out"] == held(r["doc_id"]) for r in rows)
     check_base(rows, [docs[r["doc_id"]] for r in rows], [t for i, t in docs.items() if not held(i)])
+    tested = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
