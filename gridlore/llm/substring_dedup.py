@@ -276,7 +276,7 @@ def occurrences(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -
             rows = []
             for j, (p, q) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
                 at = told[cuts[j] : cuts[j + 1]]
-                packed = pack_contents(key[head[p:q]].view(np.int64), content_hash[head[p:q]].view(np.int64), low[p:q], (most > low)[p:q].astype(np.int64), contents[p:q])
+                packed = pack_contents((key[head[p:q]] >> np.uint64(32)).astype(np.int64), low[p:q], (most > low)[p:q].astype(np.int64), contents[p:q])
                 rows.append((block, int(place[p]), packed, pack_occurrences(doc[at], row[at], first[at], number[at] - p)))
             return pd.DataFrame(rows, columns=["block", "bucket", "contents", "occurrences"])
 
@@ -306,20 +306,20 @@ def occurrences(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -
     return docs.join(shared, ["doc", "row"]).select("doc", "row", "text", "ordinals").mapInPandas(cut, FOUND)
 
 
-def pack_contents(key: np.ndarray, content_hash: np.ndarray, low: np.ndarray, many: np.ndarray, contents: list[bytes]) -> bytes:
+def pack_contents(key: np.ndarray, low: np.ndarray, many: np.ndarray, contents: list[bytes]) -> bytes:
     size = np.array([len(c) for c in contents], np.int64)
-    return shrunk([np.array([len(contents)], np.int64).tobytes(), *(x.tobytes() for x in (key, content_hash, low, many, size)), *contents])
+    return shrunk([np.array([len(contents)], np.int64).tobytes(), *(x.tobytes() for x in (key, low, many, size)), *contents])
 
 
 def content_heads(pack: bytes) -> np.ndarray:
-    """Rows key, content_hash, low, many, size of a grown pack."""
+    """Rows key, low, many, size of a grown pack. Half a key is enough: two keys that agree there are solved together."""
     n = int(np.frombuffer(pack, np.int64, 1)[0])
-    return np.frombuffer(pack, np.int64, 5 * n, 8).reshape(5, n)
+    return np.frombuffer(pack, np.int64, 4 * n, 8).reshape(4, n)
 
 
 def content_bytes(pack: bytes) -> list[bytes]:
-    size = content_heads(pack)[4]
-    end = 8 + 40 * len(size) + np.cumsum(size)
+    size = content_heads(pack)[3]
+    end = 8 + 32 * len(size) + np.cumsum(size)
     return [pack[e - n : e] for e, n in zip(end.tolist(), size.tolist())]
 
 
@@ -359,7 +359,7 @@ def dealt(found: DataFrame, length: int, limit: int) -> DataFrame:
                 head = content_heads(grown(contents))
                 order = np.argsort(head[0], kind="stable")
                 first = starts(head[0][order])
-                yield pd.DataFrame({"key": head[0][order][first], "bytes": np.add.reduceat(head[4][order] + 40, first)}).assign(bucket=bucket)
+                yield pd.DataFrame({"key": head[0][order][first], "bytes": np.add.reduceat(head[3][order] + 32, first)}).assign(bucket=bucket)
 
     heavy = found.join(over.select("bucket"), "bucket").select("bucket", "contents").mapInPandas(weigh, "key long, bytes long, bucket int")
     heavy = heavy.groupBy("bucket", "key").agg(F.sum("bytes").alias("bytes"))
@@ -378,24 +378,24 @@ def dealt(found: DataFrame, length: int, limit: int) -> DataFrame:
                 head, contents = content_heads(pack), content_bytes(pack)
                 is_hot = np.isin(head[0], np.array(hot, np.int64))
                 cold = np.flatnonzero(~is_hot)
-                part = ((head[0].view(np.uint64) * np.uint64(MIX) >> np.uint64(32)) % np.uint64(n_cold)).astype(np.int64)
+                part = ((head[0].astype(np.uint64) * np.uint64(MIX) >> np.uint64(32)) % np.uint64(n_cold)).astype(np.int64)
                 rows = []
                 for p in np.unique(part[cold]).tolist():
                     at = cold[part[cold] == p]
-                    windows = head[4][at] - length + 1
+                    windows = head[3][at] - length + 1
                     origin = np.column_stack([at, np.zeros_like(at), windows, np.arange(len(at))]).astype(np.int32)
-                    rows.append((block, bucket, 1 + p, pack_contents(*(head[k][at] for k in range(4)), [contents[k] for k in at.tolist()]), origin.tobytes()))
+                    rows.append((block, bucket, 1 + p, pack_contents(*(head[k][at] for k in range(3)), [contents[k] for k in at.tolist()]), origin.tobytes()))
                 at = np.flatnonzero(is_hot)
                 if len(at):
-                    n = head[4][at] - length + 1
+                    n = head[3][at] - length + 1
                     content, window = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     raw = np.frombuffer(b"".join([contents[k] for k in at.tolist()]), np.uint8)
-                    begin = np.repeat(np.cumsum(head[4][at]) - head[4][at], n) + window
+                    begin = np.repeat(np.cumsum(head[3][at]) - head[3][at], n) + window
                     h = window_hashes(raw, begin, length).view(np.int64)
                     order = np.lexsort((h, head[0][content]))
                     first = starts(head[0][content][order], h[order])
-                    low, most = np.minimum.reduceat(head[2][content][order], first), np.maximum.reduceat(head[2][content][order], first)
-                    many = np.maximum.reduceat(head[3][content][order], first) | (most > low)
+                    low, most = np.minimum.reduceat(head[1][content][order], first), np.maximum.reduceat(head[1][content][order], first)
+                    many = np.maximum.reduceat(head[2][content][order], first) | (most > low)
                     lead = order[first]
                     where = ((h[lead].view(np.uint64) >> np.uint64(20)) % np.uint64(n_hot)).astype(np.int64)
                     unique = np.repeat(np.arange(len(lead)), np.diff(np.r_[first, len(order)]))
@@ -405,7 +405,7 @@ def dealt(found: DataFrame, length: int, limit: int) -> DataFrame:
                         inside = np.searchsorted(chosen, unique[mine])
                         origin = np.column_stack([content[order][mine], window[order][mine], np.ones(mine.sum(), np.int64), inside]).astype(np.int32)
                         strings = [raw[b : b + length].tobytes() for b in begin[lead[chosen]].tolist()]
-                        rows.append((block, bucket, 1 + n_cold + p, pack_contents(head[0][content][lead[chosen]], h[lead[chosen]], low[chosen], many[chosen], strings), origin.tobytes()))
+                        rows.append((block, bucket, 1 + n_cold + p, pack_contents(head[0][content][lead[chosen]], low[chosen], many[chosen], strings), origin.tobytes()))
                 yield pd.DataFrame(rows, columns=["block", "bucket", "part", "contents", "origin"])
 
     again = found.join(plan, "bucket").select("block", "bucket", "contents", "hot", "n_cold", "n_hot").mapInPandas(deal, DEALT)
@@ -491,7 +491,8 @@ def solve(packs: list[bytes], length: int) -> list[bytes]:
     """
     packs = [grown(p) for p in packs]
     heads = [content_heads(p) for p in packs]
-    key, content_hash, low, many, size = np.concatenate(heads, axis=1)
+    key, low, many, size = np.concatenate(heads, axis=1)
+    content_hash = np.concatenate([content_hashes(np.frombuffer(p, np.uint8, -1, 8 + 32 * h.shape[1]), np.cumsum(h[3]) - h[3], h[3]) for p, h in zip(packs, heads)])
     order = np.lexsort((content_hash, key))
     first = starts(key[order], content_hash[order])
     distinct = np.empty(len(key), np.int64)
@@ -510,8 +511,8 @@ def solve(packs: list[bytes], length: int) -> list[bytes]:
         wanted[lead[meets]] = True
         for j, p in enumerate(packs):
             at = np.flatnonzero(wanted[edge[j] : edge[j + 1]])
-            end = 8 + 40 * heads[j].shape[1] + np.cumsum(heads[j][4])
-            for k, e, n in zip((at + edge[j]).tolist(), end[at].tolist(), heads[j][4][at].tolist()):
+            end = 8 + 32 * heads[j].shape[1] + np.cumsum(heads[j][3])
+            for k, e, n in zip((at + edge[j]).tolist(), end[at].tolist(), heads[j][3][at].tolist()):
                 texts[k] = p[e - n : e]
         told, window_least = smallest_documents([texts[k] for k in lead[meets].tolist()], least[meets], length)
         use[meets[told[window_least < least[meets][told]]]] = True
