@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from typing import Any
 from urllib.parse import urlsplit
 
+# Names of this machine.
 LOOPBACK = frozenset({"localhost", "127.0.0.1", "::1", "0.0.0.0"})
 
 
@@ -19,7 +20,10 @@ def deep_merge(base: Mapping[str, Any], override: Mapping[str, Any] | None) -> d
 
 
 def engine_url(url: str | None, default: str, reserved_port: int = 8000, any_host: bool = False) -> str:
-    """Address with a scheme and without trailing slashes; the reserved port of this machine is sent to the default."""
+    """Address with a scheme and without trailing slashes; the reserved port of this machine is sent to the default.
+
+    any_host sends that port of every host there, for callers that serve pages from a host of their own.
+    """
     raw = (url or "").strip().rstrip("/")
     if not raw:
         return default
@@ -35,6 +39,9 @@ def engine_url(url: str | None, default: str, reserved_port: int = 8000, any_hos
     return origin + parts.path.rstrip("/")
 
 
+IDLE = "idle"  # before the first refresh
+
+
 def connection_state(demo: bool, persisted_ok: bool, health_ok: bool, snapshot_ok: bool, has_rows: bool) -> str:
     """State after a refresh. Stored rows hide an engine that is away or only half there."""
     if demo:
@@ -46,5 +53,10 @@ def connection_state(demo: bool, persisted_ok: bool, health_ok: bool, snapshot_o
     return "degraded" if health_ok else "offline"
 
 
+def state_while_refreshing(state: str, demo: bool, silent: bool) -> str:
+    """State shown while a refresh runs: `loading` on the first one (in demo mode on each), unless it is silent."""
+    return "loading" if not silent and (demo or state == IDLE) else state
+
+
 def is_connected(state: str) -> bool:
     return state in {"connected", "demo", "persisted"}

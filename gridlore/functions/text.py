@@ -22,6 +22,11 @@ def not_equal(c: Column, value: object) -> Column:
     return ~c.eqNullSafe(F.lit(value))
 
 
+def strip(c: Column) -> Column:
+    """Without any Unicode white space at both ends; trim() takes blanks alone."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalise_space(c: Column) -> Column:
     """Runs of any Unicode white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -38,7 +43,7 @@ def thread_title(message: Column) -> Column:
 
 def display_title(title: Column, thread_id: Column) -> Column:
     """Trimmed title, or the thread's number where there is none."""
-    return absent_to(F.trim(title), F.concat(F.lit("Conversation #"), thread_id.cast("string")))
+    return absent_to(strip(title), F.concat(F.lit("Conversation #"), thread_id.cast("string")))
 
 
 def unix_lines(c: Column) -> Column:
@@ -48,7 +53,7 @@ def unix_lines(c: Column) -> Column:
 def history_line(role: Column, content: Column, most: int = 600) -> Column:
     """`User: ...` for the user, `Assistant: ...` for every other role."""
     label = F.when(role == "user", "User").otherwise("Assistant")
-    return F.concat(label, F.lit(": "), truncate(unix_lines(F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)^\s+|\s+$", "")), most))
+    return F.concat(label, F.lit(": "), truncate(unix_lines(strip(F.coalesce(content, F.lit("")))), most))
 
 
 def humanize_key(key: Column) -> Column:
@@ -59,7 +64,7 @@ def humanize_key(key: Column) -> Column:
 
 
 def short_name(name: Column, mark: str = "·") -> Column:
-    return F.trim(F.split_part(name, F.lit(mark), F.lit(1)))
+    return strip(F.split_part(name, F.lit(mark), F.lit(1)))
 
 
 def joined(values: Column, by: str = ", ") -> Column:
@@ -141,6 +146,7 @@ def labelled(key: Column, labels: dict[str, str], default: Column | None = None)
 STATUS_LABELS = {"active": "Active", "contained": "Contained", "monitoring": "Monitoring", "proposed": "Proposed", "approved": "Approved", "implemented": "Implemented"}
 STATUS_TONES = {"active": "red", "contained": "emerald", "monitoring": "amber", "proposed": "indigo", "approved": "violet", "implemented": "emerald"}
 SEVERITY_TONES = {"critical": "red", "high": "rose", "medium": "amber", "low": "emerald"}
+LEVEL_TONES = {"alert": "red", "warn": "amber", "info": "slate", "debug": "faint"}
 TRIAGE_LABELS = {"escalate": "Escalate", "review": "Review", "monitor": "Monitor", "drop": "Drop"}
 TRIAGE_TONES = {"escalate": "red", "review": "amber", "monitor": "sky", "drop": "slate"}
 HEALTHY, DEGRADED = ("healthy", "connected", "green", "ok"), ("degraded", "yellow", "warming")
@@ -150,6 +156,11 @@ def tone(key: Column, tones: dict[str, str]) -> Column:
     return labelled(key, tones, F.lit("slate"))
 
 
+def level_tone(level: Column) -> Column:
+    """Tone of a log level; unknown and absent levels look like info."""
+    return labelled(level, LEVEL_TONES, F.lit(LEVEL_TONES["info"]))
+
+
 def health_tone(state: Column) -> Column:
     low = F.lower(F.coalesce(state.cast("string"), F.lit("")))
     return F.when(low.isin(*HEALTHY), "good").when(low.isin(*DEGRADED), "degraded").otherwise("other")
@@ -165,6 +176,7 @@ def criticality_tone(criticality: Column) -> Column:
 
 def zone_layer(zone: Column) -> Column:
     """Layer of a zone name: the first rule that is contained in it, by case; no rule or no zone: L2."""
+    # Layers and the zone names that mean them.
     rules = (("L0", "Level 0", "Process"), ("L1", "Level 1", "Basic Control"), ("L2", "Level 2", "Area Control"), ("L3", "Level 3", "Site Operations"), ("L4", "Level 4", "Enterprise"), ("DMZ", "DMZ", "DMZ"))
     out = F.lit("L2")
     for layer, a, b in reversed(rules):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions.text import history_line, plural, thread_title, truncate, truthy
+from gridlore.functions.text import history_line, normalise_space, plural, strip, thread_title, truncate, truthy
 from gridlore.operators.joins import with_counts
 from gridlore.operators.kpis import tail_of
 
-TAIL = 30
+TAIL, TITLE_CHARS = 30, 512
 
 
 def thread_list(threads: DataFrame, messages: DataFrame, updated: str = "updated_at") -> DataFrame:
@@ -23,6 +23,33 @@ def titles(messages: DataFrame, thread: str, order: str, content: str, role: str
     return messages.where(F.col(role) == "user").groupBy(thread).agg(thread_title(first).alias("title"))
 
 
+def with_titles(threads: DataFrame, messages: DataFrame, thread: str, order: str, content: str, role: str = "role") -> DataFrame:
+    """Threads without a title take the one of their first user message; others keep theirs."""
+    first = titles(messages, thread, order, content, role).withColumnsRenamed({thread: "__thread", "title": "__first"})
+    out = threads.join(first, F.col("id") == F.col("__thread"), "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "__first"))
+    return out.drop("__thread", "__first")
+
+
+def renamed(threads: DataFrame, messages: DataFrame, names: DataFrame, site_id: int) -> DataFrame:
+    """The tenant's threads named anew by names (id, title), with their message counts; other threads give no row.
+
+    Titles are normalised and cut; a title without a visible character is not valid and renames nothing.
+    """
+    new = names.select(F.col("id").alias("__id"), F.left(normalise_space(F.col("title")), F.lit(TITLE_CHARS)).alias("__title")).where("__title <> ''")
+    mine = threads.where(F.col("site_id") == site_id).join(new, F.col("id") == F.col("__id")).withColumn("title", F.col("__title")).drop("__id", "__title")
+    return with_counts(mine, messages, "id", "conversation_id", "id")
+
+
+def said(messages: DataFrame, thread: str, text: Column, at: Column, role: str = "user") -> DataFrame:
+    """A new message row for each row of messages: stripped text under the role. Writing is an append."""
+    return messages.select(F.col(thread).alias("conversation_id"), F.lit(role).alias("role"), strip(text).alias("content"), at.alias("created_at"))
+
+
+def shown(messages: DataFrame, key: list[str], at: str) -> DataFrame:
+    """Messages as the page lists them: `db-<id>` and epoch milliseconds."""
+    return messages.withColumns({"id": F.concat(F.lit("db-"), F.concat_ws("-", *key)), "at": F.unix_millis(F.col(at).cast("timestamp"))})
+
+
 def history(messages: DataFrame, thread: str, order: list[str], role: str, content: str, n: int = TAIL) -> DataFrame:
     """(thread, history): the last n messages of each thread, oldest first, one line each."""
     tail = tail_of(messages, thread, order, n).withColumn("__line", history_line(F.col(role), F.col(content)))
@@ -53,4 +80,4 @@ def reply(context: dict[str, str], question: Column, past: Column) -> Column:
     )
     architecture = F.when(truthy(c["architecture"]), F.concat(F.lit("Architecture: "), c["architecture"], F.lit("\n"))).otherwise("")
     earlier = F.when(truthy(past), F.concat(F.lit("\nEarlier in this thread:\n"), past, F.lit("\n"))).otherwise("")
-    return F.concat(head, architecture, earlier, F.lit("\nQuestion: "), truncate(F.trim(question), 500), F.lit("\n"))
+    return F.concat(head, architecture, earlier, F.lit("\nQuestion: "), truncate(strip(question), 500), F.lit("\n"))

@@ -30,9 +30,13 @@ def assets_per_layer(assets: DataFrame, zone: str = "zone") -> DataFrame:
     return every.join(counts, "layer", "left").select("layer", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def edges(connections: DataFrame, assets: DataFrame) -> DataFrame:
-    """Connections with the layers of both ends and their flags; an unknown asset lies in L2 and its edge stays."""
-    ends = small(assets.groupBy("asset_id").agg(F.first("zone").alias("zone")))
+def edges(connections: DataFrame, assets: DataFrame, order: str | None = None) -> DataFrame:
+    """Connections with the layers of both ends and their flags; an unknown asset lies in L2 and its edge stays.
+
+    A repeated asset id counts with its first row in the given order, else with its smallest zone.
+    """
+    zone = F.min_by("zone", order) if order else F.min("zone")
+    ends = small(assets.groupBy("asset_id").agg(zone.alias("zone")))
     out = connections
     for side, key in (("source", "source_asset_id"), ("target", "destination_asset_id")):
         end = ends.select(F.col("asset_id").alias("__id"), F.col("zone").alias("__zone"))

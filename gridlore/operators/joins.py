@@ -7,21 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: A dictionary of at most so many rows is broadcast; a larger one is joined by shuffle.
-SMALL_ROWS = 10_000
+#: A dictionary of at most so many rows and bytes (as JSON) is broadcast; a larger one is joined by shuffle.
+SMALL_ROWS, SMALL_BYTES = 10_000, 8 << 20
 
 
 def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The first row of each key in the given order; a hot key is combined before it is shuffled."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def small(dimension: DataFrame) -> DataFrame:
     """The dictionary, hinted for broadcast if it really is small."""
-    return F.broadcast(dimension) if dimension.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dimension
+    some = dimension.limit(SMALL_ROWS + 1).select(F.octet_length(F.to_json(F.struct(*dimension.columns))).alias("b"))
+    rows, size = some.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(dimension) if rows <= SMALL_ROWS and size <= SMALL_BYTES else dimension
 
 
 def with_counts(parents: DataFrame, children: DataFrame, key: str, child_key: str, child_id: str, name: str = "message_count") -> DataFrame:

@@ -33,6 +33,13 @@ def top_elements(df: DataFrame, array: Column, k: int, alias: str, tie: Column |
     return top_counts(opened, F.col("__e"), k, alias, F.struct("__ord", "__pos"), name)
 
 
+def top_named(df: DataFrame, key: Column, k: int, names: DataFrame, name_key: str, name: str, alias: str = "key") -> DataFrame:
+    """The k most frequent keys, null as `undefined`, with the name each has in a dictionary, or the key itself. The lookup is after the limit."""
+    top = top_counts(df, F.coalesce(key.cast("string"), F.lit(UNDEFINED)), k, alias)
+    said = names.groupBy(F.col(name_key).cast("string").alias("__k")).agg(F.min(name).alias("__name"))
+    return top.join(said, F.col(alias) == F.col("__k"), "left").select(alias, "n", F.coalesce("__name", alias).alias("name"))
+
+
 def distinct_values(key: Column, sentinel: object = UNDEFINED) -> Column:
     """Distinct values, null being one of them."""
     return F.count_distinct(F.coalesce(key.cast("string"), F.lit(sentinel)))
@@ -72,10 +79,18 @@ def priority_rank(priority: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, F.coalesce(priority, F.lit(""))), F.lit(PRIORITIES["medium"]))
 
 
-def buckets(df: DataFrame, rank: Column, order: str, value: str, alias: str = "members") -> DataFrame:
-    """(rank, members) for each bucket that has rows, members in the given order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return df.groupBy(rank.alias("rank")).agg(F.transform(ordered, lambda s: s["v"]).alias(alias))
+def buckets(df: DataFrame, rank: Column, order: str) -> DataFrame:
+    """Rows with the rank of their bucket, bucket by bucket in the given order: a distributed sort, whatever a bucket's size."""
+    return df.withColumn("rank", rank).orderBy("rank", order)
+
+
+def bucket_page(df: DataFrame, rank: Column, order: str, value: str, most: int, alias: str = "members") -> DataFrame:
+    """(rank, n, members): buckets that have rows, with their size and their first `most` members for a page."""
+    ranked = df.select(rank.alias("rank"), F.col(order).alias("__o"), F.col(value).alias("__v"))
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("__o", "__v"))
+    first = ranked.withColumn("__p", place).where(F.col("__p") <= most)
+    lists = first.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__v"))), lambda s: s["__v"]).alias(alias))
+    return ranked.groupBy("rank").agg(F.count("*").alias("n")).join(lists, "rank")
 
 
 def has_rows(*frames: DataFrame) -> bool:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridlore.functions.text import absent_to
 
@@ -17,21 +16,26 @@ def stacked(older: DataFrame, newer: DataFrame, order: str) -> DataFrame:
 def merge_entities(stored: DataFrame, live: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """One row a key, the last one's whole content at the first one's place; rows without a key go.
 
-    `position` is (source, order) of the first appearance; sorting by it gives the order of first appearances.
+    `position` is (source, order) of the first appearance; sorting by it gives the order of first appearances. A key
+    with most of the rows is combined before it is shuffled.
     """
     both = stacked(stored, live, order).where(F.col(key).isNotNull())
-    per_key = Window.partitionBy(key)
-    ranked = both.withColumn("__last", F.row_number().over(per_key.orderBy(F.desc("__at")))).withColumn("position", F.min("__at").over(per_key))
-    return ranked.where("__last = 1").drop("__last", "__source", "__at")
+    whole = F.struct(*[c for c in both.columns if c not in ("__source", "__at")])
+    return both.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, "__at").alias("__row"), F.min("__at").alias("position")).select("__row.*", "position")
+
+
+def log_identity(columns: list[str], key: str) -> Column:
+    """A log row's key, or its content as JSON where it has none."""
+    return F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("j"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
 
 
 def merge_logs(stored: DataFrame, live: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """One row a key, the first one; rows without a key are kept apart by their content as JSON."""
     content = [c for c in dict.fromkeys([*stored.columns, *live.columns]) if c != order]
     both = stacked(stored, live, order)
-    identity = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("j"), F.to_json(F.struct(*content), {"ignoreNullFields": "false"})))
-    rank = F.row_number().over(Window.partitionBy("__identity").orderBy("__at"))
-    return both.withColumn("__identity", identity).withColumn("__rank", rank).where("__rank = 1").withColumn("position", F.col("__at")).drop("__rank", "__identity", "__source", "__at")
+    whole = F.struct(*[c for c in both.columns if c not in ("__source", "__at")])
+    first = both.groupBy(log_identity(content, key).alias("__identity")).agg(F.min_by(whole, "__at").alias("__row"), F.min("__at").alias("position"))
+    return first.select("__row.*", "position")
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -64,5 +68,16 @@ def mitigation_status(applied: Column, payload_status: Column) -> Column:
     return F.when(F.coalesce(applied, F.lit(False)), "implemented").otherwise(absent_to(payload_status, F.lit("proposed")))
 
 
+def ingested(log: DataFrame, changes: DataFrame, site: str = "site_id", external: str = "external_id", at: str = "at") -> tuple[DataFrame, DataFrame]:
+    """(log with the changes appended, answers (ok, persistedRecordId)): one answer a change.
+
+    A record's id follows from its tenant and external id, so the same record is answered with the same id each time; a
+    change without an external id is a record of its own. Flags set on a record are a log of their own and stay.
+    """
+    own = F.concat_ws("\n", F.col(site), F.coalesce(F.nullif(F.col(external).cast("string"), F.lit("")), F.concat_ws("\t", F.lit(""), F.col(at).cast("string"), F.col("payload"))))
+    rows = changes.withColumn("id", F.xxhash64(own))
+    return upsert(log, rows), rows.select(F.lit(True).alias("ok"), F.col("id").alias("persistedRecordId"))
+
+
 def prefer(live: Column, stored: Column) -> Column:
     return F.coalesce(live, stored)

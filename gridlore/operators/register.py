@@ -30,9 +30,9 @@ def sheet(frames: dict[str, DataFrame], name: str) -> DataFrame | None:
     return frames.get(name) if name != OVERVIEW else None
 
 
-def numbered(df: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
-    """Row numbers from 1. Without a group the rows are meant for one display page."""
-    window = Window.partitionBy(*([group] if group else [])).orderBy(*order)
+def numbered(df: DataFrame, order: list[str], group: str) -> DataFrame:
+    """Row numbers from 1 inside each group."""
+    window = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("row_number", F.row_number().over(window))
 
 

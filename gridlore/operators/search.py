@@ -8,11 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions.text import not_equal, truthy
+from gridlore.functions.text import not_equal, strip, truthy
 
 ALL = "all"
+# The fields that the pages search, scalars and arrays.
 ALERT_FIELDS = (("id", "message", "assetId", "datacomponent", "chainId", "layerC.action"), ("techniqueIds", "tacticIds", "srcIps", "destIps"))
 LOG_FIELDS = (("id", "message", "source", "assetId", "alertId"), ())
+MITIGATION_FIELDS = (("title", "rationale", "id", "chainId", "kgMitigationId", "kgMitigationName"), ("appliesToAssets", "appliesToTechniques", "appliesToZones"))
+CHAIN_FIELDS = (("name", "summary", "id"), ("techniques", "tactics", "targetAssets"))
+PUBLIC_SITE = ("id", "username", "site_name", "ics_architecture", "created_at", "updated_at")
 
 
 def tenant(df: DataFrame, site_id: int, site: str = "site_id") -> DataFrame:
@@ -30,11 +34,12 @@ def lookup(df: DataFrame, site_id: int, key: object, site: str = "site_id", id_c
 
 def by_username(sites: DataFrame, username: str) -> DataFrame:
     """Trimmed and compared by case."""
-    return sites.where(F.col("username") == F.trim(F.lit(username)))
+    return sites.where(F.col("username") == F.lit(username.strip()))
 
 
-def public(sites: DataFrame, secrets: Iterable[str] = ("password_hash", "asset_register_json")) -> DataFrame:
-    return sites.drop(*secrets)
+def public(sites: DataFrame, allowed: Iterable[str] = PUBLIC_SITE) -> DataFrame:
+    """Only the columns that are allowed out; a new column stays inside until it is named."""
+    return sites.select(*[c for c in allowed if c in sites.columns])
 
 
 def equals(column: str, value: str | None) -> Column:
@@ -88,7 +93,7 @@ def prefix(column: str, n: int) -> Column:
 def validation(text: str, low: int, high: int, blank: bool = False) -> Column:
     """Length from low to high; blank texts pass only where allowed."""
     c = F.coalesce(F.col(text), F.lit(""))
-    return F.char_length(c).between(low, high) & (F.lit(blank) | (F.trim(c) != ""))
+    return F.char_length(c).between(low, high) & (F.lit(blank) | (strip(c) != ""))
 
 
 def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:

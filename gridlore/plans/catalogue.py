@@ -6,29 +6,17 @@ for threads, events for logs and payloads. Every query reads its whole tables; l
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions import text as X
 from gridlore.operators import assistant, graph, joins, kpis, merge, register, search
+from gridlore.plans import records  # noqa: F401 - registers its queries
+from gridlore.plans.registry import QUERIES, SQL, registered, scratch
 from gridlore.sources.readers import payload_id, table
+from gridlore.streaming.live import MergedTable, follow
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql:
-            SQL[query.__name__] = sql
-        return query
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 TITLE_SQL = r"""CASE WHEN length({c}) > 80 THEN left({c}, 77) || '…' ELSE {c} END"""
 SPACE_SQL = r"""trim(regexp_replace({c}, '[ \t\n\r\f\v]+', ' ', 'g'))"""
@@ -86,12 +74,11 @@ WITH m AS (SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn, ar
 s AS (SELECT *, {SPACE_SQL.format(c="first_text")} AS t FROM m)
 SELECT conv_id, message_count, last_turn, {TITLE_SQL.format(c="t")} AS title FROM s""")
 def thread_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads with counts and titles, the longest first in place of an update time."""
-    rows = table(spark, sf_dir, "conversations").withColumn("message_id", F.concat_ws("-", "conv_id", "turn"))
-    threads = rows.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    counted = joins.with_counts(threads, rows, "conv_id", "conv_id", "message_id")
-    named = assistant.titles(rows, "conv_id", "turn", "text")
-    return counted.join(named, "conv_id", "left").select("conv_id", "message_count", "last_turn", "title").orderBy(F.desc("last_turn"), "conv_id")
+    """Threads with counts and titles, the longest first in place of an update time: one aggregation of the messages."""
+    rows = table(spark, sf_dir, "conversations")
+    first = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
+    threads = rows.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"), X.thread_title(first).alias("title"))
+    return threads.orderBy(F.desc("last_turn"), "conv_id")
 
 
 @registered(r"""
@@ -308,8 +295,9 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT doc_id, {SPACE_SQL.format(c="coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, {TITLE_SQL.format(c="t")} AS title, trim(split_part(t, '.', 1)) AS short_name FROM n""")
 def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", X.thread_title(body).alias("title"), X.short_name(X.normalise_space(body), ".").alias("short_name"))
+    clean = F.array(X.normalise_space(F.coalesce("text", F.lit(""))))  # bound once by the lambda
+    both = F.get(F.transform(clean, lambda t: F.struct(X.truncate(t, 80).alias("title"), X.short_name(t, ".").alias("short_name"))), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("b")).select("doc_id", "b.*")
 
 
 @registered("""
@@ -352,9 +340,9 @@ def applied_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "applied", F.col("applied_at").cast("string").alias("applied_at"), merge.mitigation_status(F.col("applied"), own).alias("status"))
 
 
-@registered("""
-SELECT role, count(*) FILTER (WHERE length(coalesce(text, '')) BETWEEN 1 AND 400 AND trim(coalesce(text, '')) <> '') AS valid,
-       count(*) FILTER (WHERE NOT (length(coalesce(text, '')) BETWEEN 1 AND 400 AND trim(coalesce(text, '')) <> '')) AS rejected FROM conversations GROUP BY role""")
+@registered(r"""
+SELECT role, count(*) FILTER (WHERE length(coalesce(text, '')) BETWEEN 1 AND 400 AND regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '') AS valid,
+       count(*) FILTER (WHERE NOT (length(coalesce(text, '')) BETWEEN 1 AND 400 AND regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '')) AS rejected FROM conversations GROUP BY role""")
 def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = search.validation("text", 1, 400)
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(rule).alias("valid"), F.count_if(~rule).alias("rejected"))
@@ -400,23 +388,16 @@ def series_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpis.scaled(days, "n")
 
 
-@registered("SELECT event_id, user_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
+@registered("""
+SELECT event_id, user_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1""")
 def stream_merge_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, merged batch by batch into a stored table: the same rows as one batch merge."""
-    import tempfile
-    import uuid
-
-    from gridlore.streaming.live import MergedTable, follow
-
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="gridlore-")
-    root = f"{shared}/stream-{uuid.uuid4().hex[:12]}"
-    source = f"{root}/in"
+    """Events as a stream in several micro-batches, merged into a stored table, with a restart in between and compactions."""
+    root = scratch(spark, "stream")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value", F.col("event_id").alias("ord"))
-    rows.write.parquet(source)
-    merged = MergedTable(spark, f"{root}/out", "event_id", "ord", logs=True)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    query = follow(stream, merged.absorb, f"{root}/checkpoint", once=True)
-    query.awaitTermination()
-    out = merged.read()
+    for half in (F.pmod("event_id", F.lit(2)) == 0, F.lit(True)):  # the second run brings all rows again, first-wins
+        rows.where(half).repartition(4).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        merged = MergedTable(spark, f"{root}/out", "event_id", "ord", logs=True, compact_every=2)
+        follow(stream, merged.absorb, f"{root}/checkpoint", once=True).awaitTermination()
+    out = MergedTable(spark, f"{root}/out", "event_id", "ord", logs=True).read()
     return (out if out is not None else rows.limit(0)).select("event_id", "user_id", "event_type", "ts", "value")

@@ -32,20 +32,42 @@ class Snapshot:
 PARTS = {"chains": schemas.CHAINS, "alerts": schemas.ALERTS, "logs": schemas.LOGS, "mitigations": schemas.MITIGATIONS}
 
 
+def snapshot_part(whole: DataFrame, name: str) -> DataFrame:
+    """Rows of one list of snapshots, from a column `value` of JSON objects, batch or stream."""
+    return whole.select(F.posexplode(_list("value", name, PARTS[name])).alias("ord", "row")).where("row is not null").select("row.*", F.col("ord").cast("long").alias("ord"))
+
+
+def snapshot_stream(spark: SparkSession, path: str, name: str, files_per_batch: int = 1) -> DataFrame:
+    """One list of the snapshots dropped into a folder, as a stream: a file is a snapshot, a micro-batch takes the next files."""
+    return snapshot_part(spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path), name)
+
+
+def fixture(spark: SparkSession, parts: dict[str, list[tuple]], stats: list[tuple] | None = None) -> Snapshot:
+    """A snapshot of given rows (a demo): parts that aren't named are empty; `ord` is the place in the list."""
+    from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
+
+    def part(name: str) -> DataFrame:
+        schema = _parse_datatype_string(PARTS[name])
+        return spark.createDataFrame([(*r, k) for k, r in enumerate(parts.get(name, []))], StructType([*schema.fields, StructField("ord", LongType())]))
+
+    return Snapshot(*[part(n) for n in PARTS], stats=spark.createDataFrame(stats, schemas.STATS) if stats else None, fetched_at=F.current_timestamp())
+
+
 def snapshot_json(spark: SparkSession, path: str) -> Snapshot:
     """Snapshots from files of one JSON object each; a part that isn't a list is empty, unknown fields are left out.
 
     `ord` is the place in the list, on which first- and last-wins rules rest.
     """
     whole = spark.read.text(path, wholetext=True)
-
-    def part(name: str) -> DataFrame:
-        rows = F.from_json(F.get_json_object("value", f"$.{name}"), f"array<struct<{_fields(PARTS[name])}>>")
-        return whole.select(F.posexplode(rows).alias("ord", "row")).where("row is not null").select("row.*", F.col("ord").cast("long").alias("ord"))
-
     stats = whole.select(F.from_json(F.get_json_object("value", "$.stats"), schemas.STATS).alias("s")).where("s is not null").select("s.*")
     fetched = F.coalesce(F.get_json_object("value", "$.fetchedAt"), F.get_json_object("value", "$.fetched_at"))
-    return Snapshot(*[part(n) for n in PARTS], stats=stats, fetched_at=F.coalesce(F.try_to_timestamp(fetched), F.current_timestamp()))
+    return Snapshot(*[snapshot_part(whole, n) for n in PARTS], stats=stats, fetched_at=F.coalesce(F.try_to_timestamp(fetched), F.current_timestamp()))
+
+
+def _list(json: str, name: str, ddl: str) -> Column:
+    """A list of objects; what isn't a list is null (from_json alone would make one of a single object)."""
+    part = F.get_json_object(json, f"$.{name}")
+    return F.when(part.startswith("["), F.from_json(part, f"array<struct<{_fields(ddl)}>>"))
 
 
 def _fields(ddl: str) -> str:
@@ -56,10 +78,14 @@ def _fields(ddl: str) -> str:
 
 
 def register_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The sheets of register files (one JSON object each), and `metadata` as a map column; malformed files have no rows."""
-    whole = spark.read.text(path, wholetext=True)
+    """The sheets of register files (one JSON object each)."""
+    return sheets_of(spark.read.text(path, wholetext=True))
+
+
+def sheets_of(whole: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of registers in a column `value` of JSON objects, and `metadata` as a map column; malformed ones have no rows."""
     sheets = {
-        name: whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"array<struct<{_fields(ddl)}>>")).alias("row")).where("row is not null").select("row.*")
+        name: whole.select(F.explode(_list("value", name, ddl)).alias("row")).where("row is not null").select("row.*")
         for name, ddl in schemas.REGISTER.items()
     }
     return sheets | {"metadata": whole.select(F.from_json(F.get_json_object("value", "$.metadata"), "map<string,string>").alias("metadata"))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field names and types of the wire format.
 CHAINS = (
     "id string, name string, status string, severity string, confidence double, startedAt string, lastSeenAt string, alertsCount bigint, killChainProgress double, "
     "tactics array<string>, techniques array<string>, attackerAssets array<string>, targetAssets array<string>, summary string, "

@@ -1,15 +1,19 @@
-"""Live snapshots as a stream: every micro-batch is merged into what is stored."""
+"""Live snapshots as a stream: every micro-batch is appended to what is stored and merged when it is read."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridlore.operators.merge import merge_entities, merge_logs
+from gridlore.operators.merge import log_identity
 
 POLL_SECONDS, LEAST_SECONDS = 15, 3
+COMPACT_EVERY = 32  # batches between two compactions
+COMMITS = "number long, kind string"
 
 
 def poll_interval(seconds: int | None) -> str:
@@ -18,26 +22,69 @@ def poll_interval(seconds: int | None) -> str:
 
 
 class MergedTable:
-    """Parquet versions below one path, each the merge of the last with one micro-batch; a replayed batch is skipped."""
+    """A change log below one path, read through a merge: entities last-wins at their first place, logs first-wins.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str, logs: bool = False):
-        self.spark, self.path, self.key, self.order = spark, path, key, order
-        self.merge = merge_logs if logs else merge_entities
-        self.version: str | None = None
-        self.done = -1
+    Batch n is the folder batch-n, written once and overwritten by a replay; a row in `commits` says that it is whole. Now
+    and then the merged state is written as base-n, which stands for all batches up to n. All there is to know is in the
+    files, so a new object on the same path goes on where the last one ended.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, logs: bool = False, compact_every: int = COMPACT_EVERY):
+        self.spark, self.path, self.key, self.order, self.logs, self.compact_every = spark, path, key, order, logs, compact_every
+
+    def commits(self) -> list[tuple[int, str]]:
+        try:
+            rows = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").collect()  # two short rows a batch at most
+        except AnalysisException:
+            return []
+        return sorted({(r["number"], r["kind"]) for r in rows})
+
+    def _commit(self, number: int, kind: str) -> None:
+        self.spark.createDataFrame([(number, kind)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _parts(self, commits: list[tuple[int, str]]) -> tuple[int | None, list[int]]:
+        """The last base, and the batches after it."""
+        base = max((n for n, kind in commits if kind == "base"), default=None)
+        return base, [n for n, kind in commits if kind == "batch" and (base is None or n > base)]
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.version) if self.version else None
+        """The merged rows with `position`, (batch, order) of the first appearance; nothing before the first batch."""
+        base, batches = self._parts(self.commits())
+        frames = [self.spark.read.parquet(f"{self.path}/base-{base}").withColumn("__at", F.struct(F.lit(base).cast("long").alias("batch"), F.col(self.order).alias("ord")))] if base is not None else []
+        for n in batches:
+            at = F.struct(F.lit(n).cast("long").alias("batch"), F.col(self.order).alias("ord"))
+            frames.append(self.spark.read.parquet(f"{self.path}/batch-{n}").withColumns({"position": at, "__at": at}))
+        if not frames:
+            return None
+        rows = frames[0]
+        for f in frames[1:]:
+            rows = rows.unionByName(f, allowMissingColumns=True)
+        return self._merged(rows)
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        content = [c for c in rows.columns if c not in ("position", "__at")]
+        identity: Column = log_identity([c for c in content if c != self.order], self.key) if self.logs else F.col(self.key)
+        chosen = (F.min_by if self.logs else F.max_by)(F.struct(*content), F.col("__at"))
+        kept = rows if self.logs else rows.where(F.col(self.key).isNotNull())
+        return kept.groupBy(identity.alias("__identity")).agg(chosen.alias("__row"), F.min("position").alias("position")).select("__row.*", "position")
 
     def absorb(self, batch: DataFrame, number: int) -> None:
-        if number <= self.done:
+        """Append a micro-batch; one that is committed already is skipped."""
+        commits = self.commits()
+        if any(n >= number for n, _ in commits):
             return
-        stored = self.read()
-        merged = self.merge(stored if stored is not None else batch.limit(0), batch, self.key, self.order)
-        merged = merged.drop("position")
-        target = f"{self.path}/v={number}"
-        merged.write.mode("overwrite").parquet(target)
-        self.version, self.done = target, number
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
+        self._commit(number, "batch")
+        if len(self._parts(commits)[1]) + 1 >= self.compact_every:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the merged state as the new base; the batches before it are not read any more."""
+        base, batches = self._parts(self.commits())
+        if batches:
+            state = self.read()
+            state.write.mode("overwrite").parquet(f"{self.path}/base-{batches[-1]}")
+            self._commit(batches[-1], "base")
 
 
 def follow(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None, once: bool = False) -> StreamingQuery:

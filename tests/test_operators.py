@@ -108,8 +108,10 @@ def test_top_elements_break_ties_by_first_seen(spark):
 
 def test_priority_buckets(spark):
     df = spark.createDataFrame([(0, "high"), (1, "odd"), (2, "critical"), (3, None), (4, "medium")], "ord long, p string")
-    out = kpis.buckets(df, kpis.priority_rank(F.col("p")), "ord", "ord").orderBy("rank").collect()
-    assert [(r["rank"], r["members"]) for r in out] == [(0, [2]), (1, [0]), (2, [1, 3, 4])]
+    rank = kpis.priority_rank(F.col("p"))
+    assert [(r["rank"], r["ord"]) for r in kpis.buckets(df, rank, "ord").collect()] == [(0, 2), (1, 0), (2, 1), (2, 3), (2, 4)]
+    page = kpis.bucket_page(df, rank, "ord", "ord", 2).orderBy("rank").collect()
+    assert [(r["rank"], r["n"], r["members"]) for r in page] == [(0, 1, [2]), (1, 1, [0]), (2, 3, [1, 3])]
 
 
 def test_map_total_floor_and_override(spark):
@@ -192,4 +194,27 @@ def test_stream_merges_like_a_batch(spark, tmp_path):
     assert rows(table.read(), "id", "v") == [(1, "c"), (2, "b"), (3, "d")]
     table.absorb(second, 0)
     assert rows(table.read(), "id", "v") == [(1, "c"), (2, "b"), (3, "d")]
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "id string, v int, ord long"
+    for k, part in enumerate(([("x", 1, 0), ("y", 1, 1)], [("y", 2, 0), ("x", 2, 1)], [("z", 3, 0)], [("x", 4, 0), (None, 4, 1)])):
+        live.MergedTable(spark, str(tmp_path), "id", "ord", compact_every=2).absorb(spark.createDataFrame(part, schema), k)
+    table = live.MergedTable(spark, str(tmp_path), "id", "ord")
+    assert [(r["id"], r["v"]) for r in table.read().orderBy("position").collect()] == [("x", 4), ("y", 2), ("z", 3)]
+    assert {kind for _, kind in table.commits()} == {"batch", "base"}
+    table.absorb(spark.createDataFrame([("x", 9, 0)], schema), 3)  # a replay of what is committed
+    assert rows(table.read(), "id", "v") == [("x", 4), ("y", 2), ("z", 3)]
+    assert live.MergedTable(spark, str(tmp_path / "none"), "id", "ord").read() is None
+
+
+def test_logs_keep_the_first_row_across_restarts(spark, tmp_path):
+    schema = "id string, v int, ord long"
+    for k, part in enumerate(([("x", 1, 0), (None, 1, 1)], [("x", 2, 0), (None, 1, 1), (None, 2, 2)])):
+        live.MergedTable(spark, str(tmp_path), "id", "ord", logs=True).absorb(spark.createDataFrame(part, schema), k)
+    merged = live.MergedTable(spark, str(tmp_path), "id", "ord", logs=True).read().orderBy("position")
+    assert [(r["id"], r["v"]) for r in merged.collect()] == [("x", 1), (None, 1), (None, 2)]
+
+
+def test_poll_interval():
     assert live.poll_interval(1) == "3 seconds" and live.poll_interval(None) == "15 seconds"
