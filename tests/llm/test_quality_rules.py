@@ -43,6 +43,35 @@ def test_list_finds_planted_rules(spark):
     assert str(found).startswith("IF ") and str(found).endswith("ELSE True")
 
 
+def holds(rule, r):
+    whole = {"mean_word": "n_words", "symbols_per_word": "n_words", "dup_line_share": "n_lines", "repeat_share": "n_words", "distinct_share": "n_words", "upper_share": "word_chars", "words_per_line": "n_lines"}
+    part = {"mean_word": "word_chars", "symbols_per_word": "n_symbols", "dup_line_share": "n_dup_lines", "repeat_share": "n_repeat_words", "distinct_share": "n_distinct_words", "upper_share": "n_upper", "words_per_line": "n_words"}
+    values = {f: r[part[f]] / max(1, r[whole[f]]) for f in whole} | {"n_words": r["n_words"]}
+    return all((values[c.feature] > c.threshold) == c.above for c in rule)
+
+
+def test_kept_is_the_list_row_by_row(spark, sf_dir):
+    """The smallest tables have six bad labels past the base rule: enough for a rule, and no good document goes."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out, rules = Q.judge(docs, labels)
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = out.collect()
+    assert rules.rules
+    for r in rows:
+        assert r["kept"] == (not r["base_failed"] and not any(holds(rule, r) for rule in rules.rules))
+    told = [(truth[r["doc_id"]], r["kept"]) for r in rows if r["doc_id"] in truth and not r["base_failed"]]
+    caught, lost = sum(q == 0 and not k for q, k in told), sum(q == 1 and not k for q, k in told)
+    assert caught >= 0.9 * sum(q == 0 for q, _ in told) and lost <= 0.02 * sum(q == 1 for q, _ in told)
+
+
+def test_chance_makes_no_rule(spark):
+    """Labels that nothing explains: rules would only be luck."""
+    rows = [(k, 100 + 7 * k % 50, 500 + 13 * k % 70, 11 * k % 9, 3 * k % 8, 10, 0, 0, 80 - 5 * k % 17, hash(("x", k * 7919)) % 12 == 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long, n_distinct_words long, bad boolean")
+    found = Q.learn(df)
+    assert df.where(~found.column()).count() <= 12
+
+
 def test_without_labels_only_the_base_rule_rejects(spark, corpus):
     df, _ = corpus
     out, rules = Q.judge(df, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int"))
