@@ -24,6 +24,7 @@ NO_PAIR = np.iinfo(np.int32).max
 CACHE_PIECES = 400_000  # pieces remembered by a task before it forgets them all
 BATCH_CHARS = 1 << 20  # code points encoded together
 MATRIX_CELLS = 1 << 21  # cells of one padded matrix; a longer single row is a matrix of its own
+LONG = 4096  # bytes of a piece from which on a round merges all its pairs of the minimum rank
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 
 
@@ -122,6 +123,48 @@ class Encoder:
         final[alive, : rows.shape[1]], final_length[alive] = rows, length
         return final, final_length
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Merge one long row to the end, as merge would.
+
+        A round takes all pairs of the minimum rank from the left, as long as no merge makes a pair of a lower rank: then
+        the leftmost-minimum order would take just these, one by one. Where one does, the round merges the leftmost only.
+        """
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        while len(rank):
+            value = rank.min()
+            if value == NO_PAIR:
+                break
+            at = np.flatnonzero(rank == value)
+            run = np.cumsum(np.r_[True, np.diff(at) > 1])  # pairs that overlap their neighbours: every other one of a run
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            merged, new = self._merged(ids, rank, at, value)
+            if len(at) > 1 and self._lowest(ids, new, at, value) < value:
+                merged, new = self._merged(ids, rank, at[:1], value)
+            ids, rank = merged, new
+        return ids
+
+    def _merged(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, value: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids with the pairs at `at` replaced by value, and the ranks of all pairs then."""
+        stays = np.ones(len(ids), bool)
+        stays[at + 1] = False
+        out = ids.copy()
+        out[at] = value
+        out = out[stays]
+        new = rank[stays[1:]] if len(rank) else rank  # a pair goes with the id on its right
+        place = at - np.arange(len(at))
+        left, right = place[place > 0] - 1, place[place < len(out) - 1]
+        for side in (left, right):
+            new[side] = self.pairs.get(out[side], out[side + 1])
+        return out, new
+
+    def _lowest(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, value: int) -> int:
+        """The lowest rank beside a merged place, when all are merged and when only those left of it are."""
+        place = at - np.arange(len(at))
+        now = rank[np.r_[place[place > 0] - 1, place[place < len(rank)]]]
+        right = ids[at[at + 2 < len(ids)] + 2]
+        then = self.pairs.get(np.full(len(right), value, np.int32), right)
+        return min(int(x.min()) for x in (now, then) if len(x)) if len(now) or len(then) else int(NO_PAIR)
+
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece. A piece that is itself a token is that token."""
         whole = list(map(self.ranks.get, pieces))
@@ -131,6 +174,10 @@ class Encoder:
         begin = 0
         while begin < len(rest):
             size = int(sizes[begin])
+            if size >= LONG:
+                out[rest[begin]] = self.merge_long(self.byte_id[np.frombuffer(pieces[rest[begin]], np.uint8)]).tolist()
+                begin += 1
+                continue
             width = next((w for w in WIDTHS if w >= size), size)
             end = min(int(np.searchsorted(sizes, width, "right")), begin + max(1, MATRIX_CELLS // width))
             group, length = rest[begin:end], sizes[begin:end]

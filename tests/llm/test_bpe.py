@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -28,6 +29,29 @@ def test_same_ids_as_the_library(pair):
         assert said == " ".join(map(str, want)) and n == len(want) and back == text.encode()
 
 
+def test_long_pieces_by_rounds_of_one_rank(pair, monkeypatch):
+    """The long way on every piece that isn't a token, then on pieces that are long."""
+    ours, theirs, _ = pair
+    rng = random.Random(4)
+    monkeypatch.setattr(bpe, "LONG", 2)
+    for letters in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "éßa漢"):
+        pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 60))) for _ in range(400)]
+        for piece, ids in zip(pieces, ours.encode_pieces([p.encode() for p in pieces])):
+            assert ids == theirs.encode_ordinary(piece)
+    monkeypatch.setattr(bpe, "LONG", 4096)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
+    assert next(iter(ours.encode_batch([text])))[0] == " ".join(map(str, theirs.encode_ordinary(text)))
+
+
+def test_an_unbroken_text_takes_seconds(pair):
+    ours, _, _ = pair
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(200_000))
+    began = time.perf_counter()
+    ((said, n, back),) = ours.encode_batch([text])
+    assert back == text.encode() and n == len(said.split()) and time.perf_counter() - began < 60
+
+
 def test_forgetting_changes_nothing(pair, monkeypatch):
     ours, theirs, _ = pair
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
