@@ -8,6 +8,7 @@ of the next level. All of it is DataFrame code: no Python runs on executors.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ N_BATCHES, FANOUT = 4, 2
 HOT_KEYS = 4096  # keys held by over 1/HOT_KEYS of all (document, key) pairs: so many at most, broadcast
 NO_ID = -(2**63)
 RUN = "h1 long, h2 long, n_docs long, holder long"
+MANIFEST = "version long, level int, run long"
 
 
 def line_key(line: Column) -> Column:
@@ -38,20 +40,41 @@ def merged(runs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs below one path of the shared folder."""
+    """Levelled runs below one path of the shared folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.path = spark, fanout, shared_path(spark, "line-runs")
+    Each change writes the list of the live runs as the next version of a manifest, so that a later batch, in another
+    session too, goes on from the path alone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout, self.path = spark, fanout, path or shared_path(spark, "line-runs")
         self.levels: list[list[str]] = []
-        self.written = 0
+        self.written = self.version = 0
+        if path:
+            try:
+                told = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()  # some rows a version
+            except AnalysisException:
+                told = []
+            self.version = max((r["version"] for r in told), default=0)
+            for r in sorted((r for r in told if r["version"] == self.version), key=lambda r: r["run"]):
+                self._place(r["level"], f"{path}/level={r['level']}/run={r['run']}")
+                self.written = max(self.written, r["run"] + 1)
+
+    def _place(self, level: int, path: str) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
+
+    def save(self) -> None:
+        self.version += 1
+        rows = [(self.version, level, int(p.rpartition("=")[2])) for level, paths in enumerate(self.levels) for p in paths]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self.written}"
         self.written += 1
         run.repartition(slice_count(run), "h1").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        self._place(level, path)
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
@@ -75,13 +98,14 @@ class LineRuns:
             settled = self.all().where(F.col("n_docs") >= min_docs).select("h1", "h2").hint("merge")
             batch = batch.join(settled, ["h1", "h2"], "left_anti")
         self.add(batch)
+        self.save()
 
 
 def dropped_keys(lines: DataFrame, min_docs: int, n_batches: int, fanout: int) -> DataFrame:
-    """(doc, drops): the keys each document loses; documents that lose nothing have no row."""
+    """(doc, row, drops): the places of the lines each text loses; texts that lose nothing have no row."""
     spark = lines.sparkSession
     marks = lines.select("doc").distinct().agg(F.percentile_approx("doc", [k / n_batches for k in range(1, n_batches)], 1000).alias("m")).first()["m"] or []
-    runs, edges = LineRuns(spark, fanout), [None, *sorted(set(marks)), None]
+    runs, edges = LineRuns(spark, fanout=fanout), [None, *sorted(set(marks)), None]
     for low, high in reversed(list(zip(edges, edges[1:]))):
         batch = lines
         if low is not None:
@@ -96,11 +120,11 @@ def dropped_keys(lines: DataFrame, min_docs: int, n_batches: int, fanout: int) -
     hot = held.where(F.col("count") * HOT_KEYS > total).select("h1", "h2")
     hot = staged(settled.join(hot, ["h1", "h2"], "left_semi"), "line-hot")
     cold = settled.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
-    of_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).select("doc", "h1", "h2", "holder")
+    of_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).select("doc", "row", "pos", "holder")
     rest = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
-    of_cold = rest.join(cold.hint("merge"), ["h1", "h2"]).select("doc", "h1", "h2", "holder")
+    of_cold = rest.join(cold.hint("merge"), ["h1", "h2"]).select("doc", "row", "pos", "holder")
     lost = of_hot.unionByName(of_cold).where(F.col("doc") < F.col("holder"))
-    return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    return lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("drops"))  # a set: repeated rows say the same
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = N_BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -110,21 +134,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     largest doc_id holding them. A null text is one empty line. Rows of equal doc_id are one document; null ids are one
     document below all others. Clashing input columns keep their values: the three added names are replaced only.
     """
-    inner = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), lines_of(F.col(text)).alias("lines"))
-    keys = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_chars)
-    lines = staged(inner.select("doc", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h")).select("doc", "h.h1", "h.h2"), "line-hashes")
-    drops = dropped_keys(lines, min_docs, n_batches, fanout).withColumnRenamed("doc", "__doc").withColumnRenamed("drops", "__drops")
-    joined = docs.join(drops, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__doc"), "left")
+    doc, row = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+    def hashed(line: Column) -> Column:
+        return let(line_key(line), lambda k: F.when(F.char_length(k) >= min_chars, key_hash(k)))
+
+    opened = docs.select(doc.alias("doc"), row.alias("row"), F.posexplode(F.transform(lines_of(F.col(text)), hashed)).alias("pos", "h")).where("h is not null")
+    lines = staged(opened.select("doc", "row", "pos", "h.h1", "h.h2"), "line-hashes")
+    drops = dropped_keys(lines, min_docs, n_batches, fanout).withColumnsRenamed({"doc": "__doc", "row": "__row", "drops": "__drops"})
+    joined = docs.join(drops, (doc == F.col("__doc")) & (row == F.col("__row")), "left")
     body = lines_of(F.col(text))
 
-    def stays(line: Column, gone: Column) -> Column:
-        return let(line_key(line), lambda k: (F.char_length(k) < min_chars) | ~F.array_contains(gone, key_hash(k)))
+    def without(lines: Column, gone: Column) -> Column:
+        """array_except hashes the places, so a text of many lines and many losses takes linear time."""
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda p: F.get(lines, p))
 
-    kept = F.when(F.col("__drops").isNull(), body).otherwise(F.filter(body, lambda line: stays(line, F.col("__drops"))))
+    kept = F.when(F.col("__drops").isNull(), body).otherwise(let(body, lambda x: without(x, F.col("__drops"))))
     return (
         joined.withColumn("__kept", kept)
         .withColumns({"n_lines": F.size(body).cast("long"), "n_dropped": (F.size(body) - F.size("__kept")).cast("long"), "kept_text": F.array_join("__kept", "\n")})
-        .drop("__doc", "__drops", "__kept")
+        .drop("__doc", "__row", "__drops", "__kept")
     )
 
 

@@ -50,6 +50,26 @@ def test_empty(spark, corpus):
     assert L.dedup_lines(corpus[0].limit(0)).count() == 0
 
 
+def test_runs_go_on_from_their_path(spark, tmp_path):
+    """A later session adds to what an earlier one wrote."""
+    path, schema = f"file://{tmp_path}/runs", "doc long, h1 long, h2 long"
+    for k in range(5):
+        runs = L.LineRuns(spark, path)
+        runs.ingest(spark.createDataFrame([(100 - k, 1, 1), (100 - k, 2 + k, 2)], schema), 3)
+    again = L.LineRuns(spark, path)
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["holder"]) for r in again.all().collect()}
+    assert got[1, 1][1] == 100 and got[1, 1][0] >= 3 and got[4, 2] == (1, 98) and len(got) == 6
+    assert sum(map(len, again.levels)) <= 3
+
+
+def test_many_lines_and_many_losses(spark):
+    """Thousands of lines of one text go; the text is long and takes linear time."""
+    lines = [f"line number {k} that is long enough to count as one" for k in range(4000)]
+    rows = [(k, "\n".join(lines)) for k in range(5)] + [(9, "own " + "\n".join(lines[::2]))]
+    out = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["n_dropped"] == 4000 and out[9]["n_dropped"] == 0 and out[4]["n_dropped"] == 1999
+
+
 def test_query(spark, sf_dir, same):
     out = queries.QUERIES["op9_line_dedup"](spark, sf_dir)
     same(out, queries.SQL["op9_line_dedup"])
