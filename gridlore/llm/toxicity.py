@@ -156,19 +156,25 @@ def fit(train: DataFrame) -> Model:
     return Model(*descend(y, plain, doc, sent, feature, np.array(list(lifts.values())), list(lifts)))
 
 
+def slope(w: np.ndarray, b: float, y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The loss (log-loss of the noisy-or and a weight penalty) and its gradient in w and b."""
+    z = b + np.bincount(sent, w[feature], len(doc))
+    p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + math.exp(-b))
+    none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * math.log1p(-p0)  # log of "no sentence is toxic"
+    some = np.maximum(-np.expm1(none), 1e-9)
+    pull = np.where(y > 0, -np.exp(none) / some, 1.0) / len(y)  # d loss / d z of a sentence is pull x p
+    gz = pull[doc] * p
+    penalty = L2 / max(1, len(w)) ** 0.5
+    loss = -np.where(y > 0, np.log(some), none).mean() + penalty * (w @ w) / 2
+    return float(loss), np.bincount(feature, gz[sent], len(w)) + penalty * w, float(gz.sum() + (pull * plain).sum() * p0)
+
+
 def descend(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, lift: np.ndarray, names: list[str]) -> tuple[float, dict[str, float]]:
     """Adam on the mean log-loss of the noisy-or. doc, sent: the document of each sentence, the sentence of each feature."""
     w, b = 0.5 * lift, -7.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
-        z = b + np.bincount(sent, w[feature], len(doc))
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + math.exp(-b))
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * math.log1p(-p0)  # log of "no sentence is toxic"
-        some = np.maximum(-np.expm1(none), 1e-9)
-        pull = np.where(y > 0, -np.exp(none) / some, 1.0) / len(y)  # d loss / d z of a sentence is pull x p
-        gz = pull[doc] * p
-        g = np.bincount(feature, gz[sent], len(w)) + L2 * w / max(1, len(w)) ** 0.5
-        gb = gz.sum() + (pull * plain).sum() * p0
+        _, g, gb = slope(w, b, y, plain, doc, sent, feature)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -185,13 +191,19 @@ def held_out(doc_id: Column, modulus: int = 5, remainder: int = 0) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_DOCS) -> DataFrame:
     """(text, toxic) of labelled rows that aren't held out, thinned by a hash of the id to `most` rows in expectation.
 
-    Null labels are left out; an id with several labels is toxic if one says so.
+    Null labels are left out; an id with several labels is toxic if one says so. Repeated rows count once; the different
+    texts of one id are rows of their own, thinned together with all others.
     """
     truth = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, most / max(1, truth.count()))
     chosen = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return staged(body.join(F.broadcast(chosen), "doc_id").select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic")), "toxicity-train")
+    rows = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic"))
+    rows = staged(rows.groupBy("doc_id", F.xxhash64("text").alias("__row")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-labelled")
+    # one id may stand for many texts: thinned again by id and text, so what is fitted stays bounded
+    again = min(1.0, most / max(1, rows.count()))
+    thin = F.pmod(F.xxhash64("__row", "doc_id"), F.lit(1 << 30)) < int(again * (1 << 30))
+    return rows.where(thin).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

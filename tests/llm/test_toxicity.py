@@ -1,7 +1,9 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridlore.llm import queries
@@ -46,6 +48,37 @@ def test_noisy_or_is_the_product():
     assert scorer.document("") == scorer.document(None) == scorer.document("!!! 12") == 0.0
 
 
+def test_slope_is_the_derivative():
+    rng = np.random.default_rng(4)
+    y, doc, sent, feature = (np.arange(40) % 3 == 0).astype(float), np.sort(rng.integers(0, 40, 90)), np.repeat(np.arange(90), 2), rng.integers(0, 6, 180)
+    plain, w, b, step = rng.integers(0, 4, 40).astype(float), rng.normal(size=6), -1.5, 1e-6
+    loss = lambda w, b: T.slope(w, b, y, plain, doc, sent, feature)[0]
+    _, g, gb = T.slope(w, b, y, plain, doc, sent, feature)
+    for k in range(6):
+        e = np.eye(6)[k] * step
+        assert abs((loss(w + e, b) - loss(w - e, b)) / (2 * step) - g[k]) < 1e-6
+    assert abs((loss(w, b + step) - loss(w, b - step)) / (2 * step) - gb) < 1e-6
+
+
+def test_held_out_accuracy(spark):
+    """Labels of a table that the fit did not see."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    told = [(truth[r["doc_id"]], r["predicted"]) for r in queries.QUERIES["op2_noisy_or"](spark, path).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic = [p for t, p in told if t == 1]
+    assert len(told) > 50 and sum(t == p for t, p in told) >= 0.95 * len(told)
+    assert sum(toxic) >= 0.6 * len(toxic)
+
+
+def test_one_id_does_not_fill_the_sample(spark):
+    rows = [(1, f"text {k}") for k in range(400)] + [(1, "text 0")] * 100 + [(k, "other") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, toxic int")
+    assert T.training_rows(docs, labels, most=60).count() < 120
+
+
 def test_gradient():
     """The descent lowers the loss and ends near a stationary point."""
     rng = np.random.default_rng(2)
