@@ -123,22 +123,36 @@ def place(records: DataFrame, slots: SlotMap, count: list[int], order: list[str]
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def salted(records: DataFrame, keys: list[str], n_slots: int) -> DataFrame:
+    """records with virtual_slot, the hash of the keys; rows whose keys repeat more often than a slot's share get a salt too."""
+    total = records.count()
+    heavy = records.groupBy(*keys).count().where(F.col("count") * n_slots > total).where("count > 1")  # fewer than n_slots rows
+    heavy = heavy.select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("count") * n_slots / max(1, total)).alias("__salts"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = records.join(F.broadcast(heavy), same, "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1)))
+    return joined.withColumn("virtual_slot", virtual_slot([*map(F.col, keys), salt], n_slots)).drop("__salts", *[f"__{k}" for k in keys])
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, text: str = "text", key: str = "doc_id", map_path: str | None = None, version: int | None = None) -> DataFrame:
     """Shard rows of docs under the law `bytes`: sizes near equal.
 
-    The slot key is (key, text checksum, size): one key that holds many different texts spreads over many slots.
-    Null text counts as empty; null keys hash like any other value; repeated rows share a slot and get places of their
-    own; an empty table gives an empty result. Other columns are not read.
+    The slot key is (key, text checksum, size): one key that holds many different texts spreads over many slots, and a
+    row repeated more often than a slot has rows is salted over as many slots as it fills. Null text counts as empty;
+    null keys hash like any other value; repeated rows get places of their own; an empty table gives an empty result.
+    Other columns are not read. With map_path and version, that stored map is rebalanced for the loads there are now and
+    saved as the next version; else a fresh map becomes version 1 (below map_path, if given).
     """
     spark, body = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
     records = docs.select(
         F.col(key).alias("doc_id"), (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")
-    ).withColumn("virtual_slot", virtual_slot([F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_slots))
-    records = staged(records, "shard-records")
+    )
+    records = staged(salted(records, ["doc_id", "text_crc32", "size"], n_slots), "shard-records")
     load, count = slot_loads(records, "size", n_slots)
-    path = shared_path(spark, "slot-map")
-    SlotMap.balanced(load, n_shards).save(spark, path)
-    slots = SlotMap.load(spark, path, 1)
+    path = map_path or shared_path(spark, "slot-map")
+    now = SlotMap.balanced(load, n_shards) if version is None else SlotMap.load(spark, path, version).rebalance(load)
+    now.save(spark, path)
+    slots = SlotMap.load(spark, path, now.version)
     return place(records, slots, count, ["doc_id", "text_crc32", "size"])
 
 

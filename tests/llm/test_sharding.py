@@ -30,6 +30,29 @@ def test_edge_rows(spark, corpus):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_fill_many_slots_and_shards(spark):
+    """A third of all rows are one row: no slot and no shard holds them all."""
+    rows = [(7, "same text")] * 500 + [(k, f"text {k}") for k in range(1000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n_shards=4, n_slots=256).collect()
+    same = [r for r in out if r["doc_id"] == 7 and r["size"] == 17]
+    assert len(out) == 1500 and len({r["virtual_slot"] for r in same}) > 40
+    total = [sum(r["size"] for r in out if r["shard"] == s) for s in range(4)]
+    assert max(total) < 1.1 * min(total)
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = [(k, "x" * (k % 50)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 5, 512, map_path=path).collect()}
+    grown = df.unionByName(spark.createDataFrame([(10_000 + k, "y" * 60) for k in range(300)], df.schema))
+    after = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(grown, 5, 512, map_path=path, version=1).collect()}
+    moved = sum(after[k] != s for k, s in before.items())
+    assert moved < 600 and SlotMap.load(spark, path, 2).version == 2 and len(after) == 3300
+
+
 def test_maps_move_only_what_they_must(spark, tmp_path):
     rng = random.Random(1)
     load = [rng.randint(0, 1000) for _ in range(2048)]
