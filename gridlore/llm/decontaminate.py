@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlore.llm.common import read
+from gridlore.llm.common import read, staged
 
 #: Fixed masks: 1 is looked at, 0 is ignored. Each has weight 6; together they tolerate any two substitutions in 13 tokens.
 MASKS = ("111111", "1110111", "1101011001", "11001010011", "1011000111", "110100100101")
@@ -199,6 +199,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     schema = "doc_id string, item_id long, doc_start int, item_start int, n_tokens int, n_equal int"
 
     def scan(items: list[tuple[int, str | None]]) -> DataFrame:
+        """What one block finds, written before the next block is read: one block is held at a time."""
         shared = context.broadcast(Block.of(items))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +208,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
                 rows = [(d, *got) for d, t in zip(batch["doc_id"], batch["text"]) for got in block.overlaps(hasher.of(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"])
 
-        return body.mapInPandas(run, schema)
+        found = staged(body.mapInPandas(run, schema), "overlaps")
+        shared.unpersist()
+        return found
 
     found = reduce(DataFrame.unionByName, [scan(b) for b in blocks(benchmark, tokens=tokens)]).withColumn("doc_id", F.col("doc_id").cast("long"))
     best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_equal"), F.desc("n_tokens"), "doc_start", "item_start"))
