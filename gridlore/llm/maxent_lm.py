@@ -1,8 +1,7 @@
 """Hashed maximum-entropy language model.
 
 P(w | h) = P(class | h) P(slot | class, h) P(w | class, slot). Both first factors are softmaxes over hashed features of
-the history: words and pairs of words before, skips to the second and third word back, and a skip to the last frequent
-word. The slots of a class are some frequent words, each alone in its slot, and groups of the other words by their
+the history: the word before, the pair of words before, and a skip to the last frequent word. The slots of a class are some frequent words, each alone in its slot, and groups of the other words by their
 endings; words of a group share its mass by their smoothed corpus counts, the one unigram part. Features are hashed from
 the words themselves, rare ones too. The tables of weights grow with the training tokens. Weights are trained by
 distributed gradient updates: in each round every task follows the gradient over its own documents from the common
@@ -22,24 +21,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import read, staged
+from gridlore.llm.common import read, release, staged
 from gridlore.llm.toxicity import held_out
 
 HEAD = 65_536  # most frequent words, whose counts are broadcast
 CLASSES, SLOTS, WORD_SLOTS = 32, 32, 16  # classes, slots of a class, and those of them that are one frequent word each
 SINGLES = CLASSES * WORD_SLOTS  # frequent words with a slot of their own
 FREQUENT = 20  # words that the longest skip looks for
-LEAST_BITS, MOST_BITS, TOKENS_PER_ROW = 12, 17, 256  # rows of a weight table: a power of two in these bounds by the training tokens
-CLASS_FEATURES, SLOT_FEATURES = 4, 3
+LEAST_BITS, MOST_BITS, TOKENS_PER_ROW = 12, 16, 64  # rows of a weight table: a power of two in these bounds by the training tokens
+CLASS_FEATURES, SLOT_FEATURES = 3, 2
 FEATURES = CLASS_FEATURES + SLOT_FEATURES
 ROUNDS, RATE, BATCH = 2, 0.15, 8192
-LIMIT = np.float32(12.0)  # five rows make a logit, and exp(60) is finite in single precision
-LEARNER_ROWS = 24  # training tokens a learner gets for each weight row at least, so that weights sent stay a share of the input
+LIMIT = np.float32(60.0)  # of a score: 32 exponentials of it are finite in single precision
+RUN = 12  # members of a row in a batch that are added one by one over all rows; the rest of longer runs at once
+LEARNER_ROWS = 64  # training tokens a learner gets for each weight row at least, so that weights sent stay a share of the input
 FLUSH = 300_000  # distinct words a task counts before it emits them
 CACHE = 300_000  # rare words a task remembers
 BLOCK, FAN = 1024, 32  # weight rows of a block; blocks summed in one group of the tree
 END = ""  # no word is empty
-SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD6E8FEB9, 0xA5A35625)
+SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -152,7 +152,7 @@ class Vocabulary:
 class Batch:
     """Tokens of some texts laid out in one array, each text led in by start symbols."""
 
-    LEAD = 3
+    LEAD = 2
 
     def __init__(self, symbols: Symbols, texts: list[list[bytes]]):
         start, end = -1, symbols[b""]
@@ -174,9 +174,9 @@ class Batch:
     def rows(self, part: slice, bits: int) -> np.ndarray:
         """(FEATURES, tokens) rows of the two weight tables; those of the slots depend on the class too."""
         at, kind = self.at[part], self.target[part].astype(np.uint64)
-        one, two, three = (self.hash[at - k] for k in (1, 2, 3))
+        one, two = self.hash[at - 1], self.hash[at - 2]
         far = self.hash[self.seen[at - 1]]
-        keys = (one, one * np.uint64(1_000_003) + two, two, far, one * np.uint64(CLASSES) + kind, two * np.uint64(CLASSES) + kind, far * np.uint64(CLASSES) + kind)
+        keys = (one, one * np.uint64(1_000_003) + two, far, one * np.uint64(CLASSES) + kind, far * np.uint64(CLASSES) + kind)
         out = np.empty((FEATURES, len(at)), np.int32)
         for k, (key, seed) in enumerate(zip(keys, SEEDS)):
             mixed = (key + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -202,7 +202,7 @@ class Weights:
         return (len(self.cls) - 1).bit_length() - 1
 
     def logits(self, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the classes, and of the slots of the target classes; weights within LIMIT keep exponentials finite."""
+        """Scores of the classes, and of the slots of the target classes, within bounds that keep exponentials finite."""
         z = self.cls.take(rows[0], 0)
         for k in range(1, CLASS_FEATURES):
             z += self.cls.take(rows[k], 0)
@@ -211,7 +211,7 @@ class Weights:
         for k in range(CLASS_FEATURES + 1, FEATURES):
             y += self.slot.take(rows[k], 0)
         y += self.slot.take(len(self.cls) - 1 + target, 0)
-        return z, y
+        return np.clip(z, -LIMIT, LIMIT, out=z), np.clip(y, -LIMIT, LIMIT, out=y)
 
     def log_probability(self, rows: np.ndarray, target: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(class | h) P(slot | class, h)."""
@@ -220,7 +220,7 @@ class Weights:
         mine = z[n, target] + y[n, slot]
         np.exp(z, out=z)
         np.exp(y, out=y)
-        return mine - np.log(z.sum(1)) - np.log(y.sum(1))
+        return mine - np.log(z @ np.ones(CLASSES, np.float32)) - np.log(y @ np.ones(SLOTS, np.float32))
 
 
 class Learner:
@@ -236,29 +236,49 @@ class Learner:
         n = np.arange(len(target))
         for g, right in ((z, target), (y, slot)):
             np.exp(g, out=g)
-            g /= g.sum(1, keepdims=True)
+            g *= (1 / (g @ np.ones(g.shape[1], np.float32)))[:, None]
             g[n, right] -= 1
         for k in range(CLASS_FEATURES):
-            self._move(0, rows[k], z)
-        self._move(0, np.full(len(target), len(self.weights.cls) - 1, np.int32), z)
+            self._move(0, *summed(rows[k], z))
+        self._move(0, np.array([len(self.weights.cls) - 1]), z.sum(0, keepdims=True), np.array([len(target)], np.float32))
         for k in range(CLASS_FEATURES, FEATURES):
-            self._move(1, rows[k], y)
-        self._move(1, (len(self.weights.cls) - 1 + target).astype(np.int32), y)
-
-    def _move(self, table: int, at: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(at)
-        ordered = at[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        row, n = ordered[first], np.diff(np.r_[first, len(ordered)]).astype(np.float32)
-        g = np.add.reduceat(g.take(order, 0), first, axis=0)
-        g /= np.sqrt(n)[:, None]
+            self._move(1, *summed(rows[k], y))
+        kind = np.zeros((CLASSES, len(target)), np.float32)
+        kind[target, n] = 1
+        count = kind.sum(1)
+        here = np.flatnonzero(count)
+        self._move(1, len(self.weights.cls) - 1 + here, (kind @ y)[here], count[here])
+
+    def _move(self, table: int, row: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        """A step on distinct rows with the sums of their gradients over n tokens each."""
         weight, squares = (self.weights.cls, self.weights.slot)[table], self.squares[table]
-        squares[row] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        g *= (RATE / np.sqrt(squares[row]))[:, None]
-        weight[row] = np.clip(weight[row] - g, -LIMIT, LIMIT)
+        total = squares.take(row) + np.einsum("ij,ij->i", g, g) / (n * g.shape[1])
+        squares[row] = total
+        g *= (RATE / np.sqrt(total * n))[:, None]
+        new = weight.take(row, 0)
+        new -= g
+        weight[row] = new
         self.used[table][row] += n
 
 
+def summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of at, the sums of their rows of g, and how many each has."""
+    order = np.argsort(at)
+    ordered, g = at[order], g.take(order, 0)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    n = np.diff(np.r_[first, len(ordered)])
+    total = g[first]
+    longer = np.flatnonzero(n > 1)
+    for j in range(1, RUN):
+        if not len(longer):
+            break
+        total[longer] += g[first[longer] + j]
+        longer = longer[n[longer] > j + 1]
+    for k in longer.tolist():
+        total[k] += g[first[k] + RUN : first[k] + n[k]].sum(0)
+    return ordered[first], total, n.astype(np.float32)
+
+
 def batches_of(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
     some: list[list[bytes]] = []
     size = 0
@@ -272,8 +292,8 @@ def batches_of(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield some
 
 
-def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights) -> Weights:
-    """New common weights after every task has followed the gradient over its rows of train."""
+def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights, learners: int) -> Weights:
+    """New common weights after every task, `learners` at most, has followed the gradient over its rows of train."""
     context = train.sparkSession.sparkContext
     shared = context.broadcast((vocabulary.head, weights.cls, weights.slot))
 
@@ -309,8 +329,7 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
         return pd.DataFrame({"table": pdf["table"].iloc[:1], "block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN, "value": [pack_rows(at, used[at].astype(np.float32), mean)]})
 
     schema = "table int, block int, task int, value binary"
-    parts = staged(train.select("text").mapInPandas(learn, schema), "gradients")
-    most = parts.agg(F.max("task")).first()[0] or 0
+    parts, most = train.select("text").mapInPandas(learn, schema), learners - 1
     while True:
         parts = parts.groupBy("table", "block", F.floor(F.col("task") / FAN).alias("slice")).applyInPandas(lambda pdf: add(pdf), schema)
         if most < FAN:
@@ -321,6 +340,7 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
         into = (out.cls, out.slot)[r["table"]]
         at, _, weight = unpack_rows(r["value"], into.shape[1])
         into[at + r["block"] * BLOCK] = weight
+    shared.unpersist()
     return out
 
 
@@ -345,7 +365,8 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS)
     learners = max(1, vocabulary.tokens // rounds // (LEARNER_ROWS << vocabulary.bits))
     for k in range(rounds):
         part = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(learners)  # never more partitions than there are
-        weights = train_round(part, vocabulary, weights)
+        weights = train_round(part, vocabulary, weights, learners)
+        release(train.sparkSession)
     return weights
 
 
@@ -357,6 +378,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
     """
     train = train.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counts = staged(word_counts(train), "word-counts")
+    release(docs.sparkSession)
     vocabulary = Vocabulary.of(counts, head)
     weights = train_model(train, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights.cls, weights.slot))

@@ -83,23 +83,22 @@ def test_score_by_hand(spark, monkeypatch):
         return z[k] / z.sum()
 
     def by_hand(text):
-        out, said = 0.0, [start] * 3 + [zlib.crc32(w) for w in text.encode().lower().split()] + [zlib.crc32(b"")]
+        out, said = 0.0, [start] * 2 + [zlib.crc32(w) for w in text.encode().lower().split()] + [zlib.crc32(b"")]
         frequent = {zlib.crc32(w) for w, k in vocabulary.head.items() if k < M.FREQUENT} | {start}
-        for k, w in enumerate(tokens(text), 3):
-            one, two, three = said[k - 1], said[k - 2], said[k - 3]
+        for k, w in enumerate(tokens(text), 2):
+            one, two = said[k - 1], said[k - 2]
             far = next(x for x in reversed(said[:k]) if x in frequent)
             alone = w in vocabulary.head
             rank = vocabulary.head.get(w)
             code = rank % M.CLASSES * M.SLOTS + rank // M.CLASSES if alone else M.group_of(w)
             c, slot = divmod(code, M.SLOTS)
-            keys = [one, one * 1_000_003 + two, two, far]
+            keys = [one, one * 1_000_003 + two, far]
             p = softmax([weights.cls[row(x, s)] for x, s in zip(keys, M.SEEDS)] + [weights.cls[-1]], c)
-            keys = [x * M.CLASSES + c for x in (one, two, far)]
-            p *= softmax([weights.slot[row(x, s)] for x, s in zip(keys, M.SEEDS[4:])] + [weights.slot[len(weights.cls) - 1 + c]], slot)
+            keys = [x * M.CLASSES + c for x in (one, far)]
+            p *= softmax([weights.slot[row(x, s)] for x, s in zip(keys, M.SEEDS[3:])] + [weights.slot[len(weights.cls) - 1 + c]], slot)
             if not alone:
                 p *= (counts.get(w, 0) + 1) / 10 ** vocabulary.log_total[code]
             out += math.log10(p)
-            assert three is not None
         return out
 
     train = spark.createDataFrame([(t,) for t in TEXTS], "text string")
@@ -111,10 +110,18 @@ def test_score_by_hand(spark, monkeypatch):
 
 
 def test_tables_grow_with_the_input():
-    sizes = [M.Vocabulary({b"": 0}, np.zeros(1), np.zeros(1), n, n).bits for n in (0, 10**6, 4 * 10**6, 10**7, 10**12)]
+    sizes = [M.Vocabulary({b"": 0}, np.zeros(1), np.zeros(1), n, n).bits for n in (0, 3 * 10**5, 10**6, 2 * 10**6, 10**12)]
     assert sizes[0] == M.LEAST_BITS and sizes == sorted(sizes) and sizes[-1] == M.MOST_BITS and len(set(sizes)) > 3
 
 
+def test_sums_of_equal_rows():
+    rng = np.random.default_rng(5)
+    at, g = np.r_[np.zeros(40, np.int32), rng.integers(1, 30, 200).astype(np.int32)], rng.normal(size=(240, 4)).astype(np.float32)
+    row, total, n = M.summed(at, g)
+    assert row.tolist() == sorted(set(at.tolist())) and n.sum() == 240
+    assert all(np.allclose(t, g[at == r].sum(0), atol=1e-4) and m == (at == r).sum() for r, t, m in zip(row, total, n))
+
+
 def test_packed_rows():
     at, used, w = np.array([3, 9]), np.array([1.0, 5.0]), np.arange(2 * M.SLOTS).reshape(2, -1) / 8
     a, u, x = M.unpack_rows(M.pack_rows(at, used, w), M.SLOTS)
