@@ -135,7 +135,7 @@ def mapped_json(body: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, body: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with layout and turns added, for a column of JSON strings or of structs.
+    """records with layout and turns added, for a column of JSON strings or of structs; columns of these names are replaced.
 
     Malformed JSON, null and layouts without a mapping give a null layout and no turns (an empty array); the rows stay.
     Texts of a struct, and of JSON over SMALL_JSON bytes, never enter a variant. JSON whose structure alone is too large

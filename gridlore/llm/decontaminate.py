@@ -139,9 +139,7 @@ def whole(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> list[tu
 def verified(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int, int]]:
     """Overlaps on one diagonal that are long and alike enough: (document start, item start, length, equal tokens).
 
-    The whole item is one if enough of it is equal.
-
-    Equal tokens count +1 and others -1; an overlap runs from where its sum starts to its highest point and ends where
+    The whole item is one if enough of it is equal, and so is the longest run of equal tokens. Equal tokens count +1 and others -1; an overlap runs from where its sum starts to its highest point and ends where
     the sum has fallen DROP below that or to nothing.
     """
     begin, end = max(0, -diagonal), min(len(item), len(words) - diagonal)
@@ -149,6 +147,11 @@ def verified(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[i
     out, need = [], min(MIN_OVERLAP, len(item))
     if len(equal) == len(item) and equal.sum() >= MIN_MATCH * len(item):
         out.append((begin + diagonal, begin, len(item), int(equal.sum())))
+    change = np.flatnonzero(np.diff(np.r_[False, equal, False]))
+    first, size = change[::2], change[1::2] - change[::2]
+    if len(size) and size.max() >= need:  # whatever lies before it
+        at, n = int(first[size.argmax()]), int(size.max())
+        out.append((begin + diagonal + at, begin + at, n, n))
     start, total, top, last = 0, 0, 0, -1
 
     def close() -> None:

@@ -207,7 +207,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `score` added; null and empty texts have no sentence and score 0."""
+    """docs with `score` added; null and empty texts have no sentence and score 0. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def locate(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs with `offending`: array of (number, sentence, probability), empty where no sentence reaches `least`."""
+    """docs with `offending`: array of (number, sentence, probability), empty where no sentence reaches `least`. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

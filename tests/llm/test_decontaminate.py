@@ -65,6 +65,29 @@ def test_repetitive_texts(text):
     assert [g[0] for g in got] == ([1] if len(text) > 9 else [])
 
 
+def test_partial_overlaps_against_brute_force():
+    """A run of 13 equal tokens is always reported, whatever surrounds it; what is reported is long and alike enough."""
+    rng = random.Random(11)
+    items = [[rng.choice("abcdefgh") + str(j % 7) for j in range(rng.randint(20, 60))] for _ in range(20)]
+    block = D.Block.of([(k, " ".join(x)) for k, x in enumerate(items)])
+    found = 0
+    for n in range(200):
+        item = items[n % 20]
+        a = rng.randrange(len(item) - 5)
+        part = item[a : a + rng.randint(5, 25)]
+        noisy = [w if j % 2 else "z" for j, w in enumerate(item[:a])]  # every other token before the part is equal too
+        doc = ["q", *noisy, *part, "r"]
+        got = {g[0]: g[1:] for g in block.overlaps(D.Hasher().of(" ".join(doc)))}
+        for k, (p, q, size, same) in got.items():
+            equal = sum(x == y for x, y in zip(doc[p : p + size], items[k][q : q + size]))
+            assert equal == same and same >= D.MIN_MATCH * size and size >= D.MIN_OVERLAP
+        run = lambda x: any(doc[p : p + 13] == x[q : q + 13] for p in range(len(doc) - 12) for q in range(len(x) - 12))
+        want = {k for k, x in enumerate(items) if run(x)}
+        assert want <= set(got)
+        found += len(want)
+    assert found > 50
+
+
 def test_short_items_with_every_allowed_substitution():
     for n in range(1, 13):
         item = [f"w{j}" for j in range(n)]

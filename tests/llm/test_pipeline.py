@@ -1,5 +1,8 @@
 """Each stage against a brute-force version on what its predecessor kept."""
 
+import base64
+import hashlib
+
 import pytest
 
 import corpus_pipeline as P
@@ -8,7 +11,7 @@ from tests.llm.test_decontaminate import D
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dedup import brute as brute_near
 
-pytest.importorskip("public_tokenizers")
+tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,8 +41,12 @@ def test_stages(spark, sf_dir):
     said = lambda t: " " + " ".join(D.WORD.findall(t.lower())) + " "
     assert free == {i: t for i, t in apart.items() if not any(said(x) in said(t) for x in items)}
 
-    coded, _ = stages["byte-level BPE"](spark, docs, sf_dir), None
-    assert sorted(r["doc_id"] for r in coded.collect()) == sorted(free)
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {i: (len(ids), sha(" ".join(map(str, ids)).encode()), sha(t.encode())) for i, t in free.items() for ids in [coder.encode_ordinary(t)]}
+    assert {r["doc_id"]: tuple(r)[1:] for r in stages["byte-level BPE"](spark, docs, sf_dir).collect()} == want
 
 
 def test_run(spark, sf_dir):

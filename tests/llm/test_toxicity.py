@@ -98,6 +98,9 @@ def test_edge_rows_and_missing_labels(spark, corpus):
     one_class = T.fit(T.training_rows(df, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")))
     assert one_class.weight == {}
     assert T.score(df.limit(0), none).count() == 0
+    clash = T.locate(T.score(df.withColumn("offending", F.lit("x")), none), none)
+    assert sorted(clash.columns) == sorted({*df.columns, "offending"})
+    assert all(r["score"] < 1e-6 and r["offending"] == [] for r in clash.collect())
 
 
 def test_query(spark, sf_dir):
