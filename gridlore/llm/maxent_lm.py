@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,6 @@ LIMIT = np.float32(60.0)  # of a score: 32 exponentials of it are finite in sing
 RUN = 12  # members of a row in a batch that are added one by one over all rows; the rest of longer runs at once
 LEARNER_ROWS = 64  # training tokens a learner gets for each weight row at least, so that weights sent stay a share of the input
 FLUSH = 300_000  # distinct words a task counts before it emits them
-CACHE = 300_000  # rare words a task remembers
 BLOCK, FAN = 1024, 32  # weight rows of a block; blocks summed in one group of the tree
 END = ""  # no word is empty
 SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
@@ -55,11 +55,11 @@ def group_of(word: bytes) -> int:
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, code, c) over all texts of train, the end counted once a text as the empty word."""
 
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode() for w in n], "code": [group_of(w) for w in n], "c": list(n.values())})
+            out = pd.DataFrame({"word": b"\n".join(n).decode().split("\n"), "c": list(n.values())})
             n.clear()
             return out
 
@@ -72,20 +72,26 @@ def word_counts(train: DataFrame) -> DataFrame:
         if n:
             yield flush()
 
-    return train.select("text").mapInPandas(count, "word string, code int, c long").groupBy("word", "code").agg(F.sum("c").alias("c"))
+    counts = train.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    h = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3))  # group_of as a column
+    slot = F.pmod(F.shiftright(h, 8), F.lit(SLOTS - WORD_SLOTS)) + WORD_SLOTS
+    return counts.select("word", (F.pmod(h, F.lit(CLASSES)) * SLOTS + slot).cast("int").alias("code"), "c")
 
 
-class Symbols(dict):
+class Symbols:
     """Word -> symbol: 32 bits of hash, its rank in the head (the head's size for all others), its class and slot."""
 
     def __init__(self, head: dict[bytes, int]):
-        super().__init__({w: symbol(w, k, k % CLASSES * SLOTS + k // CLASSES if k < SINGLES else group_of(w)) for w, k in head.items()})
-        self.size, self.room = len(head), len(head) + CACHE
-
-    def __missing__(self, word: bytes) -> int:
-        out = symbol(word, self.size, group_of(word))
-        if len(self) < self.room:
-            self[word] = out
+        self.size = len(head)
+        self.head = {w: symbol(w, k, k % CLASSES * SLOTS + k // CLASSES if k < SINGLES else group_of(w)) for w, k in head.items()}
+
+    def of(self, said: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.head.get, said, repeat(-1)), np.int64, len(said))
+        rare = np.flatnonzero(out < 0)
+        some = list(map(said.__getitem__, rare.tolist()))
+        whole, end = (np.fromiter(map(zlib.crc32, x), np.int64, len(some)) for x in (some, [w[-3:] for w in some]))
+        code = end % CLASSES * SLOTS + WORD_SLOTS + (end >> 8) % (SLOTS - WORD_SLOTS)  # group_of
+        out[rare] = (whole << (CODE_BITS + RANK_BITS)) | (self.size << CODE_BITS) | code
         return out
 
 
@@ -155,17 +161,17 @@ class Batch:
     LEAD = 2
 
     def __init__(self, symbols: Symbols, texts: list[list[bytes]]):
-        start, end = -1, symbols[b""]
-        flat: list[int] = []
+        self.words: list[bytes] = []
         for t in texts:
-            flat += [start] * self.LEAD
-            flat += map(symbols.__getitem__, t)
-            flat.append(end)
-        all_ = np.array(flat, np.int64)
-        self.at = np.flatnonzero(all_ >= 0)
+            self.words += t
+            self.words.append(b"")
         self.length = np.array([len(t) + 1 for t in texts])
+        told = symbols.of(self.words)
+        self.at = np.arange(len(told)) + np.repeat(np.arange(1, len(texts) + 1) * self.LEAD, self.length)
+        all_ = np.full(len(told) + len(texts) * self.LEAD, -1, np.int64)
+        all_[self.at] = told
         rank, self.hash = (all_ >> CODE_BITS) & ((1 << RANK_BITS) - 1), (all_ >> (CODE_BITS + RANK_BITS)).astype(np.uint64)
-        code = all_[self.at] & ((1 << CODE_BITS) - 1)
+        code = told & ((1 << CODE_BITS) - 1)
         self.code, self.rank = code, rank[self.at]
         self.target, self.slot = code // SLOTS, code % SLOTS
         seen = np.where((all_ < 0) | (rank < min(FREQUENT, symbols.size)), np.arange(len(all_)), 0)
@@ -267,6 +273,8 @@ def summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     ordered, g = at[order], g.take(order, 0)
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     n = np.diff(np.r_[first, len(ordered)])
+    if len(first) * RUN < 2 * len(ordered):  # few long runs
+        return ordered[first], np.add.reduceat(g, first, axis=0), n.astype(np.float32)
     total = g[first]
     longer = np.flatnonzero(n > 1)
     for j in range(1, RUN):
@@ -402,20 +410,22 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: s
                 begin = np.r_[0, np.cumsum(batch.length)[:-1]]
                 model = np.add.reduceat(logs / np.log(10) + inside, begin)
                 base, known = np.add.reduceat(counted, begin), np.add.reduceat((~tail).astype(np.int64), begin)
-                rare = [Counter(t[j] for j in np.flatnonzero(tail[b : b + n - 1])) for t, b, n in zip(texts, begin, batch.length)]
+                at = np.flatnonzero(tail)
+                rare, edge = list(map(batch.words.__getitem__, at.tolist())), np.searchsorted(at, np.r_[begin, len(tail)]).tolist()
                 yield pd.DataFrame({
                     "row": row + np.arange(len(texts)), "doc_id": ids[done : done + len(texts)], "n_tokens": batch.length,
                     "head_known": known, "head_base": base, "head_score": model,
-                    "rare": [[x.decode() for x in c] for c in rare], "times": [list(c.values()) for c in rare],
+                    "rare": [b" ".join(rare[p:q]).decode() for p, q in zip(edge, edge[1:])],
                 })
                 row, done = row + len(texts), done + len(texts)
 
-    schema = "row long, doc_id string, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, times array<int>"
+    schema = "row long, doc_id string, n_tokens long, head_known long, head_base double, head_score double, rare string"
     # ids travel as text: pandas would turn a column of longs with a null into doubles
     scored = staged(docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema), "head-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))).alias("r")).select("row", "r.word", "r.n")
-    met = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").cast("long").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    out = scored.drop("rare", "times").join(met, "row", "left")
+    # a text's rare words travel as one string; no word has a space in it
+    rare = scored.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    met = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
+    out = scored.drop("rare").join(met, "row", "left")
     tokens, distinct = vocabulary.tokens, vocabulary.distinct
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     end_known = F.lit(0 if tokens else 1)  # without training texts the end is unknown too

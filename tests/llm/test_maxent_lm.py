@@ -51,7 +51,8 @@ def test_probabilities_sum_to_one(spark):
     symbols = M.Symbols(vocabulary.head)
     inside = collections.defaultdict(float)
     for w, c in counts.items():
-        code = symbols[w] & ((1 << M.CODE_BITS) - 1)
+        code = int(symbols.of([w])[0]) & ((1 << M.CODE_BITS) - 1)
+        assert w in vocabulary.head or code == M.group_of(w)
         assert (code % M.SLOTS < M.WORD_SLOTS) == (w in vocabulary.head)
         if w not in vocabulary.head:
             inside[code] += (c + 1) / 10 ** vocabulary.log_total[code]
