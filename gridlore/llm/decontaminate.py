@@ -27,7 +27,8 @@ MASKS = ("111111", "1110111", "1101011001", "11001010011", "1011000111", "110100
 MIN_OVERLAP, MIN_MATCH = 13, 0.8  # tokens of a verified overlap (a shorter item: all of it), and the share that are equal
 MIN_ITEM = 1  # items of fewer tokens have no seed and match nothing
 SHORT = 12  # from here on no allowed substitutions escape all masks; items of fewer tokens have pieces instead
-BLOCK_TOKENS = 400_000  # benchmark tokens broadcast at a time, in expectation
+BLOCK_TOKENS = 1_000_000  # benchmark tokens broadcast at a time, in expectation: about 100 MB of seeds
+LEAST_SEEN, MOST_SEEN = 20, 26  # bits of the bitmap before the seeds, in these bounds eight cells a seed
 DROP = 4  # an extension ends when it has lost so much against its best
 
 WORD = re.compile(r"\w+")
@@ -70,7 +71,7 @@ def pieces(n: int) -> list[tuple[int, str]]:
 
 @dataclass(frozen=True)
 class Block:
-    """Seeds of some items: sorted hashes with the item and position of each, behind a bitmap of 2^20 bits."""
+    """Seeds of some items: sorted hashes with the item and position of each, behind a bitmap of their leading bits."""
 
     masks: list[str]
     ids: list[int]
@@ -92,17 +93,19 @@ class Block:
         item = np.concatenate([np.full(len(s), k, np.int32) for s, k, _ in found] or [np.empty(0, np.int32)])
         at = np.concatenate([np.arange(start, start + len(s), dtype=np.int32) for s, _, start in found] or [np.empty(0, np.int32)])
         order = np.argsort(seed, kind="stable")
-        seen = np.zeros(1 << 20, bool)
-        seen[(seed >> np.uint64(44)).astype(np.int64)] = True
+        bits = min(MOST_SEEN, max(LEAST_SEEN, (8 * len(seed)).bit_length()))
+        seen = np.zeros(1 << bits, bool)
+        seen[(seed >> np.uint64(64 - bits)).astype(np.int64)] = True
         return cls(masks, ids, words, seed[order], item[order], at[order], seen)
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, document start, item start, length, equal tokens): the longest verified overlap with each item."""
         hits: set[tuple[int, int]] = set()
         near: dict[int, list[np.ndarray]] = {}
+        drop = np.uint64(65 - len(self.seen).bit_length())
         for mask in self.masks:
             s = seeds(words, mask)
-            pos = np.flatnonzero(self.seen[(s >> np.uint64(44)).astype(np.int64)])
+            pos = np.flatnonzero(self.seen[(s >> drop).astype(np.int64)])
             low, high = np.searchsorted(self.seed, s[pos], "left"), np.searchsorted(self.seed, s[pos], "right")
             pos, low, high = pos[low < high], low[low < high], high[low < high]
             if mask in MASKS:
