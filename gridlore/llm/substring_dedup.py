@@ -32,7 +32,7 @@ LENGTH, GRAM = 50, 16
 ORDER = 64  # bytes by which suffixes are sorted; at least the length
 NO_ID = -(2**63)
 BLOCK_BYTES = 16 << 20  # text whose fragments a task gathers before it writes them
-BUCKET_BYTES = 4 << 20  # text of the input for each bucket of contents
+BUCKET_BYTES = 4 << 20  # text of the input for each bucket of contents; larger executors take larger buckets, in fewer packs
 BUCKET_LIMIT = 64 << 20  # bytes of contents in a bucket from which on it is dealt again
 SHRINKS = 2  # bytes of contents for each of a pack, about
 PIECE_BYTES = 1 << 24  # windows of a document hashed together
@@ -202,11 +202,10 @@ def shared_ordinals(docs: DataFrame, buckets: int, groups: int, length: int) ->
             bucket = (gram % np.uint64(buckets)).astype(np.int32)
             bucket[~send] = buckets
             order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[edge[b] : edge[b + 1]]
-                if len(at):
-                    out.append(pack(b, doc[at], row[at], left[at], right[at], ordinal[at], False))
+            first = starts(bucket[order])
+            for at in np.split(order, first[1:]):  # the buckets that the block has
+                if len(at) and bucket[at[0]] < buckets:
+                    out.append(pack(int(bucket[at[0]]), doc[at], row[at], left[at], right[at], ordinal[at], False))
             return pd.DataFrame(out, columns=["bucket", "entries", "left", "right", "told"])
 
         gathered: list[list[np.ndarray]] = [[] for _ in range(6)]
