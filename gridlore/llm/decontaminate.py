@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ MIN_ITEM = 1  # items of fewer tokens have no seed and match nothing
 SHORT = 12  # from here on no allowed substitutions escape all masks; items of fewer tokens have pieces instead
 BLOCK_TOKENS = 1_000_000  # benchmark tokens broadcast at a time, in expectation: about 100 MB of seeds
 LEAST_SEEN, MOST_SEEN = 20, 26  # bits of the bitmap before the seeds, in these bounds eight cells a seed
+TOGETHER, GAP = 50_000, 12  # tokens whose seeds are looked up together; unknown words between texts, as wide as the widest mask
 DROP = 4  # an extension ends when it has lost so much against its best
 
 WORD = re.compile(r"\w+")
@@ -80,11 +82,13 @@ class Block:
     item: np.ndarray
     at: np.ndarray
     seen: np.ndarray
+    known: dict[str, int]  # the hash of each word of the items; other words can't be in a seed
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> Block:
         hasher = Hasher()
         ids, words = [i for i, _ in items], [hasher.of(t) for _, t in items]
+        known = {w: h for (_, t), x in zip(items, words) for w, h in zip(WORD.findall((t or "").lower()), x.tolist())}
         found = [(seeds(w, m), k, 0) for k, w in enumerate(words) if len(w) >= SHORT for m in MASKS]
         cut = [(k, start, m) for k, w in enumerate(words) if len(w) < SHORT for start, m in pieces(len(w))]
         found += [(seeds(words[k][start : start + len(m)], m), k, start) for k, start, m in cut]
@@ -96,28 +100,64 @@ class Block:
         bits = min(MOST_SEEN, max(LEAST_SEEN, (8 * len(seed)).bit_length()))
         seen = np.zeros(1 << bits, bool)
         seen[(seed >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return cls(masks, ids, words, seed[order], item[order], at[order], seen)
+        return cls(masks, ids, words, seed[order], item[order], at[order], seen, known)
+
+    def words_of(self, text: str | None) -> np.ndarray:
+        """Hashes of the text's words, 0 for those that no item has."""
+        said = WORD.findall((text or "").lower())
+        return np.fromiter(map(self.known.get, said, repeat(0)), np.uint64, len(said))
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, document start, item start, length, equal tokens): the longest verified overlap with each item."""
-        hits: set[tuple[int, int]] = set()
-        near: dict[int, list[np.ndarray]] = {}
-        drop = np.uint64(65 - len(self.seen).bit_length())
+        return self.overlaps_of([words])[0]
+
+    def overlaps_of(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int, int]]]:
+        """overlaps of each of some texts, whose seeds are looked up together. Gaps of unknown words keep the texts apart."""
+        size = np.array([len(x) + GAP for x in texts], np.int64)
+        begin = np.cumsum(size) - size
+        all_ = np.zeros(int(size.sum()), np.uint64)
+        for p, x in zip(begin.tolist(), texts):
+            all_[p : p + len(x)] = x
+        usable, drop = all_ != 0, np.uint64(65 - len(self.seen).bit_length())
+        hits: dict[int, set[tuple[int, int]]] = {}
+        near: dict[int, dict[int, list[np.ndarray]]] = {}
         for mask in self.masks:
-            s = seeds(words, mask)
-            pos = np.flatnonzero(self.seen[(s >> drop).astype(np.int64)])
-            low, high = np.searchsorted(self.seed, s[pos], "left"), np.searchsorted(self.seed, s[pos], "right")
+            n, look = len(all_) - len(mask) + 1, [j for j, c in enumerate(mask) if c == "1"]
+            ok = usable[:n].copy()  # every mask starts with a position it looks at
+            for j in look[1:]:
+                ok &= usable[j : j + n]
+            pos = np.flatnonzero(ok)
+            s = np.full(len(pos), int(mask, 2), np.uint64)
+            for j in look:  # as in seeds
+                s = (s ^ all_[pos + j]) * np.uint64(MULTIPLIER)
+                s ^= s >> np.uint64(31)
+            some = self.seen[(s >> drop).astype(np.int64)]
+            pos, s = pos[some], s[some]
+            low, high = np.searchsorted(self.seed, s, "left"), np.searchsorted(self.seed, s, "right")
             pos, low, high = pos[low < high], low[low < high], high[low < high]
-            if mask in MASKS:
-                for p, a, b in zip(pos.tolist(), low.tolist(), high.tolist()):
-                    hits.update(zip(self.item[a:b].tolist(), (p - self.at[a:b]).tolist()))
-            elif len(pos):
-                n = high - low
-                place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                place, diagonal = place[order := np.argsort(self.item[place], kind="stable")], np.repeat(pos, n)[order]
-                k, first = np.unique(self.item[place], return_index=True)
-                for k_, d in zip(k.tolist(), np.split(diagonal - self.at[place], first[1:])):
-                    near.setdefault(k_, []).append(d)
+            if not len(pos):
+                continue
+            text = np.searchsorted(begin, pos, "right") - 1
+            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            for f, e in zip(first.tolist(), np.r_[first[1:], len(pos)].tolist()):
+                t = int(text[f])
+                self._gather(mask, pos[f:e] - begin[t], low[f:e], high[f:e], hits.setdefault(t, set()), near.setdefault(t, {}))
+        return [self._best(x, hits[t], near[t]) if t in hits else [] for t, x in enumerate(texts)]
+
+    def _gather(self, mask: str, pos: np.ndarray, low: np.ndarray, high: np.ndarray, hits: set[tuple[int, int]], near: dict[int, list[np.ndarray]]) -> None:
+        """Add the diagonals (item, document position - item position) of a text's hits under one mask."""
+        if mask in MASKS:
+            for p, a, b in zip(pos.tolist(), low.tolist(), high.tolist()):
+                hits.update(zip(self.item[a:b].tolist(), (p - self.at[a:b]).tolist()))
+            return
+        n = high - low
+        place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place, diagonal = place[order := np.argsort(self.item[place], kind="stable")], np.repeat(pos, n)[order]
+        k, first = np.unique(self.item[place], return_index=True)
+        for k_, d in zip(k.tolist(), np.split(diagonal - self.at[place], first[1:])):
+            near.setdefault(k_, []).append(d)
+
+    def _best(self, words: np.ndarray, hits: set[tuple[int, int]], near: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
         best: dict[int, tuple[int, int, int, int]] = {}
         for k, diagonal in hits:
             for got in verified(words, self.words[k], diagonal):
@@ -209,9 +249,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
         shared = context.broadcast(Block.of(items))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, hasher = shared.value, Hasher()
+            block = shared.value
             for batch in batches:
-                rows = [(d, *got) for d, t in zip(batch["doc_id"], batch["text"]) for got in block.overlaps(hasher.of(t))]
+                ids, some, size, rows = [], [], 0, []
+                for d, t in zip(batch["doc_id"], batch["text"]):
+                    ids.append(d), some.append(block.words_of(t))
+                    size += len(some[-1])
+                    if size >= TOGETHER:
+                        rows += [(i, *got) for i, found in zip(ids, block.overlaps_of(some)) for got in found]
+                        ids, some, size = [], [], 0
+                rows += [(i, *got) for i, found in zip(ids, block.overlaps_of(some)) for got in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"])
 
         found = staged(body.mapInPandas(run, schema), "overlaps")
