@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import bpe, chat_format, decontaminate, divergence, line_dedup, maxent_lm, near_dedup, quality_rules, sharding, substring_dedup, toxicity
+from gridlore.llm import bpe, chat_format, decontaminate, divergence, line_dedup, maxent_lm, near_dedup, quality_net, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": near_dedup.op10_minhash,
     "op12_count_bitmaps": divergence.op12_count_bitmaps,
+    "op13_byte_cnn": quality_net.op13_byte_cnn,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat_format.OP1_SQL, "op5_interval_expansion": substring_dedup.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op10_minhash": near_dedup.OP10_SQL, "op12_count_bitmaps": divergence.OP12_SQL}
