@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import bpe, chat_format, decontaminate, divergence, line_dedup, maxent_lm, near_dedup, quality_net, quality_rules, sharding, substring_dedup, toxicity
+from gridlore.llm import bpe, chat_format, decontaminate, divergence, line_dedup, maxent_lm, near_dedup, periodic_runs, quality_net, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": near_dedup.op10_minhash,
+    "op11_period_tiles": periodic_runs.op11_period_tiles,
     "op12_count_bitmaps": divergence.op12_count_bitmaps,
     "op13_byte_cnn": quality_net.op13_byte_cnn,
 }
