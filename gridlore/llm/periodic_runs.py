@@ -24,6 +24,7 @@ from gridlore.llm.common import read, staged
 
 LEAST_WORDS, LEAST_TURNS = 24, 3  # a run's words, and its periods
 GRAM = 8  # words at a boundary that must come again; a run leaves as many behind some boundary
+SHORT = 5  # octaves up to this one are solved many tiles at a time
 CHARS_AT_ONCE = 2_000_000  # of texts that a task cuts at a time; one longer text alone
 
 _NONE = np.empty(0, np.int64)
@@ -77,21 +78,26 @@ def boundaries(ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.nda
             yield k, text[b], b - first[text[b]]
 
 
-def z_function(s: np.ndarray) -> np.ndarray:
-    """How many values from each place on equal those from the start on. Boxes are copied whole, so repeats cost little."""
+def z_function(s: np.ndarray, least: int = 1) -> np.ndarray:
+    """How many values from each place on equal those from the start on; under `least` it is 0. Boxes are copied whole, so repeats
+    cost little, and other places only the test of their first `least` values."""
     n = len(s)
     z = np.zeros(n, np.int64)
-    if not n:
+    if n < least or not n:
         return z
     z[0] = n
-    starts = np.flatnonzero(s[1:] == s[0]) + 1
+    same = s[1 : n - least + 1] == s[0]
+    for j in range(1, least):
+        same &= s[1 + j : n - least + 1 + j] == s[j]
+    starts = np.flatnonzero(same) + 1
     k = known = 0
     while k < len(starts):
         i = int(starts[k])
-        z[i] = m = _common(s, known, i)
+        z[i] = m = _common(s, max(known, least), i)
         end, lo, known = i + m, i + 1, 0
-        while lo < end:  # inside [i, end) the text is its own start again: z is copied until a copy reaches the end
-            hi = min(end, lo + i)
+        inside = n if end == n else end - least + 1  # behind it a copy can't tell whether `least` values are equal
+        while lo < inside:  # inside [i, end) the text is its own start again: z is copied until a copy reaches the end
+            hi = min(inside, lo + i)
             copy, room = z[lo - i : hi - i], end - np.arange(lo, hi)
             over = np.flatnonzero(copy >= room) if end < n else _NONE
             if len(over):
@@ -99,7 +105,8 @@ def z_function(s: np.ndarray) -> np.ndarray:
                 lo += int(over[0])
                 known = end - lo
                 break
-            z[lo:hi] = np.minimum(copy, room)
+            copy = np.minimum(copy, room)
+            z[lo:hi] = np.where(copy >= least, copy, 0)
             lo = hi
         k = int(np.searchsorted(starts, lo))
     return z
@@ -131,26 +138,68 @@ def fragments(octave: int, before: int, words: np.ndarray) -> tuple[np.ndarray,
     Fragments that end inside the tile on both sides and are too short are left out.
     """
     step, least, most = step_of(octave), 1 << octave, 2 << octave
-    right, left = words[before:], words[:before][::-1]
-    ahead = z_function(right)[least:most]
-    period = least + np.flatnonzero(ahead >= GRAM)
+    ahead = z_function(words[before:], GRAM)[least:most]
+    period = least + np.flatnonzero(ahead)
     ahead = np.minimum(ahead[period - least], 2 * step)
     # backwards: how far the words before a place a period on equal the words before the boundary
-    both = np.concatenate([left, [-1], words[: before + most][::-1]])
-    back = z_function(both)[len(both) - before - period]  # where the words before boundary + period begin, backwards
-    back = np.minimum(back, before)
-    open_ = ((back == before) & (before == step)) | (ahead == 2 * step)
-    keep = open_ | (back + ahead + period >= np.maximum(LEAST_WORDS, LEAST_TURNS * period))
+    if len(period) * before <= 8 * len(words):  # few periods: looked at one by one
+        back = np.array([_common_back(words, before, q) for q in period.tolist()], np.int64)
+    else:
+        both = np.concatenate([words[:before][::-1], [-1], words[: before + most][::-1]])
+        back = np.minimum(z_function(both)[len(both) - before - period], before)
+    keep = kept(octave, before, period, back, ahead)
     return period[keep], -back[keep], ahead[keep]
 
 
-def joined(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fragments (key, period, start, end) that touch or overlap, joined; the step of a map side."""
-    rows = rows.sort_values(["key", "period", "start"], kind="stable")
-    group = ((rows["key"] != rows["key"].shift()) | (rows["period"] != rows["period"].shift())).cumsum()
-    reach = rows.groupby(group)["end"].cummax()
-    apart = (group != group.shift()) | (rows["start"] > reach.shift())
-    return rows.groupby(apart.cumsum()).agg(key=("key", "first"), period=("period", "first"), start=("start", "first"), end=("end", "max")).reset_index(drop=True)
+def _common_back(words: np.ndarray, before: int, period: int) -> int:
+    differ = np.flatnonzero(words[:before] != words[period : before + period])
+    return before - 1 - int(differ[-1]) if len(differ) else before
+
+
+def kept(octave: int, before: np.ndarray | int, period: np.ndarray, back: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Fragments that may go on beyond the tile, or are long enough."""
+    step = step_of(octave)
+    goes_on = ((back == before) & (before == step)) | (ahead == 2 * step)
+    return goes_on | (back + ahead + period >= np.maximum(LEAST_WORDS, LEAST_TURNS * period))
+
+
+def short_fragments(octave: int, before: np.ndarray, tiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, period, start, end) of many tiles of one short octave: their Z-values at its periods, period by period over all tiles."""
+    step, most = step_of(octave), 2 << octave
+    rows = np.full((len(tiles), 3 * step + most), -2, np.int32)  # the boundary is at column `step`
+    rows[:, :step] = -1
+    for k, (b, w) in enumerate(zip(before.tolist(), tiles)):
+        rows[k, step - b : step - b + len(w)] = w
+    out = []
+    for q in range(1 << octave, most):
+        far = rows[:, step : step + GRAM] == rows[:, step + q : step + q + GRAM]
+        at = np.flatnonzero(far.all(1))
+        if not len(at):
+            continue
+        some = rows[at]
+        ahead = _first_false(some[:, step : 3 * step] == some[:, step + q : 3 * step + q])
+        back = np.minimum(_first_false((some[:, :step] == some[:, q : step + q])[:, ::-1]), before[at])
+        keep = kept(octave, before[at], np.full(len(at), q), back, ahead)
+        out.append((at[keep], np.full(int(keep.sum()), q), -back[keep], ahead[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (_NONE,) * 4
+
+
+def _first_false(equal: np.ndarray) -> np.ndarray:
+    return np.where(equal.all(1), equal.shape[1], equal.argmin(1))
+
+
+def joined(key: np.ndarray, period: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of numbered keys that touch or overlap, joined: a map side's step."""
+    order = np.lexsort((start, period, key))
+    key, period, start, end = key[order], period[order], start[order], end[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (period[1:] != period[:-1])
+    group = np.cumsum(new)
+    wide = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(group * wide + end) - group * wide  # the greatest end of the group so far
+    new[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return key[first], period[first], start[first], np.maximum.reduceat(end, first) if len(first) else end
 
 
 CUT = "key string, octave int, boundary long, before int, words binary, doc_id long, text string, n_words long, plain string"
@@ -212,13 +261,22 @@ def solve(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, out = [], []
-            for key, octave, boundary, before, words in zip(*(batch[c].tolist() for c in ("key", "octave", "boundary", "before", "words"))):
-                period, start, end = fragments(octave, before, np.frombuffer(words, np.int32))
-                keys += [key] * len(period)
-                out.append((period, start + boundary, end + boundary))
-            if keys:
-                yield joined(pd.DataFrame({"key": keys, **dict(zip(("period", "start", "end"), map(np.concatenate, zip(*out))))}))
+            words = [np.frombuffer(w, np.int32) for w in batch["words"]]
+            octave, boundary, before = (batch[c].to_numpy(np.int64) for c in ("octave", "boundary", "before"))
+            number, names = pd.factorize(batch["key"])
+            out = []
+            for k in np.unique(octave).tolist():
+                at = np.flatnonzero(octave == k)
+                if k <= SHORT:
+                    tile, period, start, end = short_fragments(k, before[at], [words[i] for i in at.tolist()])
+                    out.append((at[tile], period, start, end))
+                    continue
+                for i in at.tolist():
+                    period, start, end = fragments(k, int(before[i]), words[i])
+                    out.append((np.full(len(period), i), period, start, end))
+            tile, period, start, end = (np.concatenate(c) for c in zip(*out)) if out else (_NONE,) * 4
+            key, period, start, end = joined(number[tile], period, start + boundary[tile], end + boundary[tile])
+            yield pd.DataFrame({"key": names[key], "period": period, "start": start, "end": end})
 
     return tiles.select("key", "octave", "boundary", "before", "words").mapInPandas(run, "key string, period long, start long, end long")
 

@@ -66,7 +66,10 @@ def local_runs(w):
     for k, text, boundary in R.boundaries(ids, np.array([len(ids)])):
         for b in boundary.tolist():
             before, tile = R.tile_of(ids, k, b)
-            for q, s, e in zip(*(x.tolist() for x in R.fragments(k, before, tile))):
+            parts = [x.tolist() for x in R.fragments(k, before, tile)]
+            many = [x.tolist() for x in R.short_fragments(k, np.array([before] * 2), [tile] * 2)]
+            assert sorted(zip(*many)) == sorted((i, *x) for x in zip(*parts) for i in (0, 1))
+            for q, s, e in zip(*parts):
                 found.setdefault(q, []).append((s + b, e + b))
     out = {}
     for q, parts in sorted(found.items()):
@@ -86,7 +89,8 @@ def local_runs(w):
 @given(st.lists(st.integers(0, 2), max_size=60).map(lambda x: x))
 def test_z_function(s):
     want = [next((k for k in range(len(s) - i) if s[k] != s[i + k]), len(s) - i) for i in range(len(s))]
-    assert R.z_function(np.array(s, np.int32)).tolist() == want
+    for least in (1, 2, 3, 8):
+        assert R.z_function(np.array(s, np.int32), least).tolist() == [z if z >= least else 0 for z in want]
 
 
 @st.composite
@@ -108,6 +112,12 @@ def test_runs_equal_brute_force(w):
     assert local_runs(w) == slow_runs(w)
 
 
+def test_joined():
+    key, period, start, end = (np.array(x) for x in zip((1, 2, 0, 5), (0, 3, 4, 9), (0, 3, 0, 4), (1, 2, 6, 8), (1, 2, 3, 4), (0, 3, 9, 9)))
+    assert sorted(zip(*(x.tolist() for x in R.joined(key, period, start, end)))) == [(0, 3, 0, 9), (1, 2, 0, 5), (1, 2, 6, 8)]
+    assert [len(x) for x in R.joined(*[np.empty(0, np.int64)] * 4)] == [0] * 4
+
+
 def test_unary_and_shifted():
     for w in ([0] * 23, [0] * 24, [0] * 1000, [0, 1] * 300, [0] * 100 + [1] + [0] * 100, list(range(200)) * 3, list(range(200)) * 2 + list(range(199))):
         assert local_runs(w) == slow_runs(w)
