@@ -32,22 +32,29 @@ class Snapshot:
 PARTS = {"chains": schemas.CHAINS, "alerts": schemas.ALERTS, "logs": schemas.LOGS, "mitigations": schemas.MITIGATIONS}
 
 
-def snapshot_part(whole: DataFrame, name: str) -> DataFrame:
-    """Rows of one list of snapshots, from a column `value` of JSON objects, batch or stream."""
-    return whole.select(F.posexplode(_list("value", name, PARTS[name])).alias("ord", "row")).where("row is not null").select("row.*", F.col("ord").cast("long").alias("ord"))
+def fetched_at(json: str = "value") -> Column:
+    """When a snapshot was fetched, as it says itself; null if it doesn't."""
+    return F.try_to_timestamp(F.coalesce(F.get_json_object(json, "$.fetchedAt"), F.get_json_object(json, "$.fetched_at")))
 
 
-def snapshot_stream(spark: SparkSession, path: str, name: str, files_per_batch: int = 1) -> DataFrame:
+def snapshot_part(whole: DataFrame, name: str, fetched: str | None = None) -> DataFrame:
+    """Rows of one list of snapshots, from a column `value` of JSON objects, batch or stream; fetched: the name of a column for when."""
+    when = [fetched_at().alias(fetched)] if fetched else []
+    rows = whole.select(*when, F.posexplode(_list("value", name, PARTS[name])).alias("ord", "row")).where("row is not null")
+    return rows.select("row.*", F.col("ord").cast("long").alias("ord"), *([F.col(fetched)] if fetched else []))
+
+
+def snapshot_stream(spark: SparkSession, path: str, name: str, files_per_batch: int = 1, fetched: str | None = None) -> DataFrame:
     """One list of the snapshots dropped into a folder, as a stream: a file is a snapshot, a micro-batch takes the next files."""
-    return snapshot_part(spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path), name)
+    return snapshot_part(spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path), name, fetched)
 
 
 def fixture(spark: SparkSession, parts: dict[str, list[tuple]], stats: list[tuple] | None = None) -> Snapshot:
     """A snapshot of given rows (a demo): parts that aren't named are empty; `ord` is the place in the list."""
-    from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
+    from pyspark.sql.types import LongType, StructField, StructType
 
     def part(name: str) -> DataFrame:
-        schema = _parse_datatype_string(PARTS[name])
+        schema = StructType.fromDDL(PARTS[name])
         return spark.createDataFrame([(*r, k) for k, r in enumerate(parts.get(name, []))], StructType([*schema.fields, StructField("ord", LongType())]))
 
     return Snapshot(*[part(n) for n in PARTS], stats=spark.createDataFrame(stats, schemas.STATS) if stats else None, fetched_at=F.current_timestamp())
@@ -60,8 +67,7 @@ def snapshot_json(spark: SparkSession, path: str) -> Snapshot:
     """
     whole = spark.read.text(path, wholetext=True)
     stats = whole.select(F.from_json(F.get_json_object("value", "$.stats"), schemas.STATS).alias("s")).where("s is not null").select("s.*")
-    fetched = F.coalesce(F.get_json_object("value", "$.fetchedAt"), F.get_json_object("value", "$.fetched_at"))
-    return Snapshot(*[snapshot_part(whole, n) for n in PARTS], stats=stats, fetched_at=F.coalesce(F.try_to_timestamp(fetched), F.current_timestamp()))
+    return Snapshot(*[snapshot_part(whole, n) for n in PARTS], stats=stats, fetched_at=F.coalesce(fetched_at(), F.current_timestamp()))
 
 
 def _list(json: str, name: str, ddl: str) -> Column:
@@ -72,9 +78,9 @@ def _list(json: str, name: str, ddl: str) -> Column:
 
 def _fields(ddl: str) -> str:
     """`a string, b array<...>` as the inside of a struct type."""
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
-    return _parse_datatype_string(ddl).simpleString()[len("struct<") : -1]
+    return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
 
 
 def register_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -97,12 +103,19 @@ def payload_id(payload: Column, external_id: Column) -> Column:
 
 
 def flatten_payload(records: DataFrame, ddl: str) -> DataFrame:
-    """Records as typed rows: the payload's fields, id, and the record's own id as persistedRecordId."""
-    body, variant = F.from_json("payload", ddl), F.try_parse_json("payload")
+    """Records as typed rows: the payload's fields, id, and the record's own id as persistedRecordId.
+
+    The payload is JSON text, parsed once a row, or a stored variant (layouts.store_payloads), of which a scan reads the fields
+    of the schema alone. A field of another type than the schema's is null; a payload that isn't JSON has no fields.
+    """
+    from pyspark.sql.types import StructType
+
     kept = [c for c in ("applied", "applied_at") if c in records.columns]
-    out = records.select(F.col("id").alias("persistedRecordId"), payload_id(variant, F.col("external_id")).alias("__id"), *kept, body.alias("__body"))
-    names = [f.name for f in out.schema["__body"].dataType.fields if f.name != "id"]
-    out = out.select(F.col("__id").alias("id"), "persistedRecordId", *kept, *[F.col(f"__body.{n}") for n in names])
+    stored = records.schema["payload"].dataType.typeName() == "variant"
+    body = F.col("payload") if stored else F.try_parse_json("payload")
+    out = records.select(F.col("id").alias("persistedRecordId"), "external_id", *kept, body.alias("__body"))
+    fields = [F.try_variant_get("__body", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(ddl) if f.name != "id"]
+    out = out.select(payload_id(F.col("__body"), F.col("external_id")).alias("id"), "persistedRecordId", *kept, *fields)
     if "applied" in kept:
         out = out.withColumn("status", mitigation_status(F.col("applied"), F.col("status")))
     return out
