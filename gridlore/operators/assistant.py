@@ -64,11 +64,19 @@ def record_counts(records: DataFrame, site: str, name: str, applied: str | None
 
 
 def site_context(sites: DataFrame, chains: DataFrame, alerts: DataFrame, mitigations: DataFrame, register: Column) -> DataFrame:
-    """Sites with the numbers of their stored records, and assets in their register; nothing stored: 0."""
-    out = sites.withColumn("register_assets", F.coalesce(F.json_array_length(F.get_json_object(register, "$.assets")), F.lit(0)))
-    for part in (record_counts(chains, "site_id", "chains"), record_counts(alerts, "site_id", "alerts"), record_counts(mitigations, "site_id", "mitigations", "applied")):
-        out = out.join(part.withColumnRenamed("site_id", "__site"), F.col("id") == F.col("__site"), "left").drop("__site")
-    return out.fillna(0, ["chains", "alerts", "mitigations", "mitigations_applied"])
+    """Sites with the numbers of their stored records, and assets in their register; nothing stored: 0.
+
+    Sites and records are tagged rows of one union, counted on the map side, so there is one shuffle by site.
+    """
+    kinds = {"chains": (chains, F.lit(False)), "alerts": (alerts, F.lit(False)), "mitigations": (mitigations, F.coalesce(F.col("applied"), F.lit(False)))}
+    own = sites.withColumn("register_assets", F.coalesce(F.json_array_length(F.get_json_object(register, "$.assets")), F.lit(0)))
+    rows = own.select(F.col("id").alias("__site"), F.lit("site").alias("__kind"), F.lit(False).alias("__applied"), F.struct(*own.columns).alias("__own"))
+    for kind, (records, applied) in kinds.items():
+        tagged = records.where("site_id IS NOT NULL").select(F.col("site_id").alias("__site"), F.lit(kind).alias("__kind"), applied.alias("__applied"))
+        rows = rows.unionByName(tagged, allowMissingColumns=True)
+    counts = [F.count_if(F.col("__kind") == kind).alias(kind) for kind in kinds] + [F.count_if(F.col("__applied")).alias("mitigations_applied")]
+    counted = rows.groupBy("__site").agg(F.any_value("__own", F.lit(True)).alias("__own"), *counts)
+    return counted.where("__own IS NOT NULL").select("__own.*", *kinds, "mitigations_applied")
 
 
 def reply(context: dict[str, str], question: Column, past: Column) -> Column:
