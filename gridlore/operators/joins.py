@@ -56,9 +56,13 @@ def alert_mitigations(alerts: DataFrame, chains: DataFrame, mitigations: DataFra
     return known.join(named, (F.col("m_chain") == F.col("chainId")) & (F.col("m_alert") == F.col("alert_id"))).select("alert_id", "mitigation_id")
 
 
-def with_dimension(df: DataFrame, dimension: DataFrame, key: str, dim_key: str, take: dict[str, str], defaults: dict[str, object]) -> DataFrame:
-    """Dictionary lookup; a miss takes the default, which is the key itself where it is None."""
-    one = small(dimension.select(F.col(dim_key).alias("__key"), *[F.col(c).alias(n) for c, n in take.items()]).dropDuplicates(["__key"]))
+def with_dimension(df: DataFrame, dimension: DataFrame, key: str, dim_key: str, take: dict[str, str], defaults: dict[str, object], order: list[str] | None = None) -> DataFrame:
+    """Dictionary lookup; a miss takes the default, which is the key itself where it is None.
+
+    Of the rows of a repeated key the first in `order` counts, by default the one of the smallest columns taken.
+    """
+    first = first_by(dimension.where(F.col(dim_key).isNotNull()), dim_key, order or list(take))
+    one = small(first.select(F.col(dim_key).alias("__key"), *[F.col(c).alias(n) for c, n in take.items()]))
     out = df.join(one, F.col(key) == F.col("__key"), "left").drop("__key")
     return out.withColumns({n: F.coalesce(F.col(n), F.col(key).cast("string") if defaults[n] is None else F.lit(defaults[n])) for n in take.values() if n in defaults})
 

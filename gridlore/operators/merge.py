@@ -68,14 +68,23 @@ def mitigation_status(applied: Column, payload_status: Column) -> Column:
     return F.when(F.coalesce(applied, F.lit(False)), "implemented").otherwise(absent_to(payload_status, F.lit("proposed")))
 
 
+def record_id(site: Column, external: Column) -> Column:
+    """128 bits of a digest of tenant and external id: among 10^18 records two share an id with probability 10^-3."""
+    return F.substring(F.sha2(F.to_json(F.struct(site.cast("string").alias("s"), external.cast("string").alias("e"))), 256), 1, 32)
+
+
 def ingested(log: DataFrame, changes: DataFrame, site: str = "site_id", external: str = "external_id", at: str = "at") -> tuple[DataFrame, DataFrame]:
     """(log with the changes appended, answers (ok, persistedRecordId)): one answer a change.
 
-    A record's id follows from its tenant and external id, so the same record is answered with the same id each time; a
-    change without an external id is a record of its own. Flags set on a record are a log of their own and stay.
+    A record's id follows from its tenant and external id, so the same record is answered with the same id each time. A
+    change without an external id is a record of its own, equal ones of one moment too: they are counted before they are
+    numbered, so a replay gives the same ids. Flags set on a record are a log of their own and stay.
     """
-    own = F.concat_ws("\n", F.col(site), F.coalesce(F.nullif(F.col(external).cast("string"), F.lit("")), F.concat_ws("\t", F.lit(""), F.col(at).cast("string"), F.col("payload"))))
-    rows = changes.withColumn("id", F.xxhash64(own))
+    named = F.nullif(F.col(external).cast("string"), F.lit(""))
+    known = changes.where(named.isNotNull()).withColumn("id", record_id(F.col(site), F.concat(F.lit("k"), named)))
+    copies = changes.where(named.isNull()).groupBy(*changes.columns).agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    own = F.to_json(F.struct(*changes.columns, "__copy"), {"ignoreNullFields": "false"})
+    rows = known.unionByName(copies.withColumn("id", record_id(F.col(site), F.concat(F.lit("c"), own))).drop("__n", "__copy"))
     return upsert(log, rows), rows.select(F.lit(True).alias("ok"), F.col("id").alias("persistedRecordId"))
 
 
