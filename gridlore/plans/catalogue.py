@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import text as X
 from gridlore.operators import assistant, graph, joins, kpis, merge, register, search
-from gridlore.plans import records  # noqa: F401 - registers its queries
+from gridlore.plans import records, scale  # noqa: F401 - they register their queries
 from gridlore.plans.registry import QUERIES, SQL, registered, scratch
 from gridlore.sources.readers import payload_id, table
 from gridlore.streaming.live import MergedTable, follow

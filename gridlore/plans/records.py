@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlore.functions import settings
 from gridlore.functions import text as X
 from gridlore.operators import assistant, graph, joins, kpis, merge, register, search
+from gridlore.operators.ordinals import numbered_all
 from gridlore.plans.registry import registered, scratch
 from gridlore.sources import readers
 from gridlore.sources.readers import table
@@ -23,26 +27,31 @@ SPACE_SQL = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 @registered("SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY o_orderkey)::INTEGER AS row_number FROM orders WHERE o_orderstatus = 'O'")
 def tenant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of one tenant by id, with their place."""
-    mine = search.tenant_scan(table(spark, sf_dir, "orders"), "O", "o_orderstatus", "o_orderkey")
-    return register.numbered(mine, ["o_orderkey"], "o_orderstatus").select("o_orderstatus", "o_orderkey", "row_number")
+    mine = search.tenant(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), "O", "o_orderstatus")
+    return numbered_all(mine, "o_orderkey", name="row_number").select("o_orderstatus", "o_orderkey", F.col("row_number").cast("int").alias("row_number"))
 
 
 @registered("""
 SELECT 'chains' AS part, o_orderkey AS record_id, coalesce(nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'c' || o_orderkey END, ''), 'ext-' || o_orderkey) AS id, o_orderpriority AS label, NULL AS status FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'mitigations', o_orderkey, 'm' || o_orderkey, NULL, CASE WHEN o_custkey % 2 = 0 THEN 'implemented' WHEN o_orderkey % 5 = 0 THEN 'proposed' ELSE 'approved' END FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'alerts', o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'ext-' || o_orderkey ELSE 'a' || o_orderkey END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority || ': ' || o_custkey END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 't1' END FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'fetched', count(*), 'logs', 'true', NULL FROM orders WHERE false""")
 def persisted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored payloads of a tenant as a snapshot: two lists, no logs, fetched now."""
+    """Stored payloads of a tenant as a snapshot: three lists, no logs, fetched now. Some alerts are no JSON or have no id of their own."""
     rows = table(spark, sf_dir, "orders")
     own = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_orderkey")))
     base = rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("site_id"), F.concat(F.lit("ext-"), F.col("o_orderkey")).alias("external_id"), "o_custkey", "o_orderpriority", own.alias("own"))
     chains = base.withColumn("payload", F.to_json(F.struct(F.col("own").alias("id"), F.col("o_orderpriority").alias("name")))).drop("o_custkey")
     status = F.when(F.pmod("id", F.lit(5)) == 0, "").otherwise("approved")
     mitigations = base.withColumn("payload", F.to_json(F.struct(F.concat(F.lit("m"), F.col("id")).alias("id"), status.alias("status")))).withColumns({"applied": F.pmod("o_custkey", F.lit(2)) == 0, "applied_at": F.lit(None).cast("timestamp")})
-    snap = readers.persisted_snapshot(chains, chains.limit(0), mitigations, "F")
+    alert = F.struct(F.when(F.pmod("id", F.lit(4)) != 0, F.concat(F.lit("a"), F.col("id"))).alias("id"), F.concat("o_orderpriority", F.lit(": "), "o_custkey").alias("message"), F.array(F.lit("t1")).alias("techniqueIds"))
+    alerts = base.withColumn("payload", F.when(F.pmod("id", F.lit(7)) == 0, F.when(F.pmod("id", F.lit(4)) == 0, "no json").otherwise(F.to_json(F.struct(F.concat(F.lit("a"), F.col("id")).alias("id"))))).otherwise(F.to_json(alert))).select("id", "site_id", "external_id", "payload")
+    snap = readers.persisted_snapshot(chains, alerts, mitigations, "F")
     out = snap.chains.select(F.lit("chains").alias("part"), F.col("persistedRecordId").alias("record_id"), "id", F.col("name").alias("label"), F.lit(None).cast("string").alias("status"))
     out = out.unionByName(snap.mitigations.select(F.lit("mitigations").alias("part"), F.col("persistedRecordId").alias("record_id"), "id", F.lit(None).cast("string").alias("label"), "status"))
-    logs = snap.logs.agg(F.count("*").alias("record_id")).select(F.lit("fetched").alias("part"), "record_id", F.lit("logs").alias("id"), snap.fetched_at.isNotNull().cast("string").alias("label"), F.lit(None).cast("string").alias("status"))
+    out = out.unionByName(snap.alerts.select(F.lit("alerts").alias("part"), F.col("persistedRecordId").alias("record_id"), "id", F.col("message").alias("label"), F.get("techniqueIds", F.lit(0)).alias("status")))
+    now = F.abs(F.unix_timestamp(snap.fetched_at) - F.lit(int(time.time()))) < 3600  # of this run, not only some time
+    logs = snap.logs.agg(F.count("*").alias("record_id")).select(F.lit("fetched").alias("part"), "record_id", F.lit("logs").alias("id"), now.cast("string").alias("label"), F.lit(None).cast("string").alias("status"))
     return out.unionByName(logs)
 
 
@@ -84,18 +93,25 @@ def seed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 SELECT o_orderkey::VARCHAR AS external_id, CASE WHEN o_orderkey % 2 = 0 THEN 'again' ELSE o_orderpriority END AS payload, o_orderkey % 3 = 0 AS applied,
-       CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_answers, 1::BIGINT AS n_ids FROM orders""")
+       CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_answers, 1::BIGINT AS n_ids, 1::BIGINT AS n_records FROM orders
+UNION ALL SELECT NULL, o_orderpriority, false, count(*), count(*), count(*) FROM orders GROUP BY o_orderpriority""")
 def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second record is ingested again: its payload is replaced, its id and its applied flag stay."""
+    """Every second record is ingested again: its payload is replaced, its id and its applied flag stay. Then every payload comes
+    without an external id, many of them equal: each is a record of its own. Ids are counted in the log and in the answers."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.col("o_orderpriority").alias("payload"), F.lit(0).alias("at"))
-    log, first = merge.ingested(rows.limit(0).withColumn("id", F.lit(0).cast("long")), rows)
+    log, first = merge.ingested(rows.limit(0).withColumn("id", F.lit("")), rows)
     again = rows.where(F.pmod(F.col("external_id").cast("long"), F.lit(2)) == 0).withColumns({"payload": F.lit("again"), "at": F.lit(1)})
     log, second = merge.ingested(log, again)
     flags = log.where(F.pmod(F.col("external_id").cast("long"), F.lit(3)) == 0).select(F.col("id").alias("record_id"), F.lit(True).alias("applied"), F.lit(0).alias("at"))
+    unnamed = rows.select(F.lit(1).cast("long").alias("site_id"), F.lit(None).cast("string").alias("external_id"), "payload", F.lit(2).alias("at"))
+    log, third = merge.ingested(log, unnamed)
     state = merge.applied_state(merge.latest(log, ["site_id", "external_id"], ["at"]), flags.distinct())
-    answers = first.unionByName(second).groupBy("persistedRecordId").agg(F.count_if("ok").alias("n_answers"))
-    counted = state.join(answers, F.col("id") == F.col("persistedRecordId")).withColumn("n_ids", F.lit(1).cast("long"))
-    return counted.select("external_id", "payload", "applied", "n_answers", "n_ids")
+    answers = first.unionByName(second).unionByName(third).groupBy(F.col("persistedRecordId").alias("id")).agg(F.count_if("ok").alias("answers"))
+    of = ["external_id", "payload", "applied"]  # of records that have no external id the payload is all there is
+    counted = state.join(answers, "id").groupBy(*of).agg(F.sum("answers").alias("n_answers"), F.count("*").alias("n_records"))
+    ids = log.groupBy("external_id", F.when(F.col("external_id").isNull(), F.col("payload")).alias("__p")).agg(F.count_distinct("id").alias("n_ids"))
+    same = F.col("c.external_id").eqNullSafe(F.col("i.external_id")) & F.when(F.col("c.external_id").isNull(), F.col("c.payload")).eqNullSafe(F.col("i.__p"))
+    return counted.alias("c").join(ids.alias("i"), same).select(*[f"c.{c}" for c in of], "n_answers", "n_ids", "n_records")
 
 
 @registered("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
@@ -159,16 +175,35 @@ def snapshot_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         table_ = live.MergedTable(spark, f"{root}/out", "id", "ord", compact_every=2)
         live.follow(readers.snapshot_stream(spark, f"{root}/in", "logs"), table_.absorb, f"{root}/checkpoint", once=True).awaitTermination()
     merged = live.MergedTable(spark, f"{root}/out", "id", "ord").read()
-    return register.numbered(merged.withColumn("__all", F.lit(0)), ["position"], "__all").select("id", "level", F.col("row_number").alias("place"))
+    return numbered_all(merged, "position", name="place").select("id", "level", F.col("place").cast("int").alias("place"))
+
+
+@registered("""
+WITH e AS (SELECT *, event_id % 3 AS batch, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS fetched FROM events),
+a AS (SELECT user_id, arg_max(event_type, fetched * 100000000 + event_id) AS level, min(fetched * 100000000 + event_id) AS f FROM e GROUP BY user_id)
+SELECT user_id::VARCHAR AS id, level, row_number() OVER (ORDER BY f)::INTEGER AS place FROM a""")
+def snapshots_by_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that arrive in another order than they were fetched in: the one fetched last wins, the first one gives the place."""
+    root = scratch(spark, "fetched")
+    log = F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("level")).alias("row"))
+    ordered = F.transform(F.array_sort(F.collect_list(log)), lambda x: x["row"])
+    when = F.get(F.array(*[F.lit(f"2024-03-0{d}T12:00:00Z") for d in (3, 1, 2)]), F.col("batch"))
+    snaps = table(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(3)).cast("int").alias("batch")).agg(ordered.alias("logs")).select("batch", F.to_json(F.struct(when.alias("fetchedAt"), "logs")).alias("value"))
+    for k in range(3):
+        snaps.where(F.col("batch") == k).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+    merged = live.MergedTable(spark, f"{root}/out", "id", "ord", compact_every=2, fetched="fetched_at")
+    live.follow(readers.snapshot_stream(spark, f"{root}/in", "logs", fetched="fetched_at"), merged.absorb, f"{root}/checkpoint", once=True).awaitTermination()
+    return numbered_all(merged.read(), "position", name="place").select("id", "level", F.col("place").cast("int").alias("place"))
 
 
 @registered("SELECT event_id, event_type FROM events")
 def stream_distinct_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event arrives twice within the delay and stays once."""
+    """Every event arrives twice within the delay, in two micro-batches with a restart between them, and stays once."""
     root, rows = scratch(spark, "distinct"), table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    rows.unionByName(rows).write.parquet(f"{root}/in")
-    stream = live.distinct_within(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), "event_id", "ts", "90 days")
-    live.follow(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", once=True).awaitTermination()
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = live.distinct_within(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "event_id", "ts", "90 days")
+        live.follow(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
 
 
@@ -178,29 +213,41 @@ def prefer_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", merge.prefer(live_value, F.col("n_nationkey")).alias("stat"))
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"({d}, {p}, {h}, {s}, {r}, '{x}')" for d, p, h, s, r, x in [
-    (True, True, True, True, True, "demo"), (True, False, True, True, True, "offline"), (False, True, True, True, False, "connected"), (False, True, True, False, True, "persisted"),
-    (False, True, False, False, True, "persisted"), (False, True, True, False, False, "degraded"), (False, True, False, False, False, "offline")]) + ") t(demo, persisted_ok, health_ok, snapshot_ok, has_rows, state)"
-    " UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, unnest(['loading', 'connected', 'loading', 'idle'])")
+@registered("""
+WITH f AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS demo, o_custkey % 3 = 0 AS persisted_ok, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END AS health_ok, o_orderpriority < '3' AS snapshot_ok, o_totalprice > 200000 AS has_rows, o_orderkey % 5 = 0 AS refreshing FROM orders),
+s AS (SELECT *, CASE WHEN demo THEN CASE WHEN persisted_ok THEN 'demo' ELSE 'offline' END WHEN coalesce(health_ok, false) AND snapshot_ok THEN 'connected' WHEN has_rows THEN 'persisted' WHEN health_ok THEN 'degraded' ELSE 'offline' END AS state FROM f)
+SELECT o_orderkey, state, CASE WHEN refreshing AND NOT persisted_ok AND demo THEN 'loading' ELSE state END AS shown FROM s""")
 def connection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after a refresh, for each way it can end, and while one runs."""
-    cases = [(True, True, True, True, True), (True, False, True, True, True), (False, True, True, True, False), (False, True, True, False, True), (False, True, False, False, True), (False, True, True, False, False), (False, True, False, False, False)]
-    running = [settings.state_while_refreshing(*c) for c in ((settings.IDLE, False, False), ("connected", False, False), ("connected", True, False), (settings.IDLE, False, True))]
-    rows = [(*c, settings.connection_state(*c)) for c in cases] + [(None,) * 5 + (s,) for s in running]
-    return spark.createDataFrame(rows, "demo boolean, persisted_ok boolean, health_ok boolean, snapshot_ok boolean, has_rows boolean, state string")
+    """The state of each site after a refresh, and what is shown while the next one runs; silent ones show nothing."""
+    c = F.col
+    flags = {"demo": F.pmod("o_orderkey", F.lit(2)) == 0, "persisted_ok": F.pmod("o_custkey", F.lit(3)) == 0, "health_ok": F.when(F.pmod("o_orderkey", F.lit(7)) != 0, c("o_orderstatus") == "O"), "snapshot_ok": c("o_orderpriority") < "3", "has_rows": c("o_totalprice") > 200000}
+    rows = table(spark, sf_dir, "orders").withColumns(flags)
+    rows = rows.withColumn("state", settings.connection_state_of(*[c(f) for f in flags]))
+    return rows.select("o_orderkey", "state", settings.shown_state_of(c("state"), F.pmod("o_orderkey", F.lit(5)) == 0, c("demo"), c("persisted_ok")).alias("shown"))
 
 
-@registered("""SELECT * FROM (VALUES ('engine.url', 'b'), ('engine.timeout', '8'), ('list', '[3]'), ('kept', '1')) t(key, value)""")
+@registered("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'http://site' || c_custkey ELSE 'http://d' END AS url, CASE WHEN c_custkey % 6 = 0 THEN c_nationkey ELSE 8 END::INTEGER AS timeout,
+       CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN c_mktsegment ELSE 'a,b' END AS layers, 1 AS kept FROM customer""")
 def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = settings.deep_merge({"engine": {"url": "a", "timeout": 8}, "list": [1, 2], "kept": 1}, {"engine": {"url": "b"}, "list": [3]})
-    rows = [("engine.url", merged["engine"]["url"]), ("engine.timeout", str(merged["engine"]["timeout"])), ("list", str(merged["list"])), ("kept", str(merged["kept"]))]
-    return spark.createDataFrame(rows, "key string, value string")
+    """The settings of each site: its own ones, as JSON, over the defaults; a list replaces the list, others have no settings."""
+    k = F.col("c_custkey")
+    own = F.struct(F.struct(F.concat(F.lit("http://site"), k).alias("url"), F.when(k % 3 == 0, F.col("c_nationkey")).alias("timeout")).alias("engine"), F.when(k % 3 == 0, F.array("c_mktsegment")).alias("layers"))
+    text = F.when(k % 2 == 0, F.to_json(own))
+    schema = T.StructType.fromDDL("engine struct<url: string, timeout: int>, layers array<string>, kept int")
+    base = F.from_json(F.lit('{"engine": {"url": "http://d", "timeout": 8}, "layers": ["a", "b"], "kept": 1}'), schema)
+    rows = table(spark, sf_dir, "customer").withColumns({"base": base, "own": F.from_json(text, schema)})
+    s = rows.select("c_custkey", settings.merged_struct(F.col("base"), F.col("own"), schema).alias("s"))
+    return s.select("c_custkey", "s.engine.url", "s.engine.timeout", F.array_join("s.layers", ",").alias("layers"), "s.kept")
 
 
-@registered("""SELECT * FROM (VALUES ('host:9000/', 'http://host:9000'), ('https://Host/x//', 'https://host/x'), ('', 'http://d'), ('localhost:8000', 'http://d'), ('http://127.0.0.1:8000/a', 'http://d'), ('other:8000', 'http://other:8000')) t(raw, url)""")
+@registered("""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'http://host' || c_custkey || ':9000' WHEN 1 THEN 'https://host' || c_custkey || '/X/y' WHEN 2 THEN 'http://d' WHEN 3 THEN 'http://d' WHEN 4 THEN 'http://d' ELSE 'http://other:8000' END AS url FROM customer""")
 def engine_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ("host:9000/", "https://Host/x//", "", "localhost:8000", "http://127.0.0.1:8000/a", "other:8000")
-    return spark.createDataFrame([(r, settings.engine_url(r, "http://d")) for r in raw], "raw string, url string")
+    """Addresses as people type them: without a scheme, with slashes, capitals and usual ports, none at all, or this machine's reserved port."""
+    k = F.col("c_custkey")
+    said = F.when(k % 6 == 0, F.concat(F.lit(" host"), k, F.lit(":9000// "))).when(k % 6 == 1, F.concat(F.lit("HTTPS://Host"), k, F.lit(":443/X/y/?q"))).when(k % 6 == 2, F.lit("\t")).when(k % 6 == 3, "localhost:8000").when(k % 6 == 4, "http://127.0.0.1:8000/a").otherwise("other:8000")
+    return table(spark, sf_dir, "customer").select("c_custkey", settings.engine_url_of(said, "http://d").alias("url"))
 
 
 # ---- facets and search
@@ -382,8 +429,7 @@ def locale_ordered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column names of JSON rows in locale order, whatever the case; of two that differ by case the lower one is first."""
     name = F.when(F.col("p_size") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type"))
     rows = table(spark, sf_dir, "part").select(F.to_json(F.map_from_arrays(F.array(name), F.array(F.lit(1)))).alias("json"))
-    keys = register.column_keys(rows, "json").withColumns({"__l": register.locale_order("key"), "__all": F.lit(0)})
-    return register.numbered(keys, ["__l", "key"], "__all").select("key", F.col("row_number").alias("place"))
+    return numbered_all(register.column_keys(rows, "json"), register.locale_order("key"), "key", name="place").select("key", F.col("place").cast("int").alias("place"))
 
 
 # ---- threads and messages
@@ -476,10 +522,11 @@ def date_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '—' ELSE (o_orderkey % 101) || '%' END AS whole,
-       CASE WHEN o_orderkey % 4 = 0 THEN '—' ELSE ((o_orderkey % 101)::BIGINT || '.0%') END AS one_digit FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '—' ELSE (o_orderkey % 257 * 100 * 2 + 256) // 512 || '%' END AS whole,
+       CASE WHEN o_orderkey % 4 = 0 THEN '—' ELSE ((o_orderkey % 257 * 1000 * 2 + 256) // 512) // 10 || '.' || ((o_orderkey % 257 * 1000 * 2 + 256) // 512) % 10 || '%' END AS one_digit FROM orders""")
 def percent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.when(F.col("o_orderkey") % 4 != 0, F.pmod("o_orderkey", F.lit(101)) / 100.0)
+    """Parts of 256, which doubles hold exactly; some end in a half."""
+    x = F.when(F.col("o_orderkey") % 4 != 0, F.pmod("o_orderkey", F.lit(257)) / 256.0)
     return table(spark, sf_dir, "orders").select("o_orderkey", X.percent_text(x).alias("whole"), X.percent_text(x, 1).alias("one_digit"))
 
 
