@@ -20,7 +20,7 @@ def numbered_all(df: DataFrame, *order: str | Column, name: str = "ordinal", sta
     share a partition and are numbered in any order: name a total order where that matters. A column called `name` is replaced.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    place = "__place"
+    place = "__numbered"
     path = scratch(df.sparkSession, "numbered")
     rows = df.drop(name).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id())
     rows.write.parquet(path, compression="zstd")
