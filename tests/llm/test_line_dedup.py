@@ -36,32 +36,62 @@ def test_against_brute_force(spark, corpus, min_docs, batches, fanout):
     assert got == brute(rows + extra, 40, min_docs)
 
 
-def test_runs_compact_and_settle(spark):
+def state(runs):
+    return {(r["h1"], r["h2"]): (r["n_docs"], r["holder"]) for r in runs.keys().collect()}
+
+
+PAIRS = "doc long, h1 long, h2 long"
+
+
+def test_runs_compact_and_count(spark):
     runs = L.LineRuns(spark, fanout=2)
     for docs in ([9, 8], [7], [6, 5], [4]):
-        runs.ingest(spark.createDataFrame([(d, 1, 1) for d in docs] + [(d, d, 2) for d in docs], "doc long, h1 long, h2 long"), min_docs=3)
+        runs.ingest(spark.createDataFrame([(d, 1, 1) for d in docs] + [(d, d, 2) for d in docs], PAIRS))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    state = {(r["h1"], r["h2"]): (r["n_docs"], r["holder"]) for r in runs.all().collect()}
-    assert state[1, 1] == (3, 9)  # settled after the second batch, and left alone
-    assert state[4, 2] == (1, 4) and len(state) == 7
+    assert state(runs)[1, 1] == (6, 9) and state(runs)[4, 2] == (1, 4) and len(state(runs)) == 7
+    runs.close()
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 1), (2, 1, 0, 0), (1, 1, 2, 0)])
+def test_any_order_and_repeats_equal_one_batch(spark, tmp_path, order):
+    """Three batches, one of them twice, each by an object of its own that knows the path alone."""
+    batches = [[(d, d % 4, 1) for d in range(20)], [(d, d % 3, 1) for d in range(15, 40)], [(d, 7, 7) for d in (3, 50, 4)] + [(3, 3, 1)] * 2]
+    for k in order:
+        runs = L.LineRuns(spark, f"file://{tmp_path}/runs")
+        runs.ingest(spark.createDataFrame(batches[k], PAIRS).repartition(3))
+        runs.close()
+    one = L.LineRuns(spark)
+    one.ingest(spark.createDataFrame([p for b in batches for p in b], PAIRS))
+    again = L.LineRuns(spark, f"file://{tmp_path}/runs")
+    assert state(again) == state(one) and sum(map(len, again.levels)) <= 3
+    again.close(), one.close()
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """The batch is dealt out; the runs are read by bucket."""
+    runs = L.LineRuns(spark, fanout=5)
+    for k in range(2):
+        runs.ingest(spark.createDataFrame([(d, k, d) for d in range(50)], PAIRS))
+    plan = runs.fresh(spark.createDataFrame([(1, 1, 1)], PAIRS))._jdf.queryExecution().executedPlan().toString()
+    runs.close()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+
+
+def test_dedup_goes_on(spark, tmp_path):
+    """Rising ids: a later, larger document becomes the holder, and keeps the line that the earlier ones count for."""
+    path, line = f"file://{tmp_path}/runs", "a line of text that is long enough to be counted"
+    docs = lambda ids: spark.createDataFrame([(i, line + f"\nown {i}") for i in ids], "doc_id long, text string")
+    dropped = lambda ids: {r["doc_id"]: r["n_dropped"] for r in L.dedup_lines(docs(ids), n_batches=2, path=path).collect()}
+    assert dropped([1, 2, 3]) == {1: 0, 2: 0, 3: 0}
+    assert dropped([3, 2]) == {2: 0, 3: 0}  # seen before: still three documents
+    assert dropped([4, 9]) == {4: 1, 9: 0}
+    assert dropped([5]) == {5: 1} and dropped([12]) == {12: 0} and dropped([9]) == {9: 1}
 
 
 def test_empty(spark, corpus):
     assert L.dedup_lines(corpus[0].limit(0)).count() == 0
 
 
-def test_runs_go_on_from_their_path(spark, tmp_path):
-    """A later session adds to what an earlier one wrote."""
-    path, schema = f"file://{tmp_path}/runs", "doc long, h1 long, h2 long"
-    for k in range(5):
-        runs = L.LineRuns(spark, path)
-        runs.ingest(spark.createDataFrame([(100 - k, 1, 1), (100 - k, 2 + k, 2)], schema), 3)
-    again = L.LineRuns(spark, path)
-    got = {(r["h1"], r["h2"]): (r["n_docs"], r["holder"]) for r in again.all().collect()}
-    assert got[1, 1][1] == 100 and got[1, 1][0] >= 3 and got[4, 2] == (1, 98) and len(got) == 6
-    assert sum(map(len, again.levels)) <= 3
-
-
 def test_many_lines_and_many_losses(spark):
     """Thousands of lines of one text go; the text is long and takes linear time."""
     lines = [f"line number {k} that is long enough to count as one" for k in range(4000)]
