@@ -32,7 +32,7 @@ FREQUENT = 20  # words that the longest skip looks for
 LEAST_BITS, MOST_BITS, TOKENS_PER_ROW = 12, 16, 64  # rows of a weight table: a power of two in these bounds by the training tokens
 CLASS_FEATURES, SLOT_FEATURES = 3, 2
 FEATURES = CLASS_FEATURES + SLOT_FEATURES
-ROUNDS, RATE, BATCH = 2, 0.15, 8192
+ROUNDS, LEARNERS, RATE, BATCH = 4, 4, 0.15, 8192  # LEARNERS: of a round at least
 LIMIT = np.float32(60.0)  # of a score: 32 exponentials of it are finite in single precision
 RUN = 12  # members of a row in a batch that are added one by one over all rows; the rest of longer runs at once
 LEARNER_ROWS = 64  # training tokens a learner gets for each weight row at least, so that weights sent stay a share of the input
@@ -300,8 +300,9 @@ def batches_of(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield some
 
 
-def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights, learners: int) -> Weights:
-    """New common weights after every task, `learners` at most, has followed the gradient over its rows of train."""
+def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights, tasks: int) -> Weights:
+    """New common weights: every task, `tasks` at most, follows the gradient over its rows of train, and the rows of weights that
+    tasks used are averaged by how often each used them."""
     context = train.sparkSession.sparkContext
     shared = context.broadcast((vocabulary.head, weights.cls, weights.slot))
 
@@ -337,7 +338,7 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, weights: Weights, lear
         return pd.DataFrame({"table": pdf["table"].iloc[:1], "block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1] // FAN, "value": [pack_rows(at, used[at].astype(np.float32), mean)]})
 
     schema = "table int, block int, task int, value binary"
-    parts, most = train.select("text").mapInPandas(learn, schema), learners - 1
+    parts, most = train.select("text").mapInPandas(learn, schema), tasks - 1
     while True:
         parts = parts.groupBy("table", "block", F.floor(F.col("task") / FAN).alias("slice")).applyInPandas(lambda pdf: add(pdf), schema)
         if most < FAN:
@@ -366,14 +367,21 @@ def unpack_rows(pack: bytes, width: int) -> tuple[np.ndarray, ...]:
 def train_model(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Weights after one pass over all of train, cut by a hash of the text into `rounds` parts.
 
-    The number of learners follows from the tokens, so results don't change with the number of shuffle partitions; they
-    do follow the order of the input's files.
+    The number of learners follows from the tokens, LEARNERS at least, so results don't change with the number of shuffle
+    partitions; they do follow the order of the input's files. An input of fewer partitions than learners is dealt out by a hash of
+    the text.
     """
     weights = Weights.zeros(vocabulary.bits)
-    learners = max(1, vocabulary.tokens // rounds // (LEARNER_ROWS << vocabulary.bits))
+    learners = max(LEARNERS, vocabulary.tokens // rounds // (LEARNER_ROWS << vocabulary.bits))
+    few = train.rdd.getNumPartitions() < learners
     for k in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(learners)  # never more partitions than there are
-        weights = train_round(part, vocabulary, weights, learners)
+        h = F.xxhash64("text")
+        part = train.where(F.pmod(h, F.lit(rounds)) == k)
+        if few:
+            part, tasks = part.repartition(learners, h).sortWithinPartitions(h), max(learners, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        else:
+            part, tasks = part.coalesce(learners), learners
+        weights = train_round(part, vocabulary, weights, tasks)
         release(train.sparkSession)
     return weights
 

@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridlore.llm import maxent_lm as M
 from gridlore.llm import queries
+from gridlore.llm.common import staged
 
 
 def tokens(text):
@@ -129,6 +131,44 @@ def test_packed_rows():
     assert (a == at).all() and (u == used).all() and np.allclose(x, w)
 
 
+@pytest.mark.parametrize("learners", [1, 4, 40])
+def test_round_equals_the_average_of_its_learners(spark, learners):
+    """The tree of sums against plain Python: each task's weights, row by row, weighed by how often it used them."""
+    rng = random.Random(learners)
+    rows = [(" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))),) for _ in range(400)]
+    df = staged(spark.createDataFrame(rows, "text string").repartition(learners), "texts")
+    df = df.repartition(learners, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text"), "text")
+    vocabulary = M.Vocabulary.of(M.word_counts(df), 20)
+    start = M.Weights.zeros(vocabulary.bits)
+    got = M.train_round(df, vocabulary, start, learners)
+    parts = collections.defaultdict(list)
+    for r in df.select("text", F.spark_partition_id().alias("p")).collect():
+        parts[r["p"]].append(M.words(r["text"]))
+    sums, used = [np.zeros(w.shape) for w in (start.cls, start.slot)], [np.zeros(len(w)) for w in (start.cls, start.slot)]
+    for texts in parts.values():
+        learner = M.Learner(start)
+        for some in M.batches_of(iter(texts)):
+            batch = M.Batch(M.Symbols(vocabulary.head), some)
+            for k in range(0, len(batch.at), M.BATCH):
+                part = slice(k, k + M.BATCH)
+                learner.step(batch.rows(part, vocabulary.bits), batch.target[part], batch.slot[part])
+        for t, w in enumerate((learner.weights.cls, learner.weights.slot)):
+            sums[t] += learner.used[t][:, None] * w
+            used[t] += learner.used[t]
+    assert len(parts) > learners // 2
+    for w, total, n in zip((got.cls, got.slot), sums, used):
+        assert np.allclose(w, total / np.maximum(n, 1)[:, None], atol=4e-3) and np.abs(w).max() > 0.05
+
+
+def test_learners_at_every_size(spark, monkeypatch):
+    """Small inputs have several learners too, however few files there are."""
+    seen = []
+    monkeypatch.setattr(M, "train_round", lambda part, vocabulary, weights, tasks: seen.append((part.select(F.spark_partition_id().alias("p")).distinct().count(), part.count())) or weights)
+    df = staged(spark.createDataFrame([(f"text {k} a b c",) for k in range(400)], "text string").coalesce(1), "one-file")
+    M.train_model(df, M.Vocabulary.of(M.word_counts(df), 20))
+    assert [p for p, _ in seen] == [M.LEARNERS] * M.ROUNDS and sum(n for _, n in seen) == 400
+
+
 def test_learns_context(spark, monkeypatch):
     """In every text a word tells the next; the base model can't see that."""
     monkeypatch.setattr(M, "BATCH", 256)
