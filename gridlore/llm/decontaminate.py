@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -26,11 +26,11 @@ from gridlore.llm.common import read, staged
 #: Fixed masks: 1 is looked at, 0 is ignored. Each has weight 6; together they tolerate any two substitutions in 13 tokens.
 MASKS = ("111111", "1110111", "1101011001", "11001010011", "1011000111", "110100100101")
 MIN_OVERLAP, MIN_MATCH = 13, 0.8  # tokens of a verified overlap (a shorter item: all of it), and the share that are equal
-MIN_ITEM = 1  # items of fewer tokens have no seed and match nothing
 SHORT = 12  # from here on no allowed substitutions escape all masks; items of fewer tokens have pieces instead
 BLOCK_TOKENS = 1_000_000  # benchmark tokens broadcast at a time, in expectation: about 100 MB of seeds
 LEAST_SEEN, MOST_SEEN = 20, 26  # bits of the bitmap before the seeds, in these bounds eight cells a seed
 TOGETHER, GAP = 50_000, 12  # tokens whose seeds are looked up together; unknown words between texts, as wide as the widest mask
+PAIRS, CELLS, FEW = 1 << 20, 1 << 22, 32  # (item, diagonal) pairs unpacked, and token pairs compared, at a time; so few pairs are verified one by one
 DROP = 4  # an extension ends when it has lost so much against its best
 
 WORD = re.compile(r"\w+")
@@ -119,7 +119,7 @@ class Block:
         for p, x in zip(begin.tolist(), texts):
             all_[p : p + len(x)] = x
         usable, drop = all_ != 0, np.uint64(65 - len(self.seen).bit_length())
-        hits: dict[int, set[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         near: dict[int, dict[int, list[np.ndarray]]] = {}
         for mask in self.masks:
             n, look = len(all_) - len(mask) + 1, [j for j, c in enumerate(mask) if c == "1"]
@@ -141,14 +141,13 @@ class Block:
             first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
             for f, e in zip(first.tolist(), np.r_[first[1:], len(pos)].tolist()):
                 t = int(text[f])
-                self._gather(mask, pos[f:e] - begin[t], low[f:e], high[f:e], hits.setdefault(t, set()), near.setdefault(t, {}))
+                self._gather(mask, pos[f:e] - begin[t], low[f:e], high[f:e], hits.setdefault(t, []), near.setdefault(t, {}))
         return [self._best(x, hits[t], near[t]) if t in hits else [] for t, x in enumerate(texts)]
 
-    def _gather(self, mask: str, pos: np.ndarray, low: np.ndarray, high: np.ndarray, hits: set[tuple[int, int]], near: dict[int, list[np.ndarray]]) -> None:
-        """Add the diagonals (item, document position - item position) of a text's hits under one mask."""
+    def _gather(self, mask: str, pos: np.ndarray, low: np.ndarray, high: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], near: dict[int, list[np.ndarray]]) -> None:
+        """Add a text's hits under one mask: positions with their range of seeds; diagonals (document position - item position) for short items."""
         if mask in MASKS:
-            for p, a, b in zip(pos.tolist(), low.tolist(), high.tolist()):
-                hits.update(zip(self.item[a:b].tolist(), (p - self.at[a:b]).tolist()))
+            hits.append((pos, low, high))
             return
         n = high - low
         place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -157,16 +156,70 @@ class Block:
         for k_, d in zip(k.tolist(), np.split(diagonal - self.at[place], first[1:])):
             near.setdefault(k_, []).append(d)
 
-    def _best(self, words: np.ndarray, hits: set[tuple[int, int]], near: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+    def _pairs(self, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, diagonals), each pair once a piece; hits of neighbouring positions under all masks share a piece."""
+        pos, low, high = (np.concatenate(c) for c in zip(*hits))
+        order = np.argsort(pos, kind="stable")
+        pos, low, n = pos[order], low[order], (high - low)[order]
+        ends = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ends, np.arange(PAIRS, int(ends[-1]) + PAIRS, PAIRS), "right"))
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
+            if a == b:
+                continue
+            m = n[a:b]
+            place = np.repeat(low[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            key = pd.unique((self.item[place].astype(np.int64) << 32) + (np.repeat(pos[a:b], m) - self.at[place] + (1 << 31)))
+            yield key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+
+    def _best(self, words: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], near: dict[int, list[np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
         best: dict[int, tuple[int, int, int, int]] = {}
-        for k, diagonal in hits:
-            for got in verified(words, self.words[k], diagonal):
+        for item, diagonal in self._pairs(hits) if hits else ():
+            for k, got in self._verified(words, item, diagonal):
                 if k not in best or (got[3], got[2], -got[0]) > (best[k][3], best[k][2], -best[k][0]):
                     best[k] = got
         for k, some in near.items():
             best |= {k: got for got in whole(words, self.words[k], np.unique(np.concatenate(some)))}
         return [(self.ids[k], *got) for k, got in best.items()]
 
+    def _verified(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+        """verified() of many pairs. Those with fewer equal tokens than any overlap needs are left out first, all in arrays."""
+        if len(item) > FEW:
+            size = self.size[item]
+            begin, end = np.maximum(0, -diagonal), np.minimum(size, len(words) - diagonal)
+            need = np.ceil(MIN_MATCH * np.minimum(MIN_OVERLAP, size) - 1e-9)
+            order = np.argsort(end - begin, kind="stable")
+            order = order[(end - begin)[order] >= need[order]]
+            keep, a = [], 0
+            while a < len(order):
+                # pairs of like length make a matrix with little padding
+                b = min(len(order), a + max(1, CELLS // int((end - begin)[order[min(len(order), a + 4096) - 1]])), a + 4096)
+                at = order[a:b]
+                n = (end - begin)[at]
+                j = np.arange(n.max())
+                inside = j < n[:, None]
+                left = np.where(inside, (begin + diagonal)[at][:, None] + j, 0)
+                right = np.where(inside, (self.first[item[at]] + begin[at])[:, None] + j, 0)
+                same = ((words[left] == self.flat[right]) & inside).sum(1)
+                keep.append(at[same >= need[at]])
+                a = b
+            at = np.concatenate(keep) if keep else np.empty(0, np.int64)
+            item, diagonal = item[at], diagonal[at]
+        for k, d in zip(item.tolist(), diagonal.tolist()):
+            for got in verified(words, self.words[k], d):
+                yield k, got
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.array([len(w) for w in self.words], np.int64)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    @cached_property
+    def flat(self) -> np.ndarray:
+        return np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
+
 
 def whole(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int, int]]:
     """The most equal, then leftmost of the diagonals on which enough of the whole item is equal, as from verified."""
