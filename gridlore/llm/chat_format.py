@@ -22,6 +22,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 #: JSON of more bytes could pass a variant's 128 MiB or the parser's 20,000,000 characters a string; its texts don't become a variant.
 SMALL_JSON = 4 << 20
+NULL, MALFORMED, TOO_LARGE, NO_LAYOUT = "null", "malformed", "too large or malformed", "no layout"  # what `unmapped` says
 
 
 @dataclass(frozen=True)
@@ -135,11 +136,11 @@ def mapped_json(body: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, body: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with layout and turns added, for a column of JSON strings or of structs; columns of these names are replaced.
+    """records with layout, turns and unmapped added, for a column of JSON strings or of structs; columns of these names are replaced.
 
-    Malformed JSON, null and layouts without a mapping give a null layout and no turns (an empty array); the rows stay.
-    Texts of a struct, and of JSON over SMALL_JSON bytes, never enter a variant. JSON whose structure alone is too large
-    to be fingerprinted raises.
+    Malformed JSON, null and layouts without a mapping give a null layout and no turns (an empty array), and `unmapped` says
+    which it is; the rows stay. Texts of a struct, and of JSON over SMALL_JSON bytes, never enter a variant. JSON whose
+    structure alone has more bytes than that can't be told from malformed JSON and is `too large or malformed`.
     """
     kind, none = records.schema[body].dataType, F.array().cast(TURNS)
     name, turns = F.lit(None).cast("string"), none
@@ -149,21 +150,22 @@ def canonical_turns(records: DataFrame, body: str, layouts: tuple[Layout, ...] =
             got = canonical(x, lambda path, _: F.col(body)[path])
             there = F.size(got) > 0 if x.turns else F.col(body).isNotNull()
             name, turns = F.when(there, F.lit(x.name)), F.when(there, got.cast(TURNS))
-        return records.withColumns({"layout": name, "turns": F.coalesce(turns, none)})
+        reason = F.when(F.col(body).isNull(), NULL).when(name.isNull(), NO_LAYOUT)
+        return records.withColumns({"layout": name, "turns": F.coalesce(turns, none), "unmapped": reason})
     long = F.octet_length(body) > SMALL_JSON
     out = records.withColumn("__s", F.when(long, structure(F.col(body))).otherwise(F.col(body)))
     out = out.withColumn("__v", F.try_parse_json(F.col("__s")))
     lost = F.col("__v").isNull() & (F.octet_length("__s") > SMALL_JSON)
-    failed = F.raise_error(F.concat(F.lit("JSON structure too large or malformed, bytes: "), F.octet_length("__s").cast("string"))).cast("string")
-    out = out.withColumn("__fp", F.when(lost, failed).otherwise(F.coalesce(fingerprint_of(F.col("__v")), F.lit(""))))
+    out = out.withColumn("__fp", F.coalesce(fingerprint_of(F.col("__v")), F.lit("")))
     for x in layouts:
         hit = F.col("__fp") == x.fingerprint
         got = F.when(long, mapped_json(F.col(body), x).cast(TURNS)).otherwise(mapped(F.col("__v"), x).cast(TURNS))
         name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, got).otherwise(turns)
     # long JSON whose texts turn out malformed has a layout's structure, but null turns
     out = out.withColumns({"layout": name, "turns": turns})
-    malformed = long & F.col("turns").isNull()
-    return out.withColumns({"layout": F.when(~F.coalesce(malformed, F.lit(False)), F.col("layout")), "turns": F.coalesce("turns", none)}).drop("__s", "__v", "__fp")
+    malformed = F.coalesce(long & F.col("turns").isNull() & F.col("layout").isNotNull(), F.lit(False))
+    reason = F.when(F.col(body).isNull(), NULL).when(lost, TOO_LARGE).when(F.col("__v").isNull() | malformed, MALFORMED).when(F.col("layout").isNull(), NO_LAYOUT)
+    return out.withColumns({"unmapped": reason, "layout": F.when(~malformed, F.col("layout")), "turns": F.coalesce("turns", none)}).drop("__s", "__v", "__fp")
 
 
 def escaped(c: Column) -> Column:

@@ -98,3 +98,29 @@ def test_structure_keeps_names_only(spark):
     bodies = ['{"a":"x","b" : [{"c":"{\\"c\\":1}","d":-1.5e3},{"c":"","d":7}, {"c":"\\\\","d":null}]}', '"open', '{"a":"x\\', "[1]"]
     got = [r[0] for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(C.structure(F.col("b"))).collect()]
     assert got == ['{"a":"","b" : [{"c":"","d":0}, {"c":"","d":null}]}', '""', '{"a":""', "[1]"]
+
+
+def test_unmapped_says_why(spark, monkeypatch):
+    """One odd record ends no run; columns named like the added ones are replaced."""
+    monkeypatch.setattr(C, "SMALL_JSON", 300)
+    good = '{"messages": [{"role": "user", "content": "hi"}]}'
+    wide = "{" + ", ".join(f'"key{k}": {k}' for k in range(60)) + "}"  # its structure alone is over the bound, but can be parsed
+    bodies = [good, good[:-1], None, "{}", "7", wide, wide[:-1], json.dumps({"messages": [{"role": "user", "content": "x" * 900}]})[:-3]]
+    df = spark.createDataFrame([(k, b, "l", "t", "u") for k, b in enumerate(bodies)], "k int, body string, layout string, turns string, unmapped string")
+    out = C.canonical_turns(df, "body")
+    assert out.columns == ["k", "body", "layout", "turns", "unmapped"]
+    got = {r["k"]: (r["layout"], len(r["turns"]), r["unmapped"]) for r in out.collect()}
+    assert got == {0: ("messages", 1, None), 1: (None, 0, C.MALFORMED), 2: (None, 0, C.NULL), 3: (None, 0, C.NO_LAYOUT), 4: (None, 0, C.NO_LAYOUT), 5: (None, 0, C.NO_LAYOUT), 6: (None, 0, C.TOO_LARGE), 7: (None, 0, C.MALFORMED)}
+    structs = spark.createDataFrame([(([("user", "hi")],), "l", "t")], "record struct<messages: array<struct<role: string, content: string>>>, layout string, turns string")
+    r = C.canonical_turns(structs, "record").first()
+    assert (r["layout"], len(r["turns"]), r["unmapped"]) == ("messages", 1, None)
+    r = C.canonical_turns(structs.select(F.struct(F.lit(1).alias("odd")).alias("record")), "record").first()
+    assert (r["layout"], r["turns"], r["unmapped"]) == (None, [], C.NO_LAYOUT)
+
+
+def test_a_structure_of_many_megabytes_ends_no_run(spark):
+    df = spark.range(1).select(F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(900_000)), lambda k: F.concat(F.lit('"key'), k, F.lit('": '), k)), ", "), F.lit("}")).alias("body"))
+    df = df.unionByName(spark.createDataFrame([('{"messages": [{"role": "user", "content": "hi"}]}',)], "body string"))
+    out = C.canonical_turns(df, "body").select(F.octet_length("body").alias("n"), "layout", "unmapped").collect()
+    large, small = sorted(out, key=lambda r: -r["n"])
+    assert large["n"] > 16 << 20 and large["layout"] is None and large["unmapped"] in (C.NO_LAYOUT, C.TOO_LARGE) and small["layout"] == "messages"

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline as P
+from gridlore.llm import toxicity
 from gridlore.llm.common import staged
 from tests.llm.test_decontaminate import D
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -25,7 +26,11 @@ def test_stages(spark, sf_dir):
         return out, {r["doc_id"]: r["text"] for r in out.collect()}
 
     start = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))  # the same rows give the same model
+    scorer = toxicity.Scorer(model)
+    told = {i: scorer.document(t) for i, t in start.items()}
     docs, clean = step("toxicity", docs)
+    assert clean == {i: t for i, t in start.items() if told[i] < 0.5}
     assert docs.columns == COLUMNS and clean.items() <= start.items() and 0.7 * len(start) < len(clean) < len(start)
 
     docs, lines = step("line dedup", docs)
