@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions.text import not_equal, strip, truthy
+from gridlore.functions.text import not_equal, strip
 
 ALL = "all"
 # The fields that the pages search, scalars and arrays.
@@ -78,10 +78,6 @@ def awaiting_approval(required: str = "requiresHumanApproval", status: str = "st
     return F.coalesce(F.col(required), F.lit(False)) & not_equal(F.col(status), "implemented")
 
 
-def has_value(column: str) -> Column:
-    return truthy(F.col(column))
-
-
 def paused(df: DataFrame, is_paused: bool) -> DataFrame:
     return df.limit(0) if is_paused else df
 
@@ -94,7 +90,3 @@ def validation(text: str, low: int, high: int, blank: bool = False) -> Column:
     """Length from low to high; blank texts pass only where allowed."""
     c = F.coalesce(F.col(text), F.lit(""))
     return F.char_length(c).between(low, high) & (F.lit(blank) | (strip(c) != ""))
-
-
-def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
-    return df.where(rule), df.where(~rule)
