@@ -37,7 +37,10 @@ def to_one(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ord
 
 
 def to_many(left: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, name: str) -> DataFrame:
-    """Left rows with the sorted list of a right column (logs of an alert, alerts of a chain); no match: empty."""
+    """Left rows with the sorted list of a right column (logs of an alert, alerts of a chain); no match: empty.
+
+    A list holds all of its parent's children: for parents with more than some thousands take pages.paged.
+    """
     lists = right.groupBy(F.col(right_key).alias("__key")).agg(F.sort_array(F.collect_list(value)).alias(name))
     out = left.join(lists, F.col(left_key) == F.col("__key"), "left").drop("__key")
     return out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))

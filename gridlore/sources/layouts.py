@@ -84,6 +84,14 @@ def trigram_index(stored: DataFrame, scalars: Iterable[str], arrays: Iterable[st
     return opened.groupBy("file", F.bitmap_bucket_number("__h").alias("bucket")).agg(bits)
 
 
+def files_without_index(stored: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of the files that an index doesn't know yet, after others were appended; index these and append the result to it."""
+    known = index.select("file").distinct()
+    new = stored.select(F.col("_metadata.file_path").alias("file")).distinct().join(known, "file", "left_anti")
+    names = sorted(unquote(r["file"]) for r in new.collect())  # names of new files
+    return stored.sparkSession.read.schema(stored.schema).parquet(*names) if names else stored.where(F.lit(False))
+
+
 def files_with(index: DataFrame, query: str) -> list[str] | None:
     """Files that may have the query: those with all of its trigrams. None where it is too short to tell."""
     wanted = query.strip().lower()

@@ -134,6 +134,23 @@ def test_index_skips_files_and_loses_no_row(spark, tmp_path):
     assert want.count() > 0 and scanned(layouts.indexed_search(stored, index, "topic3 says", ("id", "text"), ("tags",))[0]) <= 60
 
 
+def test_index_grows_with_appended_files(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.createDataFrame([(1, "alpha one")], "id long, text string").write.parquet(at)
+    index = layouts.trigram_index(spark.read.parquet(at), ("text",))
+    index.write.parquet(str(tmp_path / "i"))
+    spark.createDataFrame([(2, "beta two")], "id long, text string").write.mode("append").parquet(at)
+    stored, known = spark.read.parquet(at), spark.read.parquet(str(tmp_path / "i"))
+    assert layouts.indexed_search(stored, known, "beta", ("text",))[0].count() == 0
+    new = layouts.files_without_index(stored, known)
+    assert [r["id"] for r in new.collect()] == [2]
+    layouts.trigram_index(new, ("text",)).write.mode("append").parquet(str(tmp_path / "i"))
+    known = spark.read.parquet(str(tmp_path / "i"))
+    found, files = layouts.indexed_search(stored, known, "beta", ("text",))
+    assert [r["id"] for r in found.collect()] == [2] and files == 1
+    assert layouts.files_without_index(stored, known).count() == 0
+
+
 # ---- counts
 
 
