@@ -134,7 +134,7 @@ SEARCH_SQL = "SELECT '{q}' AS query, doc_id, source FROM documents WHERE contain
 SEARCHES = ("7 EN src13 ", "pathetic ", "qq##zz", "7 ")
 
 
-@registered(" UNION ALL ".join(SEARCH_SQL.format(q=q if q != "7 " else "7").replace("'pathetic '", "'pathetic'").replace("'7 EN src13 '", "'7 EN src13'") for q in SEARCHES))
+@registered(" UNION ALL ".join(SEARCH_SQL.format(q=q.strip()) for q in SEARCHES))
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of documents and their fields searched through the trigrams of each file; the last query is too short for them."""
     rows, index = _searchable(spark, sf_dir)

@@ -16,7 +16,7 @@ from gridlore.operators.search import joined_text, text_search
 
 
 @contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+def session_settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the time of a write; __ stands for a dot."""
     names = {k.replace("__", "."): v for k, v in values.items()}
     before = {k: spark.conf.get(k, None) for k in names}
@@ -36,7 +36,7 @@ def store_payloads(records: DataFrame, path: str, payload: str = "payload") -> N
     """
     parsed = F.try_parse_json(payload)
     rows = records.withColumns({payload: parsed, "malformed": F.when(F.col(payload).isNotNull() & parsed.isNull(), F.col(payload))})
-    with settings(records.sparkSession, spark__sql__variant__writeShredding__enabled="true", spark__sql__variant__inferShreddingSchema="true"):
+    with session_settings(records.sparkSession, spark__sql__variant__writeShredding__enabled="true", spark__sql__variant__inferShreddingSchema="true"):
         rows.write.mode("overwrite").parquet(path)
 
 

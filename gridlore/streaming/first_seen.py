@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from gridlore.sources.layouts import settings
+from gridlore.sources.layouts import session_settings
 from gridlore.streaming.live import follow
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,5 +72,5 @@ def first_by_key(stream: DataFrame, key: str, order: str, event_time: str, delay
 
 def follow_first(spark: SparkSession, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """follow() with the state store that arbitrary state needs; only this query gets it."""
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
+    with session_settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
         return follow(stream, sink, checkpoint, once=once)

@@ -93,7 +93,7 @@ def test_queries_read_only_their_fields(spark, sf_dir, name, fields):
 def test_settings_of_a_write_are_put_back(spark):
     name = "spark.sql.variant.writeShredding.enabled"
     before = spark.conf.get(name, None)
-    with pytest.raises(ZeroDivisionError), layouts.settings(spark, spark__sql__variant__writeShredding__enabled="true"):
+    with pytest.raises(ZeroDivisionError), layouts.session_settings(spark, spark__sql__variant__writeShredding__enabled="true"):
         assert spark.conf.get(name) == "true"
         raise ZeroDivisionError
     assert spark.conf.get(name, None) == before
