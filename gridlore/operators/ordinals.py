@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlore.plans.registry import scratch
 
@@ -16,10 +17,12 @@ def numbered_all(df: DataFrame, *order: str | Column, name: str = "ordinal", sta
     """df with `name`, the row's place from `start` in the order of `order` over all rows.
 
     A range partition by the order puts partition after partition; each is sorted and written once with the place inside it.
-    What goes through the driver is one count a partition, whose prefix sums are broadcast and added. Rows equal in `order`
-    share a partition and are numbered in any order: name a total order where that matters. A column called `name` is replaced.
+    What goes through the driver is one count a partition, whose prefix sums are broadcast and added. Rows equal in `order` are
+    put apart by a hash of their plain columns, so a value that most rows share is dealt out to many tasks too; name a total
+    order where theirs matters. A column called `name` is replaced.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    plain = [f.name for f in df.schema if f.name != name and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType))]
+    keys = [*(F.col(c) if isinstance(c, str) else c for c in order), *([F.xxhash64(*plain)] if plain else [])]
     place = "__numbered"
     path = scratch(df.sparkSession, "numbered")
     rows = df.drop(name).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id())

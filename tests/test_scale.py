@@ -57,6 +57,20 @@ def test_ties_share_a_partition_and_empty_ones_count_nothing(spark):
     assert ordinals.numbered_all(df.limit(0), "v").count() == 0
 
 
+def test_a_hot_value_is_dealt_out(spark):
+    """Nine tenths of the rows are equal in the order."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("v"), F.col("id"), F.array("id").alias("list"))
+        out = ordinals.numbered_all(df, "v", name="n")
+        files = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        got = sorted((r["n"], r["v"]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [n for n, _ in got] == list(range(1, 20_001)) and [v for _, v in got] == sorted(v for _, v in got)
+    assert max(files) < 8000
+
+
 def test_no_window_of_one_partition(spark, sf_dir):
     for name in ("events_numbered", "lines_numbered", "tenant_records", "locale_ordered_keys", "snapshots_by_fetch"):
         said = plan(catalogue.QUERIES[name](spark, sf_dir))
