@@ -134,10 +134,12 @@ class LineRuns:
 def dropped_keys(lines: DataFrame, min_docs: int, n_batches: int, fanout: int, path: str | None = None) -> DataFrame:
     """(doc, row, drops): the places of the lines each text loses; texts that lose nothing have no row."""
     runs = LineRuns(lines.sparkSession, path, fanout)
-    for k in range(n_batches):
-        runs.ingest(lines if n_batches == 1 else lines.where(F.pmod(F.xxhash64("doc"), F.lit(n_batches)) == k))
-    settled = staged(runs.keys().where(F.col("n_docs") >= min_docs), "line-keys")
-    runs.close()
+    try:
+        for k in range(n_batches):
+            runs.ingest(lines if n_batches == 1 else lines.where(F.pmod(F.xxhash64("doc"), F.lit(n_batches)) == k))
+        settled = staged(runs.keys().where(F.col("n_docs") >= min_docs), "line-keys")
+    finally:  # a metastore outlives the session
+        runs.close()
     hot = staged(settled.where(F.col("n_docs") * HOT_KEYS > lines.count()).select("h1", "h2", "holder"), "line-hot")
     if path:  # keys of all earlier batches count as documents, so more than HOT_KEYS may pass
         hot = staged(hot.join(lines.select("h1", "h2"), ["h1", "h2"], "left_semi").orderBy("h1", "h2").limit(HOT_KEYS), "line-hot")
