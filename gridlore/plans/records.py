@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,22 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- registers and snapshots as JSON
 
 
+PAGE = 30_000  # ids that a page of a snapshot spans: one task holds a page whole, never a snapshot
+
+
+def _page_of(number: Column, size: int = PAGE) -> Column:
+    """The first number of the page that a number is on."""
+    return number - F.pmod(number, F.lit(size))
+
+
+def _paged_snapshots(events: DataFrame, *fields: Column, size: int = PAGE) -> DataFrame:
+    """(batch, value): three snapshots, each of every third event as a log by its id, as pages of JSON that say where they begin."""
+    log = F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("level")).alias("row"))
+    ordered = F.transform(F.array_sort(F.collect_list(log)), lambda x: x["row"])
+    pages = events.groupBy(F.pmod("event_id", F.lit(3)).cast("int").alias("batch"), _page_of(F.col("event_id"), size).alias("offset")).agg(ordered.alias("logs"))
+    return pages.select("batch", F.to_json(F.struct(*fields, "offset", "logs")).alias("value"))
+
+
 @registered("""
 SELECT c_nationkey AS site, 'a' || c_custkey AS asset_id, 'Level ' || (c_custkey % 6) AS zone, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INTEGER AS row_number
 FROM customer WHERE c_nationkey % 5 <> 0""")
@@ -139,9 +155,9 @@ def register_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT event_id::VARCHAR AS id, event_type AS source FROM events WHERE event_type <> 'view'")
 def snapshot_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot for each kind of event; the one of views has an object where the list should be and so no rows."""
+    """Snapshots for each kind of event, a page of ids each; those of views have an object where the list should be and so no rows."""
     log = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("source"), F.lit(1).alias("unknown"))
-    lists = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list(log).alias("logs"))
+    lists = table(spark, sf_dir, "events").groupBy("event_type", _page_of(F.col("event_id")).alias("page")).agg(F.collect_list(log).alias("logs"))
     listed, single = F.to_json(F.struct("logs")), F.to_json(F.struct(F.struct(F.lit("x").alias("id")).alias("logs")))
     whole = lists.select(F.when(F.col("event_type") == "view", single).otherwise(listed).alias("value"))
     return readers.snapshot_part(whole, "logs").select("id", "source")
@@ -167,13 +183,12 @@ SELECT user_id::VARCHAR AS id, level, row_number() OVER (ORDER BY f)::INTEGER AS
 def snapshot_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots dropped one by one into a folder, followed with a restart: last content, at the place of the first appearance."""
     root = scratch(spark, "snapshots")
-    log = F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("level")).alias("row"))
-    ordered = F.transform(F.array_sort(F.collect_list(log)), lambda x: x["row"])
-    snaps = table(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(3)).cast("int").alias("batch")).agg(F.to_json(F.struct(ordered.alias("logs"))).alias("value"))
+    snaps = _paged_snapshots(table(spark, sf_dir, "events"))
     for k in range(3):
-        snaps.where(F.col("batch") == k).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+        snaps.where(F.col("batch") == k).select("value").write.mode("append").text(f"{root}/in")
         table_ = live.MergedTable(spark, f"{root}/out", "id", "ord", compact_every=2)
-        live.follow(readers.snapshot_stream(spark, f"{root}/in", "logs"), table_.absorb, f"{root}/checkpoint", once=True).awaitTermination()
+        stream = readers.snapshot_stream(spark, f"{root}/in", "logs", files_per_batch=None, offset="offset", lines=True)
+        live.follow(stream, table_.absorb, f"{root}/checkpoint", once=True).awaitTermination()
     merged = live.MergedTable(spark, f"{root}/out", "id", "ord").read()
     return numbered_all(merged, "position", name="place").select("id", "level", F.col("place").cast("int").alias("place"))
 
@@ -185,14 +200,13 @@ SELECT user_id::VARCHAR AS id, level, row_number() OVER (ORDER BY f)::INTEGER AS
 def snapshots_by_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that arrive in another order than they were fetched in: the one fetched last wins, the first one gives the place."""
     root = scratch(spark, "fetched")
-    log = F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("level")).alias("row"))
-    ordered = F.transform(F.array_sort(F.collect_list(log)), lambda x: x["row"])
     when = F.get(F.array(*[F.lit(f"2024-03-0{d}T12:00:00Z") for d in (3, 1, 2)]), F.col("batch"))
-    snaps = table(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(3)).cast("int").alias("batch")).agg(ordered.alias("logs")).select("batch", F.to_json(F.struct(when.alias("fetchedAt"), "logs")).alias("value"))
-    for k in range(3):
-        snaps.where(F.col("batch") == k).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+    snaps = _paged_snapshots(table(spark, sf_dir, "events"), when.alias("fetchedAt"))
     merged = live.MergedTable(spark, f"{root}/out", "id", "ord", compact_every=2, fetched="fetched_at")
-    live.follow(readers.snapshot_stream(spark, f"{root}/in", "logs", fetched="fetched_at"), merged.absorb, f"{root}/checkpoint", once=True).awaitTermination()
+    for k in range(3):
+        snaps.where(F.col("batch") == k).select("value").write.mode("append").text(f"{root}/in")
+        stream = readers.snapshot_stream(spark, f"{root}/in", "logs", files_per_batch=None, fetched="fetched_at", offset="offset", lines=True)
+        live.follow(stream, merged.absorb, f"{root}/checkpoint", once=True).awaitTermination()
     return numbered_all(merged.read(), "position", name="place").select("id", "level", F.col("place").cast("int").alias("place"))
 
 

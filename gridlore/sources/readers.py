@@ -37,16 +37,26 @@ def fetched_at(json: str = "value") -> Column:
     return F.try_to_timestamp(F.coalesce(F.get_json_object(json, "$.fetchedAt"), F.get_json_object(json, "$.fetched_at")))
 
 
-def snapshot_part(whole: DataFrame, name: str, fetched: str | None = None) -> DataFrame:
-    """Rows of one list of snapshots, from a column `value` of JSON objects, batch or stream; fetched: the name of a column for when."""
-    when = [fetched_at().alias(fetched)] if fetched else []
-    rows = whole.select(*when, F.posexplode(_list("value", name, PARTS[name])).alias("ord", "row")).where("row is not null")
-    return rows.select("row.*", F.col("ord").cast("long").alias("ord"), *([F.col(fetched)] if fetched else []))
-
+def snapshot_part(whole: DataFrame, name: str, fetched: str | None = None, offset: str | None = None) -> DataFrame:
+    """Rows of one list of snapshots, from a column `value` of JSON objects, batch or stream; fetched: the name of a column for when.
 
-def snapshot_stream(spark: SparkSession, path: str, name: str, files_per_batch: int = 1, fetched: str | None = None) -> DataFrame:
-    """One list of the snapshots dropped into a folder, as a stream: a file is a snapshot, a micro-batch takes the next files."""
-    return snapshot_part(spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path), name, fetched)
+    `ord` is the place in the list. A list too long for one object comes in pages, each a snapshot of its own; offset names the
+    field that tells the place of a page's first row (0 without it). What a snapshot says once is read once, not again for each row.
+    """
+    when = [fetched_at().alias(fetched)] if fetched else []
+    begins = F.coalesce(F.get_json_object("value", f"$.{offset}").try_cast("long"), F.lit(0).cast("long")) if offset else F.lit(0).cast("long")
+    lists = whole.select(*when, begins.alias("__begins"), _list("value", name, PARTS[name]).alias("__list"))
+    rows = lists.select(*([fetched] if fetched else []), "__begins", F.posexplode("__list").alias("ord", "row")).where("row is not null")
+    return rows.select("row.*", (F.col("__begins") + F.col("ord")).alias("ord"), *([F.col(fetched)] if fetched else []))
+
+
+def snapshot_stream(spark: SparkSession, path: str, name: str, files_per_batch: int | None = 1, fetched: str | None = None, offset: str | None = None, lines: bool = False) -> DataFrame:
+    """One list of the snapshots dropped into a folder, as a stream: a file is a snapshot (lines: a line is one), a micro-batch takes
+    the next files, all that are there if files_per_batch is None."""
+    source = spark.readStream.format("text").option("wholetext", not lines)
+    if files_per_batch is not None:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    return snapshot_part(source.load(path), name, fetched, offset)
 
 
 def fixture(spark: SparkSession, parts: dict[str, list[tuple]], stats: list[tuple] | None = None) -> Snapshot:

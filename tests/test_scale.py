@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import settings
 from gridlore.operators import assistant, bitmaps, heavy, joins, merge, ordinals, pages, search, slots
-from gridlore.plans import catalogue
+from gridlore.plans import catalogue, records
 from gridlore.sources import layouts, readers
 from gridlore.streaming import first_seen, live
 
@@ -77,6 +77,29 @@ def test_no_window_of_one_partition(spark, sf_dir):
         assert "SinglePartition" not in said and "Window" not in said
 
 
+# ---- snapshots
+
+
+def test_a_snapshot_says_its_time_once(spark):
+    """Above the rows of its list a snapshot's text isn't read again; that took a time by the square of the list."""
+    df = spark.createDataFrame([('{"fetchedAt": "2024-03-01T12:00:00Z", "offset": 40, "logs": [{"id": "a"}, null, {"id": "b"}]}',), ('{"offset": "x", "logs": [{"id": "c"}]}',), ('{"logs": {"id": "d"}}',)], "value string")
+    out = readers.snapshot_part(df, "logs", "fetched", "offset")
+    assert [(r["id"], r["ord"], r["fetched"] is None) for r in out.orderBy("id").collect()] == [("a", 40, False), ("b", 42, False), ("c", 0, True)]
+    assert [r["ord"] for r in readers.snapshot_part(df, "logs").orderBy("id").collect()] == [0, 2, 0]
+    above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "get_json_object" not in above and "fetchedAt" in below
+
+
+def test_no_task_holds_a_whole_snapshot(spark, sf_dir):
+    events = readers.table(spark, sf_dir, "events")
+    pages = records._paged_snapshots(events, F.lit("2024-03-01T12:00:00Z").alias("fetchedAt"), size=90).cache()
+    assert pages.select(F.max(F.json_array_length(F.get_json_object("value", "$.logs")))).first()[0] <= 30 < 3 * events.count() / 90
+    for k in range(3):
+        rows = readers.snapshot_part(pages.where(F.col("batch") == k), "logs", offset="offset").orderBy("ord").collect()
+        want = events.where(F.col("event_id") % 3 == k).orderBy("event_id").select(F.col("user_id").cast("string"), "event_type").collect()
+        assert [(r["id"], r["level"]) for r in rows] == [tuple(r) for r in want]
+
+
 # ---- payloads
 
 
