@@ -265,7 +265,7 @@ def hour_slots_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT event_id, 'first' AS copy, event_id * 2 AS ordinal, ts FROM events")
 def stream_first_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event comes twice, the copy of the lower ordinal a tick later; half-way the stream is stopped and started again."""
+    """Every event comes twice, the copy of the lower ordinal a tick later; after each tick the stream is stopped and started again."""
     root = scratch(spark, "first")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     period = F.floor(F.dayofmonth("ts") / 11)  # three of ten days each
@@ -273,11 +273,10 @@ def stream_first_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = copies[0].unionByName(copies[1].withColumn("ordinal", F.col("event_id") * 2))
     schema = "event_id long, copy string, ordinal long, ts timestamp"
     for tick in range(1, 5):
-        both.where(F.col("tick") == tick).drop("tick").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        both.where(F.col("tick") == tick).drop("tick").write.mode("append").parquet(f"{root}/in")
         if tick == 4:  # the feed goes on: a later log closes the days before
             rows.agg(F.max("ts").alias("ts")).selectExpr("-1L AS event_id", "'later' AS copy", "-1L AS ordinal", "ts + INTERVAL 60 DAYS AS ts").coalesce(1).write.mode("append").parquet(f"{root}/in")
-        if tick in (2, 4):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-            out = first_seen.first_by_key(stream, "event_id", "ordinal", "ts", "25 days")
-            first_seen.follow_first(spark, out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", once=True).awaitTermination()
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")  # a tick is a micro-batch, of as many files as were written
+        out = first_seen.first_by_key(stream, "event_id", "ordinal", "ts", "25 days")
+        first_seen.follow_first(spark, out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out").where("event_id >= 0").select("event_id", "copy", "ordinal", F.col("ts").cast("timestamp_ntz").alias("ts"))

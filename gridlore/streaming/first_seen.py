@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from gridlore.sources.layouts import session_settings
 from gridlore.streaming.live import follow
@@ -17,60 +14,21 @@ from gridlore.streaming.live import follow
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class KeepFirst(StatefulProcessor):
-    """State of a key: its best row so far, and when it is given out. One row a key, dropped when its timer fires."""
-
-    def __init__(self, schema: T.StructType, order: str, event_time: str, delay_ms: int):
-        self.schema, self.order, self.event_time, self.delay_ms = schema, order, event_time, delay_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.best = handle, handle.getValueState("best", self.schema)
-        self.place, self.at = self.schema.names.index(self.order), self.schema.names.index(self.event_time)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.best.get()
-        best = None if known is None else tuple(known)
-        before = best
-        for batch in rows:
-            for row in batch[self.schema.names].itertuples(index=False, name=None):
-                row = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in row)
-                if best is None or row[self.place] < best[self.place]:
-                    best = row
-        if best is not before:
-            self.best.update(best)
-        if before is None:
-            self.handle.registerTimer(best[self.at] // 1000 + self.delay_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        best = self.best.get()
-        self.best.clear()
-        yield pd.DataFrame([tuple(best)], columns=self.schema.names, dtype=object)
-
-    def close(self) -> None:
-        pass
-
-
 def first_by_key(stream: DataFrame, key: str, order: str, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """The stream with one row a key, that of the lowest ordinal among all copies that come within `delay` of its first one.
+    """The stream with one row a key, that of the lowest ordinal among copies that follow each other within `delay` in event time.
 
-    A row is given out when the watermark is `delay` behind its key's first event time, so a better copy that comes in a
-    later micro-batch, or after a restart, still wins. The state holds the keys of that time and no more. Rows without a key
-    or a time are no logs and stay out; ordinals must be there; later copies than the watermark start anew or are dropped.
+    A key's copies are a session window, so the state is one row a key and no code runs for each key. A row is given out when the
+    watermark is `delay` behind the last of its copies, so a better copy that comes in a later micro-batch, or after a restart,
+    still wins. The state holds the keys of that time and no more. Rows without a key or a time are no logs and stay out; a row
+    without an ordinal comes after those that have one; later copies than the watermark start anew or are dropped.
     """
-    span = stream.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL SECOND) AS s").first()["s"]
     marked = stream.where(F.col(key).isNotNull()).withWatermark(event_time, delay)
-    micros = [f.name for f in stream.schema if isinstance(f.dataType, T.TimestampType)]
-    # times travel as microseconds: Python and the session needn't agree on a zone
-    name_of = {f.name: f"{f.name}__us" if f.name in micros else f.name for f in stream.schema}
-    rows = marked.select("*", *[F.unix_micros(c).alias(name_of[c]) for c in micros])
-    state = T.StructType([T.StructField(name_of[f.name], T.LongType() if f.name in micros else f.dataType) for f in stream.schema])
-    keep = KeepFirst(state, order, name_of[event_time], int(span.total_seconds() * 1000))
-    out = rows.groupBy(key).transformWithStateInPandas(keep, state, "append", "eventTime")
-    return out.select(*[F.timestamp_micros(name_of[c]).alias(c) if c in micros else F.col(c) for c in stream.columns])
+    place = F.struct(F.col(order).isNull(), F.col(order), F.col(event_time))
+    sessions = marked.groupBy(F.col(key).alias("__key"), F.session_window(event_time, delay).alias("__session"))
+    return sessions.agg(F.min_by(F.struct(*stream.columns), place).alias("__row")).select("__row.*")
 
 
 def follow_first(spark: SparkSession, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """follow() with the state store that arbitrary state needs; only this query gets it."""
+    """follow() with a state store that doesn't keep all keys in memory; only this query gets it."""
     with session_settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
         return follow(stream, sink, checkpoint, once=once)

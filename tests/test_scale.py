@@ -291,6 +291,17 @@ def test_first_copy_wins_across_a_restart_and_state_is_dropped(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_first_copies_run_no_code_for_each_key(spark, tmp_path):
+    """Equal ordinals, none at all, and the plan: the state is an aggregate, without a Python call a key."""
+    rows = [("a", 1, "2024-01-01 00:01:00"), ("a", 1, "2024-01-01 00:00:00"), ("b", None, "2024-01-01 00:00:00"), ("b", 9, "2024-01-01 00:05:00"), ("c", None, "2024-01-01 00:00:00"), ("c", 3, None), ("z", 0, "2024-01-09 00:00:00")]
+    spark.createDataFrame(rows, "id string, n long, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    out = first_seen.first_by_key(spark.readStream.schema("id string, n long, at timestamp").parquet(str(tmp_path / "in")), "id", "n", "at", "1 hour")
+    assert "Python" not in out._jdf.queryExecution().analyzed().toString() and "Pandas" not in out._jdf.queryExecution().analyzed().toString()
+    first_seen.follow_first(spark, out, lambda b, k: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={k}")), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = sorted((r["id"], r["n"], str(r["at"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 1, "2024-01-01 00:00:00"), ("b", 9, "2024-01-01 00:05:00"), ("c", None, "2024-01-01 00:00:00")]
+
+
 def test_snapshot_fetched_earlier_does_not_win(spark, tmp_path):
     for logs, want in ((False, "new"), (True, "old")):
         table = live.MergedTable(spark, str(tmp_path / f"{logs}"), "id", "ord", logs=logs, fetched="at", compact_every=2)
