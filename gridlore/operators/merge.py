@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.text import absent_to
 
+COPIES = 1000  # equal changes that are numbered together
+
 
 def stacked(older: DataFrame, newer: DataFrame, order: str) -> DataFrame:
     """Both frames with their source (0, 1); columns that one lacks are null."""
@@ -82,11 +84,23 @@ def ingested(log: DataFrame, changes: DataFrame, site: str = "site_id", external
     """
     named = F.nullif(F.col(external).cast("string"), F.lit(""))
     known = changes.where(named.isNotNull()).withColumn("id", record_id(F.col(site), F.concat(F.lit("k"), named)))
-    copies = changes.where(named.isNull()).groupBy(*changes.columns).agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    copies = _numbered_copies(changes.where(named.isNull()))
     own = F.to_json(F.struct(*changes.columns, "__copy"), {"ignoreNullFields": "false"})
-    rows = known.unionByName(copies.withColumn("id", record_id(F.col(site), F.concat(F.lit("c"), own))).drop("__n", "__copy"))
+    rows = known.unionByName(copies.withColumn("id", record_id(F.col(site), F.concat(F.lit("c"), own))).drop("__copy"))
     return upsert(log, rows), rows.select(F.lit(True).alias("ok"), F.col("id").alias("persistedRecordId"))
 
 
+def _numbered_copies(changes: DataFrame) -> DataFrame:
+    """Each change with `__copy`, its number from 1 among equal ones.
+
+    Numbers are made in runs of COPIES that are dealt out first, so a change that most rows equal isn't one task's. The number
+    of partitions is given, as the runs are too small for Spark to tell what they become.
+    """
+    counted = changes.groupBy(*changes.columns).agg(F.count("*").alias("__n"))
+    runs = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), "__n", F.lit(COPIES).cast("long"))))
+    dealt = runs.repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *changes.columns, "__from")
+    return dealt.withColumn("__copy", F.explode(F.sequence("__from", F.least(F.col("__from") + (COPIES - 1), "__n")))).drop("__n", "__from")
+
+
 def prefer(live: Column, stored: Column) -> Column:
     return F.coalesce(live, stored)

@@ -341,6 +341,15 @@ def test_ids_of_records(spark):
     assert sorted(again) == sorted(ids)
 
 
+def test_equal_changes_are_dealt_out(spark):
+    """All changes are equal: they are numbered whole, by more tasks than one."""
+    df = spark.range(25_003).select(F.lit(1).alias("site_id"), F.lit(None).cast("string").alias("external_id"), F.lit("p").alias("payload"), F.lit(0).alias("at"))
+    log, answers = merge.ingested(df.limit(0).withColumn("id", F.lit("")), df)
+    parts = [r["n"] for r in log.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 25_003 and max(parts) < 20_000 and answers.distinct().count() == 25_003
+    assert {r["__copy"] for r in merge._numbered_copies(df).select("__copy").collect()} == set(range(1, 25_004))
+
+
 URLS = ["host:9000/", "https://Host/x//", "", None, " \t", "localhost:8000", "http://127.0.0.1:8000/a", "other:8000", "HTTP://A.B:80", "https://h:443/p?q=1", "h:99999", "http://[::1]:8000", "http://[::1]:81/x/", "x", "h:12x", "https://u:p@h/z", "//", "h:/"]
 
 
