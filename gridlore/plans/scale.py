@@ -124,7 +124,7 @@ SEARCHED = ("doc_id", "lang", "source", "text")
 
 def _searchable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def write(path: str) -> None:
-        table(spark, sf_dir, "documents").select(*SEARCHED).repartitionByRange(12, "source").write.mode("overwrite").parquet(path)
+        table(spark, sf_dir, "documents").select(*SEARCHED).repartitionByRange("source", "doc_id").write.mode("overwrite").parquet(path)
 
     rows = stored(spark, sf_dir, "searchable", write)
     return rows, stored(spark, sf_dir, "trigrams", lambda path: layouts.trigram_index(rows, SEARCHED).write.mode("overwrite").parquet(path))

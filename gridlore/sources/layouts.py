@@ -78,10 +78,22 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_index(stored: DataFrame, scalars: Iterable[str], arrays: Iterable[str] = ()) -> DataFrame:
-    """(file, bucket, bits): which trigrams the searched text of each file's rows has, as bitmaps set before the shuffle."""
+    """(file, word, bits): which trigrams the searched text of each file's rows has, 64 a word, set before the shuffle.
+
+    Bits are joined by OR in a hash table of 4,096 words a file, so a task's memory doesn't grow with its texts; a bitmap
+    aggregate would sort all of their trigrams.
+    """
     opened = stored.select(F.col("_metadata.file_path").alias("file"), F.explode(trigrams(joined_text(scalars, arrays))).alias("__h"))
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position("__h")).alias("bits")
-    return opened.groupBy("file", F.bitmap_bucket_number("__h").alias("bucket")).agg(bits)
+    return opened.groupBy("file", _word("__h").alias("word")).agg(F.bit_or(_bit("__h")).alias("bits"))
+
+
+def _word(number: str) -> Column:
+    return F.shiftright(number, 6).cast("int")
+
+
+def _bit(number: str) -> Column:
+    """The number's bit in its word."""
+    return F.expr(f"shiftleft(1L, CAST({number} & 63 AS INT))")
 
 
 def files_without_index(stored: DataFrame, index: DataFrame) -> DataFrame:
@@ -99,11 +111,10 @@ def files_with(index: DataFrame, query: str) -> list[str] | None:
         return None
     spark = index.sparkSession
     asked = spark.createDataFrame([(wanted,)], "q string").select(F.explode(trigrams(F.col("q"))).alias("h"))
-    asked = asked.select(F.bitmap_bucket_number("h").alias("bucket"), F.bitmap_bit_position("h").alias("at"))
+    asked = asked.groupBy(_word("h").alias("word")).agg(F.bit_or(_bit("h")).alias("wanted"))
     number = asked.count()
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = byte.bitwiseAND(F.expr("shiftleft(1, CAST(at % 8 AS INT))")) != 0
-    hits = index.join(F.broadcast(asked), "bucket").where(there).groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") == number)
+    there = F.col("bits").bitwiseAND(F.col("wanted")) == F.col("wanted")
+    hits = index.join(F.broadcast(asked), "word").where(there).groupBy("file").agg(F.count_distinct("word").alias("n")).where(F.col("n") == number)
     return sorted(unquote(r["file"]) for r in hits.select("file").collect())  # names of files, as a listing has them
 
 

@@ -188,6 +188,18 @@ def test_index_grows_with_appended_files(spark, tmp_path):
     assert layouts.files_without_index(stored, known).count() == 0
 
 
+def test_index_sorts_no_trigrams(spark, sf_dir, tmp_path):
+    """Bits of a file are joined in a hash table of bounded size."""
+    docs = readers.table(spark, sf_dir, "documents")
+    index = layouts.trigram_index(docs, ("doc_id", "text"))
+    said = plan(index)
+    assert "HashAggregate" in said and "SortAggregate" not in said and "Sort " not in said
+    want = {r["h"] for r in docs.select(F.explode(layouts.trigrams(search.joined_text(("doc_id", "text")))).alias("h")).distinct().collect()}
+    rows = index.collect()
+    assert {64 * r["word"] + k for r in rows for k in range(64) if r["bits"] >> k & 1} == want and len(rows) <= 4096
+    assert any(r["bits"] < 0 for r in rows)  # the highest bit is one as others are
+
+
 # ---- counts
 
 
