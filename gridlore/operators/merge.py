@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlore.functions.text import absent_to
 
 COPIES = 1000  # equal changes that are numbered together
+DEALT = 64  # partitions at least that they are dealt to: what follows groups them there, row by row
 
 
 def stacked(older: DataFrame, newer: DataFrame, order: str) -> DataFrame:
@@ -98,7 +99,7 @@ def _numbered_copies(changes: DataFrame) -> DataFrame:
     """
     counted = changes.groupBy(*changes.columns).agg(F.count("*").alias("__n"))
     runs = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), "__n", F.lit(COPIES).cast("long"))))
-    dealt = runs.repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *changes.columns, "__from")
+    dealt = runs.repartition(max(DEALT, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *changes.columns, "__from")
     return dealt.withColumn("__copy", F.explode(F.sequence("__from", F.least(F.col("__from") + (COPIES - 1), "__n")))).drop("__n", "__from")
 
 
